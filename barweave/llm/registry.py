@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op8_packing
+from .quality import op7_quality
 from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity,)}
+    return {f.__name__: f for f in (op1_toxicity, op7_quality, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
