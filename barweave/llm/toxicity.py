@@ -3,7 +3,7 @@
 Two byte n-gram models of order 5, one of toxic and one of ordinary text. Orders 3 to 5 hold the
 counts of their own class (below the top, the number of different bytes that precede an n-gram);
 orders 1 and 2 are counted over both classes together, so an expression that is rare in either falls
-back to the same estimate and says nothing. A text's score is the difference of the two
+back to the same estimate and says nothing. N-grams of order 5 seen once in all are left out. A text's score is the difference of the two
 log-likelihoods for each byte, put on a probability scale by a logistic fit on labelled texts, each
 scored by counts that leave out its fold of four.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, arrow, first_by_hash, id_crc, labels_of, parts, utf8
 
 ORDER, SHARED, DISCOUNT, BITS = 5, 2, 0.75, 6
-CHUNK, FOLDS = 1 << 22, 4
+CHUNK, FOLDS, LEAST_SEEN = 1 << 22, 4, 2
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ class Table:
     """Open addressing in flat arrays: keys to rows of values, read for whole arrays of keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.6))))
         self.keys = np.full(1 << self.bits, -1, np.int32)
         self.values = np.zeros(1 << self.bits, np.float32)
         slot, left = self.slot(keys), np.arange(len(keys))
@@ -206,29 +206,34 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, size: TrainSize = T
     try:
         seen = arrow(rows.where("use = 1").select("text"), _bytes_seen, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
         symbol = symbols(np.bincount(seen.k, weights=seen.n, minlength=256) if len(seen) else np.zeros(256))
-        grams = arrow(rows.where("use = 1").select("text", (F.col("fold") * 2 + F.col("y")).alias("y")), _partials(symbol), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+        part = [F.sum(F.when(F.col("k").bitwiseAND(F.lit(2 * FOLDS - 1)) == i, F.col("n"))).cast("int").alias(f"n{i}") for i in range(2 * FOLDS)]
+        grams = arrow(rows.where("use = 1").select("text", (F.col("fold") * 2 + F.col("y")).alias("y")), _partials(symbol), "k long, n long")
+        grams = grams.groupBy(F.shiftright("k", 3).cast("int").alias("gram")).agg(F.sum("n").alias("n"), *part).where(F.col("n") >= LEAST_SEEN).drop("n").toArrow()
         share = rows.agg(F.avg("y")).first()[0] or 0.0
-        key, y, fold = grams.k.to_numpy(np.int64) >> 3, grams.k.to_numpy(np.int64) & 1, (grams.k.to_numpy(np.int64) >> 1) & (FOLDS - 1)
-        if not (y == 1).any() or not (y == 0).any():
+        gram = grams.column("gram").to_numpy().astype(np.int64)
+        order = np.argsort(gram)
+        gram = gram[order]
+        seen_in = [grams.column(f"n{i}").fill_null(0).to_numpy().astype(np.float32)[order] for i in range(2 * FOLDS)]
+        del grams, order
+
+        def model_of(folds: list[int]) -> Model | None:
+            count = np.stack([sum(seen_in[2 * k + c] for k in folds) for c in (0, 1)])
+            there = count.any(0)
+            return kneser_ney(gram[there], count[:, there], symbol) if count.any(1).all() else None
+
+        if not all(any(seen_in[2 * k + c].any() for k in range(FOLDS)) for c in (0, 1)):
             return float(share)
-
-        def model_of(use: np.ndarray) -> Model:
-            gram, at = np.unique(key[use], return_inverse=True)
-            count = np.zeros((2, len(gram)))
-            np.add.at(count, (y[use], at), grams.n.to_numpy()[use])
-            return kneser_ney(gram, count, symbol)
-
         mean, truth = [], []
         for k in range(FOLDS):  # each text is scored by counts that leave its fold out
-            use = fold != k
-            if len(np.unique(y[use])) < 2:
+            part_model = model_of([j for j in range(FOLDS) if j != k])
+            if part_model is None:
                 continue
-            shared = sc.broadcast(model_of(use))
+            shared = sc.broadcast(part_model)
             got = arrow(rows.where("fit").where(F.col("fold") == k).select("text", "y"), _scorer(shared, 1, False), "y int, score double").toPandas()
             shared.destroy()
             mean.append(got.score.to_numpy())
             truth.append(got.y.to_numpy(float))
-        model = model_of(np.ones(len(key), bool))
+        model = model_of(list(range(FOLDS)))
         if mean and len(np.unique(np.concatenate(truth))) == 2:
             model.scale, model.shift = logistic(np.concatenate(mean), np.concatenate(truth))
         return model
