@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .neardup_vectors import OP5_SQL, op5_vector_neardup
 from .packing import op8_packing
 from .quality import op7_quality
+from .search import OP2_SQL, op2_maxscore
 from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op7_quality, op8_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_maxscore, op5_vector_neardup, op7_quality, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_maxscore": OP2_SQL, "op5_vector_neardup": OP5_SQL}
