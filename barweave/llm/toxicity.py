@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, arrow, first_by_hash, id_crc, labels_of, parts, utf8
 
 ORDER, SHARED, DISCOUNT, BITS = 5, 2, 0.75, 6
-CHUNK, FOLDS, LEAST_SEEN = 1 << 22, 4, 2
+CHUNK, FOLDS, LEAST_SEEN = 1 << 20, 4, 2
 
 
 @dataclass(frozen=True)
