@@ -173,11 +173,11 @@ def _verify(least: float):
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """Which hash values of ids occur: 2^BITMAP bits, however many ids."""
-    pos = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP))
+    pos = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP)) + 1  # Spark's buckets of 32,768 bits count from 1
     rows = ids.select(pos.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
     out = np.zeros(1 << (BITMAP - 3), np.uint8)
     for b, m in rows:
-        at = (b - 1) * 4096  # buckets of 32,768 bits from 1; the first holds positions 1 to 32,768
+        at = (b - 1) * 4096
         out[at : at + len(m)] = np.frombuffer(bytes(m), np.uint8)
     return out
 
@@ -199,8 +199,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs (u, v), written down already."""
         bits = spark.sparkContext.broadcast(_bitmap(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id")))))
-        pos = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP)) - 1
-        bags = arrow(rows.select("id", "text", F.pmod(pos, F.lit(1 << BITMAP)).alias("p")), _multisets(bits), "id long, bag binary")
+        bags = arrow(rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP)).alias("p")), _multisets(bits), "id long, bag binary")
         wanted = pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct()
         bags = staged(bags.join(wanted, "id", "left_semi"), "bags")
         both = pairs.join(bags.select(F.col("id").alias("u"), F.col("bag").alias("a")), "u").join(bags.select(F.col("id").alias("v"), F.col("bag").alias("b")), "v")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .neardup_vectors import OP5_SQL, op5_vector_neardup
+from .linededup import op9_linededup
 from .neardup_text import op10_bagminhash
 from .packing import op8_packing
 from .quality import op7_quality
@@ -15,7 +16,7 @@ from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_maxscore, op5_vector_neardup, op7_quality, op8_packing, op10_bagminhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_maxscore, op5_vector_neardup, op7_quality, op8_packing, op9_linededup, op10_bagminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
