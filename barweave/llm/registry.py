@@ -10,13 +10,14 @@ from .neardup_vectors import OP5_SQL, op5_vector_neardup
 from .linededup import op9_linededup
 from .neardup_text import op10_bagminhash
 from .packing import op8_packing
+from .pii import op4_pii
 from .quality import op7_quality
 from .search import OP2_SQL, op2_maxscore
 from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_maxscore, op5_vector_neardup, op7_quality, op8_packing, op9_linededup, op10_bagminhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_maxscore, op4_pii, op5_vector_neardup, op7_quality, op8_packing, op9_linededup, op10_bagminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
