@@ -9,9 +9,9 @@ multisets overlap (weighted Jaccard), and nearly all points of heavy or many shi
 because they come later than every component's time.
 
 Components form bands; texts that agree in a band are candidates. Equal texts are one class first.
-Candidates are compared with the smallest id of their band's bucket, then, across components only,
-with each other, so that of the pairs in a bucket none is lost; each comparison counts the exact overlap
-of the two multisets. Nothing about all documents reaches the driver but a bitmap of fixed size, which
+Candidates are compared with one text of their band's bucket, then, across components only, with each
+other (in a large bucket block by block, without listing pairs), so that of the links in a bucket none
+is lost; each comparison counts the exact overlap of the two multisets. Nothing about all documents reaches the driver but a bitmap of fixed size, which
 tells the second scan which texts to send on.
 
 Defined results: null and empty texts, and such of white space only, have no shingles and resemble
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import U64, arrow, components, mix, parts, read, staged, unstage, utf8, word_hashes
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 20, 5
+FEW, BLOCK = 32, 192
 BITMAP = 26  # bits of an id's hash: 8 MB
 CHUNK = 1 << 22
 
@@ -161,8 +162,7 @@ def _verify(least: float):
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
             for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
-                z = np.concatenate([x, y])
+                z = np.concatenate([np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)])
                 z.sort()
                 both = int((z[1:] == z[:-1]).sum())
                 ok[i] = both >= least * (len(z) - both)
@@ -171,6 +171,54 @@ def _verify(least: float):
     return run
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of x has in common with each of y: a product of two 0/1 matrices, some columns at a time."""
+    common = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+
+    def cells(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+        col = np.searchsorted(common, flat := np.concatenate(bags))
+        hit = (col < len(common)) & (common[np.minimum(col, len(common) - 1)] == flat) if len(common) else np.zeros(len(flat), bool)
+        order = np.argsort(col[hit], kind="stable")
+        return row[hit][order], col[hit][order]
+
+    (rx, cx), (ry, cy) = cells(x), cells(y)
+    out = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(common), 4096):
+        m = []
+        for r, c, n in ((rx, cx, len(x)), (ry, cy, len(y))):
+            a, b = np.searchsorted(c, [at, at + 4096])
+            part = np.zeros((n, min(4096, len(common) - at)), np.float32)
+            part[r[a:b], c[a:b] - at] = 1
+            m.append(part)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _across(least: float):
+    """Links between components within a block, or between two blocks, of one bucket; one for each two components."""
+
+    def run(t: pa.Table) -> pa.Table:
+        key, blk, ids, n, comp = (t.column(c).to_numpy() for c in ("key", "blk", "id", "n", "c"))
+        bags = [np.frombuffer(b.as_buffer(), U64) for b in t.column("bag")]
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        first, last = np.flatnonzero(blk == blk.min()), np.flatnonzero(blk == blk.max())
+        got = []
+        for at in range(0, len(first), BLOCK):
+            for to in range(0, len(last), BLOCK):
+                a, b = first[at : at + BLOCK], last[to : to + BLOCK]
+                # once for each two texts: in the first band that they share
+                same = bands[a][:, None, :] == bands[b][None, :, :]
+                here = (np.take_along_axis(bands[a], same.argmax(2), 1) == key[0]) & (comp[a][:, None] != comp[b][None, :])
+                if here.any():
+                    both = _overlaps([bags[i] for i in a], [bags[i] for i in b])
+                    i, j = np.nonzero(here & (both >= least * (n[a][:, None] + n[b][None, :] - both)))
+                    got += [(ids[a[p]], ids[b[q]]) for p, q in {(comp[a[p]], comp[b[q]]): (p, q) for p, q in zip(i, j, strict=True)}.values()]
+        return pa.table({"u": pa.array([x for x, _ in got], pa.int64()), "v": pa.array([y for _, y in got], pa.int64())})
+
+    return run
+
+
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """Which hash values of ids occur: 2^BITMAP bits, however many ids."""
     pos = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP)) + 1  # Spark's buckets of 32,768 bits count from 1
@@ -196,34 +244,49 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     reps = made.where("n > 0").join(classes, ["sha", "id"], "left_semi").dropDuplicates(["sha", "id"])
     member = staged(reps.select("id", "n", F.explode("bands").alias("key")), "bands")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs (u, v), written down already."""
-        bits = spark.sparkContext.broadcast(_bitmap(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id")))))
+    def bags_of(ids: DataFrame) -> DataFrame:
+        """(id, bag) of the ids, which are written down already; the second scan sends on few other texts."""
+        bits = spark.sparkContext.broadcast(_bitmap(ids))
         bags = arrow(rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP)).alias("p")), _multisets(bits), "id long, bag binary")
-        wanted = pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct()
-        bags = staged(bags.join(wanted, "id", "left_semi"), "bags")
+        return staged(bags.join(ids.distinct(), "id", "left_semi"), "bags")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (u, v), written down already, those of similarity least or more."""
+        bags = bags_of(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))))
         both = pairs.join(bags.select(F.col("id").alias("u"), F.col("bag").alias("a")), "u").join(bags.select(F.col("id").alias("v"), F.col("bag").alias("b")), "v")
         out = staged(arrow(both.select("u", "v", "a", "b"), _verify(least), "u long, v long"), "links")
         unstage(bags)
         return out
 
     near = (F.col("n") >= F.col("m") * least) & (F.col("m") >= F.col("n") * least)
-    # first with the smallest id of each bucket
-    bucket = staged(member.groupBy("key").agg(F.min(F.struct("id", "n")).alias("s"), F.count("*").alias("c")).where("c > 1").select("key", F.col("s.id").alias("v"), F.col("s.n").alias("m")), "buckets")
-    shared = staged(member.join(bucket, "key"), "shared")  # only rows that share a bucket go on
-    star = staged(shared.where((F.col("id") != F.col("v")) & near).select(F.col("id").alias("u"), "v").distinct(), "pairs")
+    # first with one text of each bucket: that whose own buckets hold most, which copies of it share with it
+    full = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = staged(member.join(full, "key"), "shared")  # only rows that share a bucket go on
+    known = shared.groupBy("id").agg(F.sum("c").alias("w"))
+    best = shared.join(known, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("v"), "n")).alias("s")).select("key", (-F.col("s.v")).alias("v"), F.col("s.n").alias("m"))
+    best = staged(best, "buckets")
+    star = shared.join(best, "key").where((F.col("id") != F.col("v")) & near)
+    star = staged(star.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct(), "pairs")
     links = verified(star)
     comp = staged(components(links, "text-cc"), "components")
-    # then, where a bucket still holds several components, across them
+    # then, where a bucket still holds several components, across them: pair by pair where it is small,
+    # and block by block, without listing pairs, where it is large
     placed = shared.select("key", "id", "n").join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    split = staged(placed.join(mixed, "key", "left_semi"), "split")
-    other = split.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-    across = split.join(other, "key").where((F.col("id") > F.col("v")) & (F.col("c") != F.col("d")) & near)
+    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 <> c1").select("key", "size")
+    split = staged(placed.join(mixed, "key"), "split")
+    few = split.where(F.col("size") <= FEW)
+    other = few.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
+    across = few.join(other, "key").where((F.col("id") > F.col("v")) & (F.col("c") != F.col("d")) & near)
     across = staged(across.select(F.col("id").alias("u"), "v").distinct().join(star, ["u", "v"], "left_anti"), "across")
     more = verified(across)
-    comp = staged(components(links.unionAll(more), "text-cc"), "components")
-    unstage(member, bucket, shared, split, star, across, links, more)
+    many = split.where(F.col("size") > FEW)
+    bags = bags_of(many.select("id"))
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    dealt = many.join(bags, "id").join(reps.select("id", "bands"), "id").withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "id", "n", "c", "bands", "bag")
+    most = staged(dealt.groupBy("key", "i", "j").applyInArrow(_across(least), "u long, v long").distinct(), "links")
+    comp = staged(components(links.unionAll(more).unionAll(most), "text-cc"), "components")
+    unstage(member, shared, best, split, star, across, bags, links, more, most)
     rep = classes.select("sha", F.col("id").alias("class_id"))
     out = made.select("id", "sha", "n").join(rep, "sha").join(comp.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
     nothing = F.col("n") == 0
