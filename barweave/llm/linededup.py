@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import U64, arrow, mix, read, staged, unstage
 
 MIN_NEAR, PARTS, BITMAP = 16, 16, 26
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _up, _down = np.ones(1, U64), np.ones(1, U64)
@@ -203,7 +203,8 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.repeat(np.arange(len(which)), size)
             place = p[at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
             line = which[at]
-            place, line = np.unique(line * (1 << 32) + place) & 0xFFFFFFFF, np.unique(line * (1 << 32) + place) >> 32
+            spot = np.unique(line << 32 | place)  # parts of the shorter and of the longer reading overlap
+            place, line = spot & 0xFFFFFFFF, spot >> 32
             gone = h.joined(begin[line], begin[line] + place, begin[line] + place + 1, end[line])
             placed = mix(gone + (place.astype(U64) + U64(1)) * U64(0xA0761D6478BD642F))
             whole = h.of(begin, end)
