@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .neardup_vectors import OP5_SQL, op5_vector_neardup
+from .lm import op3_lm
 from .linededup import op9_linededup
 from .neardup_text import op10_bagminhash
 from .packing import op8_packing
@@ -17,7 +19,7 @@ from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_maxscore, op4_pii, op5_vector_neardup, op7_quality, op8_packing, op9_linededup, op10_bagminhash)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_maxscore, op3_lm, op4_pii, op5_vector_neardup, op7_quality, op8_packing, op9_linededup, op10_bagminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
