@@ -147,7 +147,7 @@ add("wpr", lambda b: ta.wpr(N), aged("coalesce(-100 * (max(high) OVER f - close)
 _up, _down = ("sum(CASE WHEN s IS NULL OR s %s 0 THEN close * volume ELSE 0 END) OVER f" % o for o in (">", "<"))
 add("mfi", lambda b: b.withColumn("_s", ta.change(P.C)).withColumn("value", ta.mfi(P.C, F.col("_s"), N, P.V)), full("close", f"CASE WHEN {_down} = 0 THEN 100 WHEN {_up} = 0 THEN 0 ELSE 100 - 100 / (1 + {_up} / {_down}) END"), _chg, source="d")
 # volume
-add("vwap", lambda b: ta.vwap(P.C, P.V), "sum(close * volume) OVER day / sum(volume) OVER day", source="b", digits=4)
+add("vwap", lambda b: ta.vwap(P.C, P.V), "sum(close * volume) OVER day / sum(volume) OVER day", source="b", digits=9)
 SQL["ta_vwap"] += ", day AS (PARTITION BY symbol, CAST(time AS DATE) ORDER BY bar_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 for _name, _fn, _sql in (
     ("obv", ta.obv_step, "coalesce(sign(close - lag(close) OVER w) * volume, 0)"),
