@@ -42,7 +42,7 @@ def event_bars(spark: SparkSession, sf_dir: str, bucket: str = "hour") -> DataFr
 
 def line_bars(spark: SparkSession, sf_dir: str, bucket: str = "day") -> DataFrame:
     price = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
-    return from_ticks(_table(spark, sf_dir, "lineitem"), F.concat("l_returnflag", "l_linestatus"), F.col("l_shipdate"), ["l_orderkey", "l_linenumber"], price, F.col("l_quantity"), bucket)
+    return from_ticks(_table(spark, sf_dir, "lineitem"), F.concat("l_returnflag", "l_linestatus"), F.col("l_shipdate"), ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"], price, F.col("l_quantity"), bucket)
 
 
 def order_bars(spark: SparkSession, sf_dir: str, bucket: str = "day") -> DataFrame:
@@ -53,7 +53,7 @@ def sql_bars(kind: str = "events", bucket: str = "hour") -> str:
     """The same bars as a DuckDB subquery."""
     symbol, ts, key, price, size, table = {
         "events": ("event_type", "ts", "ts, event_id", "value", "1", "events"),
-        "line": ("concat(l_returnflag, l_linestatus)", "l_shipdate", "l_shipdate, l_orderkey, l_linenumber", "l_extendedprice / nullif(l_quantity, 0)", "l_quantity", "lineitem"),
+        "line": ("concat(l_returnflag, l_linestatus)", "l_shipdate", "l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity", "l_extendedprice / nullif(l_quantity, 0)", "l_quantity", "lineitem"),
         "orders": ("o_orderpriority", "o_orderdate", "o_orderdate, o_orderkey", "o_totalprice", "1", "orders"),
     }[kind]
     return f"""(SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS INTEGER) AS bar_index FROM (
