@@ -12,6 +12,7 @@ from .lm import op3_lm
 from .linededup import op9_linededup
 from .neardup_text import op10_bagminhash
 from .packing import op8_packing
+from .pieces import op6_pieces
 from .pii import op4_pii
 from .quality import op7_quality
 from .search import OP2_SQL, op2_maxscore
@@ -19,7 +20,7 @@ from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_maxscore, op3_lm, op4_pii, op5_vector_neardup, op7_quality, op8_packing, op9_linededup, op10_bagminhash)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_maxscore, op3_lm, op4_pii, op5_vector_neardup, op6_pieces, op7_quality, op8_packing, op9_linededup, op10_bagminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
