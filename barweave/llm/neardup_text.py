@@ -2,8 +2,8 @@
 
 A text is the multiset of its shingles, runs of five words in lower case (all its words, if fewer). For
 each shingle Poisson processes run over its weight: one over each of the unit intervals [0,1), [1,2),
-then [2,4), [4,8) and so on, the last one the weight cuts being halved again and again, each half
-keeping the points that fall in it. A point has a time and one of the signature's components; the
+then [2,4), [4,8) and so on, which are halved again and again, each half keeping the points that fall
+in it, down to unit intervals; halves above the weight are left out. A point has a time and one of the signature's components; the
 component keeps its earliest time. Two texts agree in a component as often as the shares of their
 multisets overlap (weighted Jaccard), and nearly all points of heavy or many shingles are never drawn,
 because they come later than every component's time.
@@ -35,7 +35,7 @@ from .common import U64, arrow, components, mix, parts, read, staged, unstage, u
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 20, 5
 FEW, BLOCK = 32, 192
 BITMAP = 26  # bits of an id's hash: 8 MB
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +67,16 @@ def _uniform(seed: np.ndarray) -> np.ndarray:
     return ((seed >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _slot(seed: np.ndarray, size: int) -> np.ndarray:
+    return (mix(seed ^ U64(0xA5A5A5A5A5A5A5A5)) >> U64(33)).astype(np.int64) % size
+
+
 def bag_minhash(key: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int, size: int = BANDS * ROWS) -> np.ndarray:
     """rows x size times; a row without elements has infinite ones."""
     sign = np.full(rows * size, np.inf)
     top = np.full(rows, np.inf)
-    # processes: full ones over [0,1), [1,2), [2,4), ... up to the weight, and the one that the weight cuts
+    # processes over [0,1), [1,2), [2,4), ... up to the weight; a longer one goes on only by its halves, the same
+    # ones whatever the weight, so that a point below two weights is the same for both
     seed, own, low, high = [], [], [], []
     a, b = 0, 1
     left = np.arange(len(key))
@@ -84,28 +89,27 @@ def bag_minhash(key: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int,
         a, b = b, 2 * b
     seed, own, low, high = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((seed, U64), (own, np.int64), (low, np.int64), (high, np.int64)))
     time = -np.log(_uniform(mix(seed))) / (high - low)
+    slot = _slot(seed, size)
     while len(seed):
         r = row[own]
-        full = high <= weight[own]
-        slot = (mix(seed ^ U64(0xA5A5A5A5A5A5A5A5)) >> U64(33)).astype(np.int64) % size
-        np.minimum.at(sign, (r * size + slot)[full], time[full])
-        seen = np.unique(r[full])
+        unit = high - low == 1  # all of these lie below the weight
+        np.minimum.at(sign, (r * size + slot)[unit], time[unit])
+        seen = np.unique(r[unit])
         top[seen] = sign.reshape(rows, size)[seen].max(1)
-        # the next point of a full process
-        s1 = mix(seed[full] + U64(0x632BE59BD9B4E019))
-        nxt = [(s1, own[full], low[full], high[full], time[full] - np.log(_uniform(mix(s1))) / (high - low)[full])]
-        cut = ~full
-        if cut.any():  # halve: the pending point falls in one half, the other waits for its own
-            s, o, lo, hi, t = seed[cut], own[cut], low[cut], high[cut], time[cut]
+        # a unit interval's next point
+        s1 = mix(seed[unit] + U64(0x632BE59BD9B4E019))
+        nxt = [(s1, own[unit], low[unit], high[unit], time[unit] - np.log(_uniform(mix(s1))), _slot(s1, size))]
+        if not unit.all():  # halve: the pending point falls in one half, the other waits for its own
+            s, o, lo, hi, t, k = (x[~unit] for x in (seed, own, low, high, time, slot))
             mid = (lo + hi) // 2
             in_low = (mix(s ^ U64(0x5555555555555555)) >> U64(63)) == 0
             for c0, c1, here, keep in ((lo, mid, in_low, np.ones(len(s), bool)), (mid, hi, ~in_low, mid < weight[o])):
                 sc = mix(s + U64(3) * c0.astype(U64) + U64(0x2545F4914F6CDD1D) * c1.astype(U64))
                 tc = np.where(here, t, t - np.log(_uniform(mix(sc))) / (c1 - c0))
-                nxt.append((sc[keep], o[keep], c0[keep], c1[keep], tc[keep]))
-        seed, own, low, high, time = (np.concatenate([x[i] for x in nxt]) for i in range(5))
+                nxt.append((sc[keep], o[keep], c0[keep], c1[keep], tc[keep], np.where(here, k, _slot(sc, size))[keep]))
+        seed, own, low, high, time, slot = (np.concatenate([x[i] for x in nxt]) for i in range(6))
         alive = time < top[row[own]]
-        seed, own, low, high, time = seed[alive], own[alive], low[alive], high[alive], time[alive]
+        seed, own, low, high, time, slot = (x[alive] for x in (seed, own, low, high, time, slot))
     return sign.reshape(rows, size)
 
 
