@@ -274,15 +274,15 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs with the lines (id, line) taken out of text, and n_chars, where there is one, counted again."""
-    listed = gone.groupBy(F.col("id").alias("_id")).agg(F.collect_list("line").alias("_gone"))
+    listed = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_list("line").alias("__gone"))
     rest = [c for c in docs.columns if c != "text"]
-    both = docs.join(listed, docs["doc_id"].cast("long") == listed["_id"], "left")
-    changed = both.where("_gone is not null").select("text", "_gone", *[f"`{c}`" for c in rest])
+    both = docs.join(listed, docs["doc_id"].cast("long") == listed["__id"], "left")
+    changed = both.where("__gone is not null").select("text", "__gone", *[f"`{c}`" for c in rest])
     schema = ", ".join(["text string", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]])
     out = arrow(changed, _without, schema)
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    same = both.where("_gone is null").select(*docs.columns)
+    same = both.where("__gone is null").select(*docs.columns)
     return same.unionByName(out.select(*docs.columns))
 
 

@@ -183,10 +183,10 @@ def extract(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each span's text replaced by its kind, as <EMAIL>; spans that overlap become one. n_chars is counted again."""
-    spans = extract(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.concat("base", "found").alias("_all")).where(F.size("_all") > 0).dropDuplicates(["_id", "_key"])
+    spans = extract(docs).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.concat("base", "found").alias("__all")).where(F.size("__all") > 0).dropDuplicates(["__id", "__key"])
     t = F.coalesce(F.col("text"), F.lit(""))
-    both = docs.withColumn("_k", F.xxhash64(t, F.length(t))).join(spans, F.col("_k").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    order = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    both = docs.withColumn("__k", F.xxhash64(t, F.length(t))).join(spans, F.col("__k").eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    order = F.array_sort(F.transform("__all", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -196,9 +196,9 @@ def masked(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], end).cast("int").alias("at"), out.alias("out"))
 
     new = F.aggregate(order, zero, step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.length("text"))))
-    both = both.withColumn("text", F.when(F.col("_all").isNotNull(), new).otherwise(F.col("text")))
+    both = both.withColumn("text", F.when(F.col("__all").isNotNull(), new).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_all").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        both = both.withColumn("n_chars", F.when(F.col("__all").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return both.select(*docs.columns)
 
 

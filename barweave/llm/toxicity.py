@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, arrow, first_by_hash, id_crc, labels_of, parts, utf8
 
 ORDER, SHARED, DISCOUNT, BITS = 5, 2, 0.75, 6
-CHUNK, FOLDS, LEAST_SEEN = 1 << 20, 4, 2
+CHUNK, FOLDS, LEAST_SEEN, SCORE = 1 << 20, 4, 2, "__score"
 
 
 @dataclass(frozen=True)
@@ -229,9 +229,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, size: TrainSize = T
             if part_model is None:
                 continue
             shared = sc.broadcast(part_model)
-            got = arrow(rows.where("fit").where(F.col("fold") == k).select("text", "y"), _scorer(shared, 1, False), "y int, score double").toPandas()
+            got = arrow(rows.where("fit").where(F.col("fold") == k).select("text", "y"), _scorer(shared, 1, False), f"y int, {SCORE} double").toPandas()
             shared.destroy()
-            mean.append(got.score.to_numpy())
+            mean.append(got[SCORE].to_numpy())
             truth.append(got.y.to_numpy(float))
         model = model_of(list(range(FOLDS)))
         if mean and len(np.unique(np.concatenate(truth))) == 2:
@@ -250,7 +250,7 @@ def _scorer(shared, text_at: int, final: bool):
             mean = model.of_bytes(*utf8(batch.column(0)))
             kept = batch.columns if final == "keep" else batch.columns[text_at:]
             names = batch.schema.names if final == "keep" else batch.schema.names[text_at:]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(model.probability(mean) if final else mean, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(model.probability(mean) if final else mean, pa.float64())], [*names, SCORE])
 
     return run
 
@@ -263,9 +263,9 @@ def apply_to(docs: DataFrame, model: Model | float, score: str = "score", keep_t
     fields = [f for f in docs.schema if f.name != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ([docs.schema["text"]] if keep_text else []) + fields)
-    out = arrow(docs.select("text", *[f"`{f.name}`" for f in fields]), _scorer(shared, 1, "keep" if keep_text else "drop"), f"{schema + ', ' if schema else ''}`score` double")
+    out = arrow(docs.select("text", *[f"`{f.name}`" for f in fields]), _scorer(shared, 1, "keep" if keep_text else "drop"), f"{schema + ', ' if schema else ''}`{SCORE}` double")
     names = [f"`{c}`" for c in docs.columns if keep_text or c != "text"]
-    return out.select(*names, F.col("score").alias(score)) if score not in docs.columns else out
+    return out.select(*names, F.col(SCORE).alias(score))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
