@@ -95,3 +95,17 @@ def close_time(timeframe: str) -> Column:
     """The next bar's open, of the last bar its own end."""
     w = Window.partitionBy("symbol").orderBy("bar_index")
     return F.coalesce(F.lead("time").over(w), F.timestamp_add("SECOND", F.lit(in_seconds(timeframe)), F.col("time")))
+
+
+def _other_day(ts: Column, zone: str, move) -> Column:
+    day = F.to_date(local(ts, zone))
+    return F.coalesce(day != move(day).over(Window.partitionBy("symbol").orderBy("bar_index")), F.lit(True))
+
+
+def first_of_session(ts: Column, zone: str = "UTC") -> Column:
+    """The bar before is of another day, or there is none."""
+    return _other_day(ts, zone, F.lag)
+
+
+def last_of_session(ts: Column, zone: str = "UTC") -> Column:
+    return _other_day(ts, zone, F.lead)

@@ -93,3 +93,16 @@ def as_of(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("time", "_side").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(F.col("_side") == 0, F.struct(F.col(name).alias("v"))), ignorenulls=True).over(w)["v"]
     return a.select("symbol", "time", *cols, "_side", name).unionByName(b).withColumn(name, seen).where("_side = 1").drop("_side")
+
+
+def security_lower(bars: DataFrame, timeframe: str, fine: DataFrame, value: Column) -> DataFrame:
+    """bars of timeframe with the last and the first of value over the finer bars within each."""
+    inner = fine.select("symbol", align(F.col("time"), timeframe).alias("_b"), F.col("time").alias("_t"), value.alias("_v"))
+    ends = inner.groupBy("symbol", "_b").agg(F.max_by("_v", "_t").alias("last"), F.min_by("_v", "_t").alias("first"))
+    return bars.withColumn("_b", align(F.col("time"), timeframe)).join(ends, ["symbol", "_b"], "left").drop("_b")
+
+
+def other_symbol(bars: DataFrame, symbol: str, value: Column, name: str = "value") -> DataFrame:
+    """bars with value over another symbol's bars of the same timeframe, by time."""
+    theirs = bars.where(F.col("symbol") == symbol).select("time", value.alias(name))
+    return bars.join(theirs, "time", "left")

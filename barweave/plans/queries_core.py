@@ -9,6 +9,7 @@ from ..functions import arrays as A
 from ..functions import maps as M
 from ..functions import mathlib as X
 from ..functions import matrices as Z
+from ..functions import params as I
 from ..functions import strings as S
 from ..functions import times as T
 from ..operators import resample as R
@@ -211,3 +212,8 @@ query("time_align", lambda s, d: B.event_bars(s, d).select("symbol", "bar_index"
 query("time_change", lambda s, d: B.event_bars(s, d).select("symbol", "bar_index", T.change(F.col("time"), "D").alias("value")), f"SELECT symbol, bar_index, coalesce(date_trunc('day', time) <> lag(date_trunc('day', time)) OVER (PARTITION BY symbol ORDER BY bar_index), false) AS value FROM {_HOURLY}")
 query("time_session", lambda s, d: B.event_bars(s, d).select("symbol", "bar_index", T.in_session(F.col("time"), "0930-1600:23456").alias("day"), T.in_session(F.col("time"), "2200-0400:23456").alias("night")), f"SELECT symbol, bar_index, hour(time) * 60 + minute(time) BETWEEN 570 AND 959 AND dayofweek(time) + 1 IN (2, 3, 4, 5, 6) AS day, (hour(time) >= 22 AND (dayofweek(time) + 1) % 7 + 1 IN (2, 3, 4, 5, 6)) OR (hour(time) < 4 AND dayofweek(time) + 1 IN (2, 3, 4, 5, 6)) AS night FROM {_HOURLY}")
 query("time_format", lambda s, d: B.event_bars(s, d).select("symbol", "bar_index", S.format_time(F.col("time").cast("timestamp"), "yyyy-MM-dd HH:mm").alias("value")), f"SELECT symbol, bar_index, strftime(time, '%Y-%m-%d %H:%M') AS value FROM {_HOURLY}")
+query("time_first_and_last_of_day", lambda s, d: B.event_bars(s, d).select("symbol", "bar_index", T.first_of_session(F.col("time")).alias("isfirst"), T.last_of_session(F.col("time")).alias("islast")), f"SELECT symbol, bar_index, coalesce(CAST(time AS DATE) <> lag(CAST(time AS DATE)) OVER (PARTITION BY symbol ORDER BY bar_index), true) AS isfirst, coalesce(CAST(time AS DATE) <> lead(CAST(time AS DATE)) OVER (PARTITION BY symbol ORDER BY bar_index), true) AS islast FROM {_HOURLY}")
+query("color_from_gradient", lambda s, d: B.event_bars(s, d).select("symbol", "bar_index", I.from_gradient(F.col("close"), 10.0, 60.0, "#102030", "#F0E0D0").alias("value")), f"SELECT symbol, bar_index, printf('#%02X%02X%02X', CAST(round(16 + 224 * x) AS INTEGER), CAST(round(32 + 192 * x) AS INTEGER), CAST(round(48 + 160 * x) AS INTEGER)) AS value FROM (SELECT *, least(greatest((close - 10) / 50.0, 0.0), 1.0) AS x FROM {_HOURLY})")
+query("input_source", lambda s, d: B.event_bars(s, d).select("symbol", "bar_index", I.Inputs({"src": "hlc3"}).source("src").alias("value")), f"SELECT symbol, bar_index, {r6('(high + low + close) / 3')} AS value FROM {_HOURLY}")
+query("join_other_symbol", lambda s, d: R.other_symbol(B.event_bars(s, d), "click", F.col("close"), "value").select("symbol", "bar_index", "value"), f"SELECT b.symbol, b.bar_index, {r6('o.close')} AS value FROM {_HOURLY} b LEFT JOIN (SELECT time, close FROM {_HOURLY} WHERE symbol = 'click') o USING (time)")
+query("join_first_in_lower_tf", lambda s, d: R.security_lower(R.by_calendar(B.event_bars(s, d), "D"), "D", B.event_bars(s, d), F.col("close")).select("symbol", "bar_index", "last", "first"), f"WITH b AS (SELECT * FROM {_HOURLY}) SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS INTEGER) AS bar_index, round(l, 6) + 0.0 AS last, round(f, 6) + 0.0 AS first FROM (SELECT symbol, date_trunc('day', time) AS day, last(close ORDER BY time) AS l, first(close ORDER BY time) AS f FROM b GROUP BY 1, 2)")
