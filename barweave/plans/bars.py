@@ -24,8 +24,8 @@ def number(bars: DataFrame) -> DataFrame:
 def from_ticks(ticks: DataFrame, symbol: Column, ts: Column, key: list[str], price: Column, size: Column, bucket: str) -> DataFrame:
     """Bars of width bucket (a date_trunc unit) from ticks in order of (ts, key).
 
-    One exchange: rows are dealt by symbol once, and both the aggregation by (symbol, time) and the
-    numbering of bars find them there. Symbols are the unit of parallel work downstream as well.
+    Ticks are combined where they lie and meet by (symbol, time), so a symbol with a third of all ticks
+    is spread over its buckets; only bars, far fewer, move on to be numbered within their symbol.
     """
     rows = ticks.select(symbol.alias("symbol"), F.date_trunc(bucket, ts).cast("timestamp_ntz").alias("time"), F.struct(ts.alias("ts"), *key).alias("at"), price.cast("double").alias("p"), size.cast("double").alias("v"))
     made = rows.groupBy("symbol", "time").agg(F.min_by("p", "at").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "at").alias("close"), F.sum("v").alias("volume"))
