@@ -36,7 +36,7 @@ from ..session import ship
 from .common import arrow, read, staged, utf8
 
 CAPACITY, SALTS, END = 2048, 64, 0
-MEMO, GROUP, MARKS = 600_000, 1 << 21, b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MEMO, GROUP, MARKS = 900_000, 1 << 21, b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Byte-level coders write bytes as letters: printable Latin-1 as itself, the others from U+0100 on in order.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
