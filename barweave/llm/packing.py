@@ -23,7 +23,6 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain, islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -42,8 +41,7 @@ MEMO, GROUP, MARKS = 900_000, 1 << 21, b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
-_memo: dict[str, dict[bytes, bytes]] = {}
-_coders: dict[str, object] = {}
+_words: dict[str, Words] = {}
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -52,30 +50,26 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _ids(coder, memo: dict[bytes, bytes], new: set[bytes]) -> dict[bytes, bytes]:
-    """The ids of words not met before. A tail of ASCII marks is a token sequence of its own, so a word and its forms with marks are encoded once."""
-    stem: dict[bytes, tuple[bytes, bytes]] = {}
-    for w in new:
+class Words(dict):
+    """The ids of words in little-endian 32-bit numbers, worked out when first met and kept for MEMO words at most."""
+
+    def __init__(self, coder):
+        self.coder, self.merges = coder, coder.model
+
+    def __missing__(self, w: bytes) -> bytes:
         base = w.rstrip(MARKS)
-        if base and len(base) < len(w) and b"<|" not in w and (base[-1] < 128 and base[-1:].isalnum() or base[-1] >= 128 and base.decode("utf-8", "replace")[-1].isalpha()):
-            stem[w] = base, w[len(base) :]
-    need = list({x for w in new for x in stem.get(w, (w,)) if x not in memo})
-    got: dict[bytes, bytes] = {}
-    rest = []
-    for w in need:
-        s = w.decode("utf-8", "replace")
-        if s.isalpha() and s.islower() and (s.isascii() or max(s) < "\u0250" and is_normalized("NFC", s)):
-            # one run of lower-case Latin letters: nothing to normalise or to split before the merges
-            got[w] = array("I", [t.id for t in coder.model.tokenize(s if s.isascii() else "".join(map(BYTE.__getitem__, w)))]).tobytes()
+        if base is not w and base and len(base) < len(w) and b"<|" not in w and (base[-1] < 128 and base[-1:].isalnum() or base[-1] >= 128 and base.decode("utf-8", "replace")[-1].isalpha()):
+            ids = self[base] + self[w[len(base) :]]  # a tail of ASCII marks is a token sequence of its own
         else:
-            rest.append(w)
-    for at in range(0, len(rest), 20_000):
-        some = rest[at : at + 20_000]
-        for w, e in zip(some, coder.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-            got[w] = np.array(e.ids, "<u4").tobytes()
-    for w, (base, tail) in stem.items():
-        got[w] = (got.get(base) or memo.get(base, b"")) + (got.get(tail) or memo.get(tail, b""))
-    return got
+            s = w.decode("utf-8", "replace")
+            if s.isalpha() and s.islower() and (s.isascii() or max(s) < "\u0250" and is_normalized("NFC", s)):
+                # one run of lower-case Latin letters: nothing to normalise or to split before the merges
+                ids = array("I", [t.id for t in self.merges.tokenize(s if s.isascii() else "".join(map(BYTE.__getitem__, w)))]).tobytes()
+            else:
+                ids = array("I", self.coder.encode(s, add_special_tokens=False).ids).tobytes()
+        if len(self) < MEMO:
+            self[w] = ids
+        return ids
 
 
 def encode(texts: list[bytes], path: str) -> Iterator[bytes]:
@@ -83,26 +77,16 @@ def encode(texts: list[bytes], path: str) -> Iterator[bytes]:
 
     The tokenizer drops white space and never looks across it, so a text's ids are those of its words
     one after another; it lower-cases, so words are met in lower case (but where the text of a special
-    token could appear). A word is encoded once for as long as the memo, of MEMO words at most, has it.
+    token could appear).
     """
-    if path not in _coders:
+    if path not in _words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _coders[path], _memo[path] = Tokenizer.from_file(path), {}
-    memo = _memo[path]
-    words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    flat = list(chain.from_iterable(words))
-    ids = list(map(memo.get, flat))
-    new = {w for w, x in zip(flat, ids, strict=True) if x is None}
-    if new:
-        got = _ids(_coders[path], memo, new)
-        ids = [got[w] if x is None else x for w, x in zip(flat, ids, strict=True)]
-        memo.update(islice(got.items(), max(0, MEMO - len(memo))))
-    at = 0
-    for ws in words:
-        yield b"".join(ids[at : at + len(ws)])
-        at += len(ws)
+        _words[path] = Words(Tokenizer.from_file(path))
+    get = _words[path].__getitem__
+    for t in texts:
+        yield b"".join(map(get, (t if b"<|" in t else t.lower()).split()))
 
 
 def _pieces(path: str, capacity: int):
