@@ -237,7 +237,7 @@ def fold(bars: DataFrame, *steps: Step) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("bar_index")
         got: dict[str, list[float]] = {}
-        columns = {c: t.column(c).cast(pa.float64()).fill_null(NA).to_numpy().tolist() for s in steps for c in s.inputs}
+        columns = {c: t.column(c).cast(pa.float64()).fill_null(NA).to_numpy().tolist() for c in {c for s in steps for c in s.inputs} - set(new)}  # others are made by earlier steps
         for s in steps:
             made = s.kernel(*(columns[c] for c in s.inputs), *s.args)
             for name, values in zip(s.names, made if len(s.names) > 1 else (made,), strict=True):

@@ -263,7 +263,7 @@ def correlation(a: Column, b: Column, n: int) -> Column:
     k = F.count(x).over(frame(n)).cast("double")
     sxy = _sum(x * y, n) - _sum(x, n) * _sum(y, n) / k
     sxx, syy = _sum(x * x, n) - _sum(x, n) * _sum(x, n) / k, _sum(y * y, n) - _sum(y, n) * _sum(y, n) / k
-    flat = (F.var_pop(x).over(frame(n)) <= 0) | (F.var_pop(y).over(frame(n)) <= 0)
+    flat = (F.max(x).over(frame(n)) == F.min(x).over(frame(n))) | (F.max(y).over(frame(n)) == F.min(y).over(frame(n)))
     return _age(n, F.when(k >= 2, F.when(flat, 0.0).otherwise(F.try_divide(sxy, F.sqrt(F.greatest(sxx, F.lit(0.0)) * F.greatest(syy, F.lit(0.0)))))))
 
 

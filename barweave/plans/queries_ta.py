@@ -141,7 +141,7 @@ add("cci", lambda b: ta.cci(P.C, N), full("close", "CASE WHEN s = 0 THEN 0 ELSE
 _chg = step("close - lag(close) OVER w")
 add("cmo", lambda b: b.withColumn("_s", ta.change(P.C)).withColumn("value", ta.cmo(F.col("_s"), N)), full("s", "coalesce(100 * sum(s) OVER f / nullif(sum(abs(s)) OVER f, 0), 0)"), _chg, source="d")
 add("cog", lambda b: ta.cog(P.C, N), f"-({weighted('close', [k + 1.0 for k in range(N)])}) / sum(close) OVER f")
-add("correlation", lambda b: ta.correlation(P.C, P.V, N), aged("coalesce(corr(close, volume) OVER f, 0)"))
+add("correlation", lambda b: ta.correlation(P.C, P.V, N), aged("CASE WHEN max(close) OVER f = min(close) OVER f OR max(volume) OVER f = min(volume) OVER f THEN 0 ELSE corr(close, volume) OVER f END"))
 add("stoch", lambda b: ta.stoch(P.C, P.H, P.L, N), aged("100 * (close - min(low) OVER f) / nullif(max(high) OVER f - min(low) OVER f, 0)"))
 add("wpr", lambda b: ta.wpr(N), aged("coalesce(-100 * (max(high) OVER f - close) / nullif(max(high) OVER f - min(low) OVER f, 0), 0)"))
 _up, _down = ("sum(CASE WHEN s IS NULL OR s %s 0 THEN close * volume ELSE 0 END) OVER f" % o for o in (">", "<"))
