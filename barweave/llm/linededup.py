@@ -1,18 +1,27 @@
 """Line de-duplication by a deletion-neighbourhood join.
 
-Two lines are the same if one edit (a code point inserted, deleted or replaced) at most lies between
-them; lines shorter than ``MIN_NEAR`` code points only if they are equal. A line goes when an earlier
-line is the same, earlier by doc_id and then by place in the document; what is earlier need not stay
-itself. Lines of white space only are neither removed nor compared.
+Two lines are the same if few edits (a code point inserted, deleted or replaced) lie between them: one,
+and one more for every ``STEP`` code points of the longer line, ``MOST`` at most; lines shorter than
+``MIN_NEAR`` code points only if they are equal. A line goes when an earlier line is the same, earlier by
+doc_id and then by place in the document; what is earlier need not stay itself. Lines of white space only
+are neither removed nor compared.
 
-Equal lines meet by their hash. For the others every variant with one code point deleted is a hashed
+Equal lines meet by their hash. Where one edit is allowed (under ``STEP`` code points), every variant with one code point deleted is a hashed
 key, together with where it was deleted: two lines that share a variant and the place differ by a
 replacement there, and a line that equals another's variant by an insertion, so the earliest line of a
 key is a witness and no pairs of a key are listed. Since nearly no line has a neighbour, the variants of
 single code points come last: first a half of the line is deleted, then a sixteenth, and only lines that
 share such a coarse variant with another line, hence may have a neighbour there, go on, and only with
 the variants of the part deleted. No neighbour within the bound is lost by this: whatever part holds
-the edit, the rest is equal. Each found pair's edit distance is verified.
+the edit, the rest is equal.
+
+Where 2 t or 2 t + 1 edits are allowed, one end of the line has t at most. It is cut into t + 1 parts, of
+which one is equal, after no more edits than parts: keys are the part i of each end, moved by up to i. The
+size of a part depends on the class of the longer line's length alone; a line near a border has the keys
+of two classes. Lines that share a part are compared if they are ``FEW``; of more, each is compared with
+the earliest, and for those still open the shared part is deleted and the rest, within the same number of
+edits, is cut again, until few share all the parts or a rest is too short to cut. No neighbour within the
+bound is lost by this. Each found pair's edit distance is verified.
 
 Texts are read twice (hashes of lines; then the few lines that may have a neighbour) and once more when
 lines are taken out. Nothing about all documents reaches the driver but a bitmap of fixed size.
@@ -36,6 +45,8 @@ from pyspark.sql import functions as F
 from .common import U64, arrow, mix, read, staged, unstage
 
 MIN_NEAR, PARTS, BITMAP = 16, 16, 26
+STEP, MOST = 40, 5
+FEW, DEPTH, SHORTEST = 32, 4, 4
 CHUNK = 1 << 18
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -116,8 +127,51 @@ def _coarse(h: Hashed, a: np.ndarray, b: np.ndarray, parts: int) -> list[tuple[n
     return out
 
 
+def edits(n: int) -> int:
+    """How many edits are allowed where the longer line has n code points."""
+    return min(1 + n // STEP, MOST)
+
+
+def _grid() -> np.ndarray:
+    """Borders of the classes of lengths: at least MOST + 1 apart, and one wherever the tier changes."""
+    fixed = [n for n in range(STEP, STEP * MOST + 1, STEP) if edits(n) // 2 != edits(n - 1) // 2]
+    out = [STEP % (MOST + 1)]
+    while out[-1] < 1 << 31:
+        nxt = max(out[-1] + MOST + 1, out[-1] * 8 // 7)
+        ahead = [f for f in fixed if out[-1] < f < nxt + MOST + 1]
+        out.append(ahead[0] if ahead else nxt)
+    return np.array(out, np.int64)
+
+
+GRID = _grid()
+
+
+def _cuts(h: Hashed, a: np.ndarray, b: np.ndarray, tier: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(which line, key, from, to, tier) of the parts of each line; tier: of rests of lines, or else as lengths give it."""
+    out = []
+    n = b - a
+    low = np.searchsorted(GRID, n, "right") - 1
+    high = np.searchsorted(GRID, n + MOST, "right") - 1
+    for c, use in ((low, np.ones(len(n), bool)), (high, high > low)):
+        at = GRID[np.maximum(c, 0)]
+        t = np.minimum(1 + at // STEP, MOST) // 2 if tier is None else tier
+        for each in np.unique(t):
+            q = (at - 4 * each - 1) // (2 * each + 2)
+            line = np.flatnonzero(use & (c >= 0) & (t == each) & (q >= (1 if tier is None else SHORTEST)))
+            if tier is None:
+                line = line[at[line] >= STEP]
+            x, y, size = a[line], b[line], q[line]
+            for i in range(each + 1):
+                for j in range(i + 1):
+                    for side in (0, 1):
+                        p = y - (i + 1) * size - j if side else x + i * size + j
+                        key = mix(h.of(p, p + size) + at[line].astype(U64) * U64(64) + U64(i * 2 + side))
+                        out.append((line, key, p, p + size, np.full(len(line), each)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each line that counts: id, line, two hashes, and the keys with a half deleted (none if it is short)."""
+    """For each line that counts: id, line, two hashes, and its keys: with a half deleted, or of its parts (none if it is short)."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for x, y in _groups(texts):
@@ -128,21 +182,33 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = ~_blank(points, begin, end)
             text, number, begin, end = text[keep], number[keep], begin[keep], end[keep]
             h, g = Hashed(points, 0), Hashed(points, 1)
-            near = end - begin >= MIN_NEAR - 1  # a shorter one may be the neighbour of one of MIN_NEAR
-            keys = np.stack([k for k, _, _ in _coarse(h, begin[near], end[near], 2)], 1).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.where(near, keys.shape[1], 0))])
+            near = np.flatnonzero((end - begin >= MIN_NEAR - 1) & (end - begin < STEP))  # a shorter one may be the neighbour of one of MIN_NEAR
+            half = [k for k, _, _ in _coarse(h, begin[near], end[near], 2)]
+            line, key, *_ = _cuts(h, begin, end)
+            line, keys = np.concatenate([np.tile(near, len(half)), line]), np.concatenate([*half, key])
+            keys = keys[np.argsort(line, kind="stable")].view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(begin)))])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(np.array(some)[text])),
                     pa.array(number, pa.int32()),
                     pa.array(h.of(begin, end).view(np.int64)),
                     pa.array(g.of(begin, end).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel())),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)),
                 ],
                 ["id", "line", "h", "g", "keys"],
             )
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The h of rows (key, h), in order, that share their key with another h."""
+    key, h = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        key, h = np.append(key[-1:], np.asarray(batch.column(0))), np.append(h[-1:], np.asarray(batch.column(1)))
+        meet = np.flatnonzero((key[1:] == key[:-1]) & (h[1:] != h[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.append(h[meet], h[meet + 1])))], ["h"])
+
+
 def _wanted(bitmap):
     """The lines whose hash may be wanted, with their text."""
 
@@ -213,6 +279,68 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, root, tier, key, rest) of each part of (h, root, tier, s) by a key that takes in the root; rest: s without it. Tier -1: a whole line.
+
+    What is too short to cut has its root for key and no rest.
+    """
+    for batch in batches:
+        own, root, tier = (np.asarray(batch.column(i)) for i in range(3))
+        texts = batch.column(3).to_pylist()
+        for x, y in _groups(texts):
+            points, _, _, begin, end = lines_of(texts[x:y])
+            whole = points.tobytes()
+            h, t = Hashed(points, 0), tier[x:y].astype(np.int64)
+            line, key, p, q, made = _cuts(h, begin, end, None if (t < 0).any() else t)
+            key = mix(key ^ root[x:y].view(U64)[line]).view(np.int64)
+            rest = [(whole[4 * begin[i] : 4 * a] + whole[4 * b : 4 * end[i]]).decode("utf-32-le", "replace") for i, a, b in zip(line, p, q, strict=True)]
+            left = np.setdiff1d(np.flatnonzero(t >= 0), line)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([own[x:y][line], own[x:y][left]])),
+                    pa.array(np.concatenate([made, t[left]]), pa.int32()),
+                    pa.array(np.concatenate([key, root[x:y][left]])),
+                    pa.array(rest + [None] * len(left), pa.string()),
+                ],
+                ["h", "tier", "key", "rest"],
+            )
+
+
+def _within(pair: DataFrame, text: DataFrame) -> DataFrame:
+    """The h of pairs (h, other) that are neighbours."""
+    pair = pair.join(text.select("h", "s"), "h").join(text.select(F.col("h").alias("other"), F.col("s").alias("t")), "other")
+    n = F.greatest(F.length("s"), F.length("t"))
+    bound = F.least(F.floor(n / STEP) + 1, F.lit(MOST))
+    return pair.where((n >= MIN_NEAR) & (F.abs(F.length("s") - F.length("t")) <= bound)).where((F.levenshtein("s", "t", MOST) >= 0) & (F.levenshtein("s", "t", MOST) <= bound)).select("h").distinct()
+
+
+def _few_edits(text: DataFrame) -> DataFrame:
+    """The h of lines (h, id, line, s) of STEP - MOST code points or more that have an earlier neighbour."""
+    at = text.select("h", F.struct("id", "line", "h").alias("at"))
+    now = text.select("h", F.lit(0).cast("long").alias("root"), F.lit(-1).alias("tier"), "s")
+    gone = None
+    for depth in range(DEPTH + 1):
+        cut = staged(arrow(now, _rests, "h long, tier int, key long, rest string").dropDuplicates(["h", "key"]).join(at, "h"), "line-parts")
+        size = cut.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("low")).where("n > 1")
+        size = staged(size.withColumn("whole", (F.col("n") <= FEW) | F.lit(depth == DEPTH)), "line-groups")
+        member = cut.select("h", "at", "key").join(size, "key").where("at > low")
+        if gone is not None:
+            member = member.join(gone, "h", "left_anti")
+        found = staged(_within(member.select("h", F.col("low.h").alias("other")).distinct(), text), "line-neighbours")
+        gone = found if gone is None else staged(gone.unionAll(found), "line-neighbours")
+        # for those still open, everything earlier that shares the part
+        still = staged(member.join(gone, "h", "left_anti").join(cut.select("h", "key", F.col("rest").isNull().alias("last")), ["h", "key"]).select("h", "at", "key", (F.col("whole") | F.col("last")).alias("whole")), "line-open")
+        other = cut.select("key", F.col("at").alias("w"))
+        pair = still.where("whole").select("h", "at", "key").join(other, "key").where("w < at").select("h", F.col("w.h").alias("other")).distinct()
+        gone = staged(gone.unionAll(_within(pair, text)).distinct(), "line-neighbours")
+        again = still.where("not whole").join(gone, "h", "left_anti").select("key").distinct()
+        now = staged(cut.where("rest is not null").join(again, "key", "left_semi").select("h", F.col("key").alias("root"), "tier", F.col("rest").alias("s")), "line-rests")
+        unstage(cut, size, still, found)
+        if now.isEmpty():
+            break
+    return gone
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(id, line, near): each line that goes, and whether for a neighbour (or else an equal line)."""
     spark = docs.sparkSession
@@ -220,15 +348,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     every = staged(arrow(rows, _first_pass, "id long, line int, h long, g long, keys array<long>"), "lines")
     where = F.struct("id", "line")
     first = staged(every.groupBy("h", "g").agg(F.min(where).alias("at"), F.count("*").alias("c")), "first-lines")
-    # lines that share a half with a different line; one row for each different line
-    lead = every.where(F.size("keys") > 0).join(first.select(F.col("at.id").alias("id"), F.col("at.line").alias("line")), ["id", "line"], "left_semi").dropDuplicates(["h", "g"])
-    halves = staged(lead.select("h", F.explode("keys").alias("key")), "halves")
-    twice = halves.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("key")
-    some = staged(halves.join(twice, "key", "left_semi").select("h").distinct(), "near-lines")
+    # lines that share a key with a different line
+    lead = every.where(F.size("keys") > 0).join(first.select(F.col("at.id").alias("id"), F.col("at.line").alias("line")), ["id", "line"], "left_semi")
+    keys = lead.select(F.explode("keys").alias("key"), "h").repartition("key").sortWithinPartitions("key", "h")
+    some = staged(arrow(keys, _shared, "h long").distinct(), "near-lines")
+    full, every = every, staged(every.drop("keys"), "lines")
+    unstage(full)
     bits = spark.sparkContext.broadcast(_low_bits(some))
     text = arrow(rows, _wanted(bits), "id long, line int, h long, s string")
     text = text.join(some, "h", "left_semi").join(first.where(F.col("c") > 0).select("h", F.col("at.id").alias("id"), F.col("at.line").alias("line")), ["h", "id", "line"], "left_semi")
-    text = staged(text.dropDuplicates(["h"]), "near-texts")
+    both = staged(text.dropDuplicates(["h"]), "near-texts")
+    text = both.where(F.length("s") < STEP)
     keys = staged(arrow(text.select("h", "s"), _part_keys, "h long, part int, key long"), "part-keys")
     twice = keys.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("key")
     asked = keys.join(twice, "key", "left_semi").groupBy("h").agg(F.sort_array(F.collect_set("part")).alias("parts"))  # at most 2 x PARTS
@@ -238,15 +368,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     best = made.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.struct("at", "h"))).alias(f"w{k}") for k in range(3)])
     pair = made.join(best, "key").select("h", "at", F.when(F.col("kind") == 0, F.col("w0")).when(F.col("kind") == 1, F.col("w2")).otherwise(F.col("w1")).alias("w"))
     pair = pair.where("w is not null and w.at < at and w.h <> h").select("h", F.col("w.h").alias("other")).distinct()
-    short = text.select("h", "s")
-    checked = pair.join(short, "h").join(short.select(F.col("h").alias("other"), F.col("s").alias("t")), "other")
-    checked = checked.where((F.greatest(F.length("s"), F.length("t")) >= MIN_NEAR) & (F.levenshtein("s", "t", 1) >= 0)).select("h").distinct()
-    gone = staged(checked, "neighbours")
+    more = _few_edits(both.where(F.length("s") >= STEP - MOST))
+    gone = staged(_within(pair, text).unionAll(more).distinct(), "neighbours")
     # a line with a neighbour goes wherever it stands; an equal line but for the first place
     out = every.join(first.where("c > 1").select("h", "g", "at"), ["h", "g"]).where(F.col("at") < where).select("id", "line", F.lit(False).alias("near"))
     out = out.unionAll(every.join(gone, "h", "left_semi").join(first.select("h", "g", "at"), ["h", "g"]).where(F.col("at") == where).select("id", "line", F.lit(True)))
     out = staged(out.distinct(), "removed")
-    unstage(every, first, halves, some, text, keys, made, gone)
+    unstage(every, first, some, both, keys, made, gone, more)
     return out
 
 

@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that an earlier document, or the same one earlier, has within one edit."""
+    """Without lines that an earlier document, or the same one earlier, has within the few edits of linededup."""
     return linededup.dedup(docs)
 
 

@@ -120,6 +120,40 @@ def test_lines_equal_brute_force(spark):
     assert got == lines_brute(rows)
 
 
+def few_edits_brute(rows):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    return {i for a, i in first.items() if any(j < i and abs(len(a) - len(b)) <= 5 and distance(a, b) <= linededup.edits(max(len(a), len(b))) for b, j in first.items())}
+
+
+@pytest.mark.parametrize("few", [32, 3])
+def test_longer_lines_allow_more_edits(spark, monkeypatch, few):
+    monkeypatch.setattr(linededup, "FEW", few)
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (36, 39, 44, 80, 81, 118, 122, 165, 240)]
+    rows = []
+    for i in range(140):
+        s = list(base[rng.randrange(len(base))])
+        for _ in range(rng.randrange(8)):
+            k = rng.randrange(len(s))
+            s[k : k + rng.randrange(2)] = rng.choice(["", "x", "😀"])
+        rows.append((i, "".join(s)))
+    word = "It is a truth long known that of all those who came to see the show none ever went"
+    rows += [(1000, word), (1001, word.replace(" of ", " in ")), (1002, word.replace("none", "kids"))]
+    got = {r.id for r in linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("near").collect()}
+    assert got == few_edits_brute(rows)
+    assert 1001 in got and 1002 not in got
+
+
 def test_lines_odd(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = {(r.id, r.line): r.near for r in linededup.removed_lines(odd).collect()}
