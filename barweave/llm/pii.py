@@ -2,7 +2,8 @@
 
 Seeds are what fixed patterns find: e-mail addresses, IPv4 addresses, payment cards and phone numbers.
 Every word with a digit or an at sign is a candidate, in the context of the one and of the two words
-before it: the lexical patterns. Patterns and candidates form a graph. A pattern's confidence is the
+before it: the lexical patterns. A candidate among those words stands there by its form, each run of digits
+as ``#`` and an address as ``@``, so that identifiers in a row share patterns. Patterns and candidates form a graph. A pattern's confidence is the
 share of what it precedes that is known, each different candidate counting once with its own score
 (and one unknown added, so that little evidence gives little confidence); a candidate's score is 1 for
 a seed, and otherwise the chance that not all of its patterns err. After ``ROUNDS`` rounds, candidates
@@ -27,6 +28,7 @@ from .common import read, staged
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SURE, SUPPORT, WALK = 3, 0.8, 3, 128
+WORD = 40  # longer words are no context
 LOCAL = "A-Za-z0-9._%+-"
 PATTERN = {
     "email": rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -71,6 +73,8 @@ def _let(value: Column, then) -> Column:
 def _walk(match: Column, between: Column, row, keep, kind: str) -> Column:
     """An array of what row gives for each match that passes keep; start and end count code points.
 
+    row is given start, end, match and the text before it, which reaches back over two earlier matches.
+
     Matches go in blocks, so that adding to an array, which copies it, costs a bounded time for each.
     """
     none = F.array().cast(kind)
@@ -97,7 +101,8 @@ def _walk(match: Column, between: Column, row, keep, kind: str) -> Column:
                     m, before = F.element_at(v["m"], i), F.element_at(v["s"], i)
                     start = acc["at"] + F.length(before)
                     end = start + F.length(m)
-                    out = F.when(keep(m), F.concat(acc["out"], F.array(row(start, end, m, before)).cast(kind))).otherwise(acc["out"])
+                    gap, last, earlier = (F.coalesce(F.right(F.get(x, i - k), F.lit(WORD + n)), F.lit("")) for x, k, n in ((v["s"], 2, WORD + 4), (v["m"], 2, 2), (v["m"], 3, 2)))
+                    out = F.when(keep(m), F.concat(acc["out"], F.array(row(start, end, m, F.concat(earlier, gap, last, before))).cast(kind))).otherwise(acc["out"])
                     return F.struct(end.cast("int").alias("at"), out.alias("out"))
 
                 return F.aggregate(inside(b), zero, step, lambda acc: acc["out"])
@@ -112,7 +117,8 @@ def _walk(match: Column, between: Column, row, keep, kind: str) -> Column:
 def _context(before: Column, words: int) -> Column:
     """The last words of what precedes, in lower case; empty if there are fewer. Words of over 40 characters are no context."""
     near = F.right(before, F.lit(41 * words + 1))
-    return F.lower(F.regexp_replace(F.regexp_extract(near, r"(?:^|\s)" + r"\s++".join([r"(?:\S{1,40}+)"] * words) + r"\s++$", 0), r"\s+", " "))
+    found = F.lower(F.regexp_replace(F.regexp_extract(near, r"(?:^|\s)" + r"\s++".join([r"(?:\S{1,40}+)"] * words) + r"\s++$", 0), r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(found, r"\S*@\S*", "@"), "[0-9]+", "#")
 
 
 def base_spans(docs: DataFrame, text: str = "text", prefix: str = "_") -> DataFrame:

@@ -50,6 +50,14 @@ def test_contexts_discover_identifiers(spark):
     assert got[200] == [] and all(not got[i] for i in range(30))
 
 
+def test_contexts_reach_over_neighbouring_candidates(spark):
+    rows = [(i, f"words then ids: {i} user{i}@mail{i % 7}.org more") for i in range(30)] + [(100 + i, f"words then ids: {i} QX-{i}77 more") for i in range(4)]
+    rows += [(200 + i, f"see list a{i}@b.org c{i}@d.org e{i}@f.org end") for i in range(30)] + [(300, "see list a1@b.org c1@d.org ZZ-4471 end")]
+    got = {r.doc_id: [tuple(s) for s in r.found] for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    assert [[text[k][a:b] for _, a, b in got[k]] for k in (100, 101, 102, 103, 300)] == [["QX-077"], ["QX-177"], ["QX-277"], ["QX-377"], ["ZZ-4471"]]
+
+
 def test_masking_odd(spark, odd, empty):
     df = spark.createDataFrame([(1, "mail é a@b.co, call +1 234 567 8901 now", 0), (1, "mail é a@b.co, call +1 234 567 8901 now", 0), (None, "1.2.3.4", 0), (3, None, 0)], "doc_id long, text string, n_chars long")
     got = sorted((r.doc_id or -1, r.text, r.n_chars) for r in pii.masked(df).where("text is not null").collect())
