@@ -1,35 +1,37 @@
 """Line de-duplication by a deletion-neighbourhood join.
 
-Two lines are the same if few edits (a code point inserted, deleted or replaced) lie between them: one,
-and one more for every ``STEP`` code points of the longer line, ``MOST`` at most; lines shorter than
-``MIN_NEAR`` code points only if they are equal. A line goes when an earlier line is the same, earlier by
-doc_id and then by place in the document; what is earlier need not stay itself. Lines of white space only
-are neither removed nor compared.
-
-Equal lines meet by their hash. Where one edit is allowed (under ``STEP`` code points), every variant with one code point deleted is a hashed
-key, together with where it was deleted: two lines that share a variant and the place differ by a
-replacement there, and a line that equals another's variant by an insertion, so the earliest line of a
-key is a witness and no pairs of a key are listed. Since nearly no line has a neighbour, the variants of
-single code points come last: first a half of the line is deleted, then a sixteenth, and only lines that
-share such a coarse variant with another line, hence may have a neighbour there, go on, and only with
-the variants of the part deleted. No neighbour within the bound is lost by this: whatever part holds
-the edit, the rest is equal.
+Two lines are the same if few edits (a code point inserted, deleted or replaced) lie between them: at
+most one for every ``SHARE`` code points of the longer line, one and one more for every ``STEP`` of them,
+and ``MOST``; so lines under ``SHARE`` code points only if they are equal. A line goes when an earlier line
+is the same, earlier by doc_id and then by place in the document; what is earlier need not stay itself.
+Lines of white space only are neither removed nor compared.
+
+Equal lines meet by their hash. Where one edit is allowed (under ``STEP`` code points), every variant with
+one code point deleted is a hashed key, together with where it was deleted: two lines that share a variant
+and the place differ by a replacement there, and a line that equals another's variant by an insertion, so
+the earliest line of a key is a witness and no pairs of a key are listed. Since nearly no line has a
+neighbour, the variants of single code points come last: first a half of the line is deleted, then a
+sixteenth, and only lines that share such a coarse variant with another line, hence may have a neighbour
+there, go on, and only with the variants of the part deleted. No neighbour within the bound is lost by
+this: whatever part holds the edit, the rest is equal.
 
 Where 2 t or 2 t + 1 edits are allowed, one end of the line has t at most. It is cut into t + 1 parts, of
-which one is equal, after no more edits than parts: keys are the part i of each end, moved by up to i. The
-size of a part depends on the class of the longer line's length alone; a line near a border has the keys
-of two classes. Lines that share a part are compared if they are ``FEW``; of more, each is compared with
-the earliest, and for those still open the shared part is deleted and the rest, within the same number of
-edits, is cut again, until few share all the parts or a rest is too short to cut. No neighbour within the
-bound is lost by this. Each found pair's edit distance is verified.
+which one is equal, after no more edits than parts: the variants are those with all but the part i of an
+end deleted, moved by up to i. The size of a part depends on the class of the longer line's length alone; a
+line near a border has the keys of two classes. Lines that share a part are compared where they meet,
+``LARGE`` of them at most, each with the earlier ones until one is a neighbour: sets of three code points
+first, which few edits change little, then the edit distance, diagonal by diagonal. Of more, each is
+compared with the earliest, and while some are open the shared part is deleted and the rest, within the
+same number of edits, is cut again; what is still large after ``DEPTH`` rounds is compared block by block.
+No neighbour within the bound is lost by this.
 
 Texts are read twice (hashes of lines; then the few lines that may have a neighbour) and once more when
 lines are taken out. Nothing about all documents reaches the driver but a bitmap of fixed size.
 
 Defined results: a null text has no lines and stays null; an empty one is one blank line. Rows without
-an id stay as they are and witness nothing. Rows of one id count as one document; a line at the same
-place of two such rows does not remove itself. Lines of any length are read whole. Columns other than
-text and n_chars stay as they are.
+an id, or with one that is no whole number, stay as they are and witness nothing. Rows of one id count as
+one document; a line at the same place of two such rows does not remove itself. Lines of any length are
+read whole. Columns other than text and n_chars stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,12 +44,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow, mix, read, staged, unstage
+from .common import U64, arrow, fresh, mix, read, staged, unstage
 
-MIN_NEAR, PARTS, BITMAP = 16, 16, 26
-STEP, MOST = 40, 5
-FEW, DEPTH, SHORTEST = 32, 4, 4
-CHUNK = 1 << 18
+SHARE, STEP, MOST = 8, 40, 5
+PARTS, BITMAP = 16, 26
+LARGE, DEPTH, SHORTEST = 2048, 4, 4
+CHUNK, PAIRS = 1 << 18, 20_000
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _up, _down = np.ones(1, U64), np.ones(1, U64)
@@ -99,11 +101,11 @@ def _blank(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return seen[end] == seen[begin]
 
 
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str | None], chunk: int = CHUNK) -> Iterator[tuple[int, int]]:
     a, size = 0, 0
     for b, t in enumerate(texts):
         size += len(t or "")
-        if size >= CHUNK:
+        if size >= chunk:
             yield a, b + 1
             a, size = b + 1, 0
     if a < len(texts):
@@ -129,7 +131,7 @@ def _coarse(h: Hashed, a: np.ndarray, b: np.ndarray, parts: int) -> list[tuple[n
 
 def edits(n: int) -> int:
     """How many edits are allowed where the longer line has n code points."""
-    return min(1 + n // STEP, MOST)
+    return min(n // SHARE, 1 + n // STEP, MOST)
 
 
 def _grid() -> np.ndarray:
@@ -147,8 +149,8 @@ GRID = _grid()
 
 
 def _cuts(h: Hashed, a: np.ndarray, b: np.ndarray, tier: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(which line, key, from, to, tier) of the parts of each line; tier: of rests of lines, or else as lengths give it."""
-    out = []
+    """(which line, key, from, to, tier) of the parts of each line, and the lines too short to cut in one of their classes; tier: of rests of lines, or else as lengths give it."""
+    out, short = [], [np.zeros(0, np.int64)]
     n = b - a
     low = np.searchsorted(GRID, n, "right") - 1
     high = np.searchsorted(GRID, n + MOST, "right") - 1
@@ -160,6 +162,8 @@ def _cuts(h: Hashed, a: np.ndarray, b: np.ndarray, tier: np.ndarray | None = Non
             line = np.flatnonzero(use & (c >= 0) & (t == each) & (q >= (1 if tier is None else SHORTEST)))
             if tier is None:
                 line = line[at[line] >= STEP]
+            else:
+                short.append(np.flatnonzero(use & (t == each) & ((c < 0) | (q < SHORTEST))))
             x, y, size = a[line], b[line], q[line]
             for i in range(each + 1):
                 for j in range(i + 1):
@@ -167,7 +171,8 @@ def _cuts(h: Hashed, a: np.ndarray, b: np.ndarray, tier: np.ndarray | None = Non
                         p = y - (i + 1) * size - j if side else x + i * size + j
                         key = mix(h.of(p, p + size) + at[line].astype(U64) * U64(64) + U64(i * 2 + side))
                         out.append((line, key, p, p + size, np.full(len(line), each)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
+    made = tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
+    return *made, np.unique(np.concatenate(short))
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +187,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = ~_blank(points, begin, end)
             text, number, begin, end = text[keep], number[keep], begin[keep], end[keep]
             h, g = Hashed(points, 0), Hashed(points, 1)
-            near = np.flatnonzero((end - begin >= MIN_NEAR - 1) & (end - begin < STEP))  # a shorter one may be the neighbour of one of MIN_NEAR
-            half = [k for k, _, _ in _coarse(h, begin[near], end[near], 2)]
+            near = np.flatnonzero((end - begin >= SHARE - 1) & (end - begin < STEP))  # a shorter one may be the neighbour of one of SHARE
+            half = [k & ~U64(1) for k, _, _ in _coarse(h, begin[near], end[near], 2)]  # even: halves, odd: parts
             line, key, *_ = _cuts(h, begin, end)
-            line, keys = np.concatenate([np.tile(near, len(half)), line]), np.concatenate([*half, key])
+            line, keys = np.concatenate([np.tile(near, len(half)), line]), np.concatenate([*half, key | U64(1)])
             keys = keys[np.argsort(line, kind="stable")].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(begin)))])
             yield pa.RecordBatch.from_arrays(
@@ -201,12 +206,13 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The h of rows (key, h), in order, that share their key with another h."""
+    """The rows (key, h), in order, that share their key with another h."""
     key, h = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         key, h = np.append(key[-1:], np.asarray(batch.column(0))), np.append(h[-1:], np.asarray(batch.column(1)))
         meet = np.flatnonzero((key[1:] == key[:-1]) & (h[1:] != h[:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.append(h[meet], h[meet + 1])))], ["h"])
+        at = np.union1d(meet, meet + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(h[at])], ["key", "h"])
 
 
 def _wanted(bitmap):
@@ -226,9 +232,10 @@ def _wanted(bitmap):
                 take = np.flatnonzero(bits[pos >> 3] >> (pos & 7) & 1)
                 if len(take):
                     whole = points.tobytes()
+                    g = Hashed(points, 1).of(begin[take], end[take])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(np.array(some)[text[take]])), pa.array(number[take], pa.int32()), pa.array(h[take].view(np.int64)), pa.array([whole[4 * begin[i] : 4 * end[i]].decode("utf-32-le", "replace") for i in take])],
-                        ["id", "line", "h", "s"],
+                        [batch.column(0).take(pa.array(np.array(some)[text[take]])), pa.array(number[take], pa.int32()), pa.array(h[take].view(np.int64)), pa.array(g.view(np.int64)), pa.array([whole[4 * begin[i] : 4 * end[i]].decode("utf-32-le", "replace") for i in take])],
+                        ["id", "line", "h", "g", "s"],
                     )
 
     return run
@@ -280,7 +287,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, root, tier, key, rest) of each part of (h, root, tier, s) by a key that takes in the root; rest: s without it. Tier -1: a whole line.
+    """(h, tier, key, rest) of each part of (h, root, tier, s) by a key that takes in the root; rest: s without it. Tier -1: a whole line.
 
     What is too short to cut has its root for key and no rest.
     """
@@ -291,90 +298,192 @@ def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             points, _, _, begin, end = lines_of(texts[x:y])
             whole = points.tobytes()
             h, t = Hashed(points, 0), tier[x:y].astype(np.int64)
-            line, key, p, q, made = _cuts(h, begin, end, None if (t < 0).any() else t)
-            key = mix(key ^ root[x:y].view(U64)[line]).view(np.int64)
+            top = bool((t < 0).any())
+            line, key, p, q, made, short = _cuts(h, begin, end, None if top else t)
+            key = (key | U64(1) if top else mix(key ^ root[x:y].view(U64)[line])).view(np.int64)
             rest = [(whole[4 * begin[i] : 4 * a] + whole[4 * b : 4 * end[i]]).decode("utf-32-le", "replace") for i, a, b in zip(line, p, q, strict=True)]
-            left = np.setdiff1d(np.flatnonzero(t >= 0), line)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([own[x:y][line], own[x:y][left]])),
-                    pa.array(np.concatenate([made, t[left]]), pa.int32()),
-                    pa.array(np.concatenate([key, root[x:y][left]])),
-                    pa.array(rest + [None] * len(left), pa.string()),
+                    pa.array(np.concatenate([own[x:y][line], own[x:y][short]])),
+                    pa.array(np.concatenate([made, t[short]]), pa.int32()),
+                    pa.array(np.concatenate([key, root[x:y][short]])),
+                    pa.array(rest + [None] * len(short), pa.string()),
                 ],
                 ["h", "tier", "key", "rest"],
             )
 
 
+def _triples(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each line a set of 256 bits of its runs of three code points; an edit changes six bits at most."""
+    n = np.maximum(end - begin - 2, 0)
+    line = np.repeat(np.arange(len(n)), n)
+    at = np.repeat(begin, n) + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+    x = points.astype(U64)
+    bit = (mix((x[at] * U64(1 << 42)) ^ (x[at + 1] << U64(21)) ^ x[at + 2]) >> U64(56)).astype(np.int64)
+    out = np.zeros(len(n) * 256, bool)
+    out[line * 256 + bit] = True
+    return np.packbits(out.reshape(len(n), 256), axis=1).view(U64)
+
+
+def edit_distance(h: Hashed, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, most: int = MOST) -> np.ndarray:
+    """Edit distances of the stretches [a, a + n) and [b, b + m), most + 1 where larger: how far each diagonal gets with each number of edits."""
+    out = np.full(len(a), most + 1, np.int64)
+
+    def along(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many code points agree from i and j on, by halving."""
+        low, high = np.zeros(len(i), np.int64), np.minimum(n - i, m - j)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = (h.sum[a + i + mid] - h.sum[a + i]) * h.down[a + i] == (h.sum[b + j + mid] - h.sum[b + j]) * h.down[b + j]
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+    far = {0: along(np.zeros_like(a), np.zeros_like(b))}
+    nothing = np.full(len(a), -(1 << 40), np.int64)
+    for e in range(most + 1):
+        if e:
+            new = {}
+            for d in range(-e, e + 1):
+                i = np.maximum(np.maximum(far.get(d, nothing) + 1, far.get(d - 1, nothing)), far.get(d + 1, nothing) + 1)
+                i = np.minimum(i, np.minimum(n, m - d))
+                ok = (i >= 0) & (i + d >= 0)
+                i = np.where(ok, i, 0)
+                new[d] = np.where(ok, i + along(i, np.where(ok, i + d, 0)), nothing)
+            far = new
+        for d, i in far.items():
+            out = np.where((m - n == d) & (i >= n) & (out > e), e, out)
+    return out
+
+
+def _witnessed(key: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Which of the lines, in order of key and then of place, have a neighbour before them among those of their key."""
+    points, _, _, begin, end = lines_of(texts)
+    n, h = end - begin, Hashed(points, 0)
+    bits = _triples(points, begin, end)
+    last = np.searchsorted(key, key, "right")
+    allowed = np.minimum(np.minimum(n // SHARE, 1 + n // STEP), MOST)
+    done = np.zeros(len(n), bool)
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def verify() -> None:
+        if held:
+            i, j, most = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            done[j[edit_distance(h, begin[i], n[i], begin[j], n[j]) <= most]] = True
+
+    act, d, size = np.arange(len(n)), 1, 0
+    while len(act := act[act + d < last[act]]):
+        i = act[~done[act + d]]
+        j = i + d
+        most = np.maximum(allowed[i], allowed[j])
+        near = np.abs(n[i] - n[j]) <= most
+        i, j, most = i[near], j[near], most[near]
+        near = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= 6 * most
+        if near.any():
+            held.append((i[near], j[near], most[near]))
+            size += int(near.sum())
+        if size >= PAIRS:
+            verify()
+            size = 0
+        d += 1
+    verify()
+    return done
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, g) of the rows (key, h, g, s), in order of key and place, that have an earlier neighbour in their key."""
+    key, h, g, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def out(cut: int) -> pa.RecordBatch:
+        done = _witnessed(key[:cut], s[:cut])
+        return pa.RecordBatch.from_arrays([pa.array(h[:cut][done]), pa.array(g[:cut][done])], ["h", "g"])
+
+    for batch in batches:
+        k, x, y = (np.asarray(batch.column(i)) for i in range(3))
+        texts = batch.column(3).to_pylist()
+        for a, b in _groups(texts, 4 * CHUNK):
+            key, h, g, s = np.append(key, k[a:b]), np.append(h, x[a:b]), np.append(g, y[a:b]), s + texts[a:b]
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if cut:
+                yield out(cut)
+                key, h, g, s = key[cut:], h[cut:], g[cut:], s[cut:]
+    if len(key):
+        yield out(len(key))
+
+
 def _within(pair: DataFrame, text: DataFrame) -> DataFrame:
-    """The h of pairs (h, other) that are neighbours."""
-    pair = pair.join(text.select("h", "s"), "h").join(text.select(F.col("h").alias("other"), F.col("s").alias("t")), "other")
+    """(h, g) of the pairs (h, g, other, more: the h and g of another line) that are neighbours."""
+    pair = pair.join(text.select("h", "g", "s"), ["h", "g"]).join(text.select(F.col("h").alias("other"), F.col("g").alias("more"), F.col("s").alias("t")), ["other", "more"])
     n = F.greatest(F.length("s"), F.length("t"))
-    bound = F.least(F.floor(n / STEP) + 1, F.lit(MOST))
-    return pair.where((n >= MIN_NEAR) & (F.abs(F.length("s") - F.length("t")) <= bound)).where((F.levenshtein("s", "t", MOST) >= 0) & (F.levenshtein("s", "t", MOST) <= bound)).select("h").distinct()
+    bound = F.least(F.floor(n / SHARE), F.floor(n / STEP) + 1, F.lit(MOST))
+    return pair.where(F.abs(F.length("s") - F.length("t")) <= bound).where((F.levenshtein("s", "t", MOST) >= 0) & (F.levenshtein("s", "t", MOST) <= bound)).select("h", "g").distinct()
 
 
-def _few_edits(text: DataFrame) -> DataFrame:
-    """The h of lines (h, id, line, s) of STEP - MOST code points or more that have an earlier neighbour."""
-    at = text.select("h", F.struct("id", "line", "h").alias("at"))
-    now = text.select("h", F.lit(0).cast("long").alias("root"), F.lit(-1).alias("tier"), "s")
-    gone = None
+def _few_edits(text: DataFrame, member: DataFrame) -> DataFrame:
+    """(h, g) of the lines (h, g, id, line, s) that have an earlier neighbour among those they share a part with; member: (key, h) of the parts."""
+    shared, cut, gone = member.withColumn("whole", F.lit(False)), None, None
+    where = F.struct("id", "line", "h", "g")
     for depth in range(DEPTH + 1):
-        cut = staged(arrow(now, _rests, "h long, tier int, key long, rest string").dropDuplicates(["h", "key"]).join(at, "h"), "line-parts")
-        size = cut.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("low")).where("n > 1")
-        size = staged(size.withColumn("whole", (F.col("n") <= FEW) | F.lit(depth == DEPTH)), "line-groups")
-        member = cut.select("h", "at", "key").join(size, "key").where("at > low")
-        if gone is not None:
-            member = member.join(gone, "h", "left_anti")
-        found = staged(_within(member.select("h", F.col("low.h").alias("other")).distinct(), text), "line-neighbours")
+        size = shared.groupBy("key").agg(F.count("*").alias("n"), F.max("whole").alias("whole")).where("n > 1")
+        size = staged(size.withColumn("whole", F.col("whole") | (F.col("n") <= LARGE) | F.lit(depth == DEPTH)), "line-groups")
+        rows = shared.select("key", "h").join(size, "key").join(text, "h")
+        # a large group that can't be cut any more is compared block by block, each two blocks in a task
+        blocks = F.when(F.col("n") > LARGE, F.ceil(F.col("n") / F.lit(LARGE // 2))).otherwise(1).cast("int")
+        dealt = rows.where("whole").withColumn("b", F.pmod(F.xxhash64("h", "g"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.withColumn("key", F.when(F.col("n") > LARGE, F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o"))).otherwise(F.col("key")))
+        dealt = dealt.select("key", "h", "g", "s", "id", "line").repartition("key").sortWithinPartitions("key", "id", "line").select("key", "h", "g", "s")
+        found = staged(arrow(dealt, _compare, "h long, g long").distinct(), "line-neighbours")
         gone = found if gone is None else staged(gone.unionAll(found), "line-neighbours")
-        # for those still open, everything earlier that shares the part
-        still = staged(member.join(gone, "h", "left_anti").join(cut.select("h", "key", F.col("rest").isNull().alias("last")), ["h", "key"]).select("h", "at", "key", (F.col("whole") | F.col("last")).alias("whole")), "line-open")
-        other = cut.select("key", F.col("at").alias("w"))
-        pair = still.where("whole").select("h", "at", "key").join(other, "key").where("w < at").select("h", F.col("w.h").alias("other")).distinct()
-        gone = staged(gone.unionAll(_within(pair, text)).distinct(), "line-neighbours")
-        again = still.where("not whole").join(gone, "h", "left_anti").select("key").distinct()
-        now = staged(cut.where("rest is not null").join(again, "key", "left_semi").select("h", F.col("key").alias("root"), "tier", F.col("rest").alias("s")), "line-rests")
-        unstage(cut, size, still, found)
-        if now.isEmpty():
+        large = size.where("not whole").select("key")
+        if depth == DEPTH or large.isEmpty():
+            unstage(size)
             break
+        hot = rows.where("not whole")
+        low = hot.groupBy("key").agg(F.min(where).alias("low")).select("key", F.col("low.h").alias("other"), F.col("low.g").alias("more"))
+        gone = staged(gone.unionAll(_within(hot.join(low, "key").where("h <> other or g <> more").select("h", "g", "other", "more"), text)).distinct(), "line-neighbours")
+        # where lines are still open, all lines of the key go on with the rest that the shared part leaves
+        again = staged(hot.select("key", "h", "g").join(gone, ["h", "g"], "left_anti").groupBy("key").agg(F.count("*").alias("open")).where("open > 1").select("key"), "line-open")
+        if cut is None:
+            cut = arrow(shared.join(again, "key", "left_semi").select("h").distinct().join(text, "h").select("h", F.lit(0).cast("long").alias("root"), F.lit(-1).alias("tier"), "s"), _rests, "h long, tier int, key long, rest string")
+        now = cut.where("rest is not null").join(again, "key", "left_semi").select("h", F.col("key").alias("root"), "tier", F.col("rest").alias("s"))
+        cut = staged(arrow(now, _rests, "h long, tier int, key long, rest string").dropDuplicates(["h", "key"]), "line-parts")
+        shared = cut.select("key", "h", F.col("rest").isNull().alias("whole"))
     return gone
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(id, line, near): each line that goes, and whether for a neighbour (or else an equal line)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("id"), "text").where("id is not null and text is not null")
     every = staged(arrow(rows, _first_pass, "id long, line int, h long, g long, keys array<long>"), "lines")
     where = F.struct("id", "line")
     first = staged(every.groupBy("h", "g").agg(F.min(where).alias("at"), F.count("*").alias("c")), "first-lines")
     # lines that share a key with a different line
     lead = every.where(F.size("keys") > 0).join(first.select(F.col("at.id").alias("id"), F.col("at.line").alias("line")), ["id", "line"], "left_semi")
     keys = lead.select(F.explode("keys").alias("key"), "h").repartition("key").sortWithinPartitions("key", "h")
-    some = staged(arrow(keys, _shared, "h long").distinct(), "near-lines")
-    full, every = every, staged(every.drop("keys"), "lines")
-    unstage(full)
+    member = staged(arrow(keys, _shared, "key long, h long").distinct(), "near-lines")
+    some = member.select("h").distinct()
     bits = spark.sparkContext.broadcast(_low_bits(some))
-    text = arrow(rows, _wanted(bits), "id long, line int, h long, s string")
-    text = text.join(some, "h", "left_semi").join(first.where(F.col("c") > 0).select("h", F.col("at.id").alias("id"), F.col("at.line").alias("line")), ["h", "id", "line"], "left_semi")
-    both = staged(text.dropDuplicates(["h"]), "near-texts")
+    text = arrow(rows, _wanted(bits), "id long, line int, h long, g long, s string")
+    text = text.join(some, "h", "left_semi").join(first.select("h", "g", F.col("at.id").alias("id"), F.col("at.line").alias("line")), ["h", "g", "id", "line"], "left_semi")
+    both = staged(text.dropDuplicates(["h", "g"]), "near-texts")
     text = both.where(F.length("s") < STEP)
     keys = staged(arrow(text.select("h", "s"), _part_keys, "h long, part int, key long"), "part-keys")
     twice = keys.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("key")
     asked = keys.join(twice, "key", "left_semi").groupBy("h").agg(F.sort_array(F.collect_set("part")).alias("parts"))  # at most 2 x PARTS
     made = arrow(text.join(asked, "h").select("h", "s", "parts"), _variants, "h long, key long, kind int")
-    made = staged(made.join(text.select("h", F.struct("id", "line").alias("at")), "h"), "variants")
+    made = staged(made.join(text.select("h", "g", F.struct("id", "line").alias("at")), "h"), "variants")
     # the earliest line of each key: among those with the same place, and of either side of an insertion
-    best = made.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.struct("at", "h"))).alias(f"w{k}") for k in range(3)])
-    pair = made.join(best, "key").select("h", "at", F.when(F.col("kind") == 0, F.col("w0")).when(F.col("kind") == 1, F.col("w2")).otherwise(F.col("w1")).alias("w"))
-    pair = pair.where("w is not null and w.at < at and w.h <> h").select("h", F.col("w.h").alias("other")).distinct()
-    more = _few_edits(both.where(F.length("s") >= STEP - MOST))
+    best = made.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.struct("at", "h", "g"))).alias(f"w{k}") for k in range(3)])
+    pair = made.join(best, "key").select("h", "g", "at", F.when(F.col("kind") == 0, F.col("w0")).when(F.col("kind") == 1, F.col("w2")).otherwise(F.col("w1")).alias("w"))
+    pair = pair.where("w is not null and w.at < at and (w.h <> h or w.g <> g)").select("h", "g", F.col("w.h").alias("other"), F.col("w.g").alias("more")).distinct()
+    more = _few_edits(both.where(F.length("s") >= STEP - MOST), member.where("key % 2 <> 0"))
     gone = staged(_within(pair, text).unionAll(more).distinct(), "neighbours")
     # a line with a neighbour goes wherever it stands; an equal line but for the first place
     out = every.join(first.where("c > 1").select("h", "g", "at"), ["h", "g"]).where(F.col("at") < where).select("id", "line", F.lit(False).alias("near"))
-    out = out.unionAll(every.join(gone, "h", "left_semi").join(first.select("h", "g", "at"), ["h", "g"]).where(F.col("at") == where).select("id", "line", F.lit(True)))
+    out = out.unionAll(first.join(gone, ["h", "g"], "left_semi").select("at.id", "at.line", F.lit(True)))
     out = staged(out.distinct(), "removed")
-    unstage(every, first, some, both, keys, made, gone, more)
+    unstage(every, first, member, both, keys, made, gone, more)
     return out
 
 
@@ -402,25 +511,26 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs with the lines (id, line) taken out of text, and n_chars, where there is one, counted again."""
-    listed = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_list("line").alias("__gone"))
+    own, lines = fresh(docs, "id"), fresh(docs, "gone")
+    listed = gone.groupBy(F.col("id").alias(own)).agg(F.collect_list("line").alias(lines))
     rest = [c for c in docs.columns if c != "text"]
-    both = docs.join(listed, docs["doc_id"].cast("long") == listed["__id"], "left")
-    changed = both.where("__gone is not null").select("text", "__gone", *[f"`{c}`" for c in rest])
+    both = docs.join(listed, docs["doc_id"].try_cast("long") == listed[own], "left")
+    changed = both.where(F.col(lines).isNotNull()).select("text", lines, *[f"`{c}`" for c in rest])
     schema = ", ".join(["text string", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]])
     out = arrow(changed, _without, schema)
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    same = both.where("__gone is null").select(*docs.columns)
-    return same.unionByName(out.select(*docs.columns))
+    names = [f"`{c}`" for c in docs.columns]
+    same = both.where(F.col(lines).isNull()).select(*names)
+    return same.unionByName(out.select(*names))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without repeated lines; a document that had lines and has none left but blank ones goes."""
     gone = removed_lines(docs)
     out = without_lines(docs, gone)
-    touched = gone.select(F.col("id").alias("doc_id")).distinct()
-    blank = out.where(F.col("text").isNotNull() & ~F.col("text").rlike(r"\S")).select("doc_id").join(touched, "doc_id", "left_semi")
-    return out.join(blank.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    blank = out.where(F.col("text").isNotNull() & ~F.col("text").rlike(r"\S")).select(F.col("doc_id").try_cast("long").alias("id")).join(gone.select("id").distinct(), "id", "left_semi").distinct()
+    return out.join(blank, out["doc_id"].try_cast("long") == blank["id"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,10 +552,15 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (n, equal, near, crc)]], ["doc_id", "n_lines", "n_equal", "n_near", "kept_crc32"])
 
 
-def op9_linededup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_equal, n_near (lines that go, of each kind), kept_crc32 (of what stays) of all of documents; see the module for the cases."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_equal, n_near (lines that go, of each kind), kept_crc32 (of what stays) of each row of docs."""
+    docs = docs.select("doc_id", "text")
     gone = removed_lines(docs).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("line", "near")).alias("_gone"))
-    both = docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left").select("doc_id", "text", "_gone")
+    both = docs.join(gone, docs["doc_id"].try_cast("long") == gone["_id"], "left").select("doc_id", "text", "_gone")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return arrow(both, _digest, f"doc_id {kind}, n_lines long, n_equal long, n_near long, kept_crc32 long")
+
+
+def op9_linededup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_equal, n_near, kept_crc32 of all of documents; see the module for the cases."""
+    return digest(read(spark, sf_dir, "documents"))

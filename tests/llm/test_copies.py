@@ -93,7 +93,7 @@ def lines_brute(rows):
 
     def one_edit(a, b):
         a, b = sorted((a, b), key=len)
-        if len(b) - len(a) > 1 or max(len(a), len(b)) < linededup.MIN_NEAR:
+        if len(b) - len(a) > 1 or linededup.edits(len(b)) < 1:
             return False
         j = next((j for j in range(len(a)) if a[j] != b[j]), len(a))
         return a[j + (len(a) == len(b)) :] == b[j + 1 :]
@@ -120,24 +120,35 @@ def test_lines_equal_brute_force(spark):
     assert got == lines_brute(rows)
 
 
-def few_edits_brute(rows):
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distance_equals_the_table_of_prefixes():
+    rng = random.Random(3)
+    a = ["".join(rng.choice("ab") for _ in range(rng.randrange(12))) for _ in range(400)]
+    b = ["".join(rng.choice("abc") for _ in range(rng.randrange(12))) if rng.random() < 0.5 else s[: rng.randrange(12)] + "c" + s[rng.randrange(12) :] for s in a]
+    points, _, _, begin, end = linededup.lines_of(a + b)
+    h, n = linededup.Hashed(points, 0), end - begin
+    got = linededup.edit_distance(h, begin[:400], n[:400], begin[400:], n[400:])
+    assert got.tolist() == [min(distance(x, y), linededup.MOST + 1) for x, y in zip(a, b, strict=True)]
 
+
+def few_edits_brute(rows):
     first = {}
     for i, t in rows:
         first.setdefault(t, i)
     return {i for a, i in first.items() if any(j < i and abs(len(a) - len(b)) <= 5 and distance(a, b) <= linededup.edits(max(len(a), len(b))) for b, j in first.items())}
 
 
-@pytest.mark.parametrize("few", [32, 3])
-def test_longer_lines_allow_more_edits(spark, monkeypatch, few):
-    monkeypatch.setattr(linededup, "FEW", few)
+@pytest.mark.parametrize("large", [2048, 4])
+def test_longer_lines_allow_more_edits(spark, monkeypatch, large):
+    monkeypatch.setattr(linededup, "LARGE", large)
     rng = random.Random(7)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (36, 39, 44, 80, 81, 118, 122, 165, 240)]
     rows = []
@@ -154,6 +165,26 @@ def test_longer_lines_allow_more_edits(spark, monkeypatch, few):
     assert 1001 in got and 1002 not in got
 
 
+def test_short_lines_allow_one_edit_for_each_eighth(spark):
+    rows = [(1, "a"), (2, "b"), (3, "nine: 01."), (4, "nine: 02."), (5, "seven 1"), (6, "seven 2"), (7, "item 0001"), (8, "item 001")]
+    got = {r.id for r in linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {4, 8}
+
+
+def test_digest_equals_the_lines_taken_out(spark):
+    import zlib
+
+    rows = [(1, "one line that stands here\nb"), (2, "one line that stands her\nb\nc"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = lines_brute(rows)
+    want = []
+    for i, t in rows:
+        lines = (t or "").split("\n") if t is not None else []
+        left = "\n".join(s for k, s in enumerate(lines) if (i, k) not in gone)
+        want.append((i, len(lines), sum(gone.get((i, k)) is False for k in range(9)), sum(gone.get((i, k)) is True for k in range(9)), zlib.crc32(left.encode())))
+    assert sorted(tuple(r) for r in linededup.digest(df).collect()) == want
+
+
 def test_lines_odd(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = {(r.id, r.line): r.near for r in linededup.removed_lines(odd).collect()}
