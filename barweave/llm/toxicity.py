@@ -3,12 +3,14 @@
 Two byte n-gram models of order 5, one of toxic and one of ordinary text. Orders 3 to 5 hold the
 counts of their own class (below the top, the number of different bytes that precede an n-gram);
 orders 1 and 2 are counted over both classes together, so an expression that is rare in either falls
-back to the same estimate and says nothing. N-grams of order 5 seen once in all are left out. A text's score is the difference of the two
-log-likelihoods for each byte, put on a probability scale by a logistic fit on labelled texts, each
-scored by counts that leave out its fold of four.
+back to the same estimate and says nothing. Every n-gram of the sample counts, those seen once too. The
+discount of an order is n1 / (n1 + 2 n2) of its n-grams counted once and twice. A text's score is the
+difference of the two log-likelihoods for each byte, put on a probability scale by a logistic fit on
+labelled texts, each scored by counts that leave out its fold of four.
 
-Training reads a bounded sample of labelled rows (``TrainSize``). What reaches the driver is a table
-of distinct n-grams of that sample; what is broadcast is made of it. Scoring reads every whole text.
+Training reads a bounded sample of labelled rows (``TrainSize``, in rows and in bytes). What reaches the
+driver is a table of distinct n-grams of that sample; what is broadcast is made of it. Scoring reads every
+whole text.
 
 Defined results: a null text is an empty one; an empty text has no bytes, so its difference is 0 and
 its score is the intercept's. Repeated rows each get a row. A null doc_id is allowed and counts as
@@ -26,25 +28,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, arrow, first_by_hash, id_crc, labels_of, parts, utf8
+from .common import LOWER, SPACE, U64, arrow, first_by_hash, fresh, id_crc, labels_of, parts, utf8
 
-ORDER, SHARED, DISCOUNT, BITS = 5, 2, 0.75, 6
-CHUNK, FOLDS, LEAST_SEEN, SCORE = 1 << 20, 4, 2, "__score"
+ORDER, SHARED, BITS = 5, 2, 8
+CHUNK, FOLDS = 1 << 20, 4
+#: A byte's symbol: itself in lower case; 0 for white space and for what precedes a text.
+SYMBOL = np.where(SPACE, 0, LOWER)
 
 
 @dataclass(frozen=True)
 class TrainSize:
-    """Bounds of the labelled sample: texts counted of each class, and texts for the logistic fit."""
+    """Bounds of the labelled sample: texts counted of each class, texts for the logistic fit, and bytes in all."""
 
     toxic: int = 3000
     ordinary: int = 6000
     fit: int = 4000
+    bytes: int = 1 << 26
 
 
-def codes(data: np.ndarray, off: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+def codes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """For each byte the n-gram of ORDER symbols that it ends, the first in the top bits; a text is preceded by blanks."""
-    x = symbol[data]
-    out = x.astype(np.int64)
+    x = SYMBOL[data].astype(np.int64)
+    out = x.copy()
     place = np.arange(len(data)) - np.repeat(off[:-1], np.diff(off))
     for k in range(1, ORDER):
         back = np.zeros(len(x), np.int64)
@@ -54,22 +59,12 @@ def codes(data: np.ndarray, off: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return out
 
 
-def symbols(counts: np.ndarray) -> np.ndarray:
-    """Lower-cased bytes as numbers of BITS bits: 0 white space, then the most frequent, the last for all others."""
-    table = np.full(256, (1 << BITS) - 1, np.int64)
-    order = [int(b) for b in np.lexsort((np.arange(256), -counts)) if counts[b] and b not in (9, 10, 11, 12, 13, 32)]
-    for i, b in enumerate(order[: (1 << BITS) - 2]):
-        table[b] = i + 1
-    table[[9, 10, 11, 12, 13, 32]] = 0
-    return table[LOWER]
-
-
 class Table:
     """Open addressing in flat arrays: keys to rows of values, read for whole arrays of keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.6))))
-        self.keys = np.full(1 << self.bits, -1, np.int32)
+        self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros(1 << self.bits, np.float32)
         slot, left = self.slot(keys), np.arange(len(keys))
         while len(left):  # one key for each free slot and round, the others move on
@@ -85,7 +80,7 @@ class Table:
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, and which keys are there; absent ones have value 0."""
-        slot, keys = self.slot(keys), keys.astype(np.int32)
+        slot = self.slot(keys)
         at = self.keys[slot]
         found = at == keys
         out = np.where(found, self.values[slot], np.float32(0))
@@ -104,7 +99,6 @@ class Table:
 class Model:
     """ratio[k]: log ratio of the classes for n-grams of order k seen in either; weight[k]: that of the back-off weights of contexts of k symbols."""
 
-    symbol: np.ndarray
     ratio: dict[int, Table]
     weight: dict[int, Table]
     scale: float = 1.0
@@ -115,7 +109,7 @@ class Model:
         return np.concatenate([self._run(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in parts(off, CHUNK)]) if len(off) > 1 else np.zeros(0)
 
     def _run(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        code = codes(data, off, self.symbol)
+        code = codes(data, off)
         total = np.zeros(len(code), np.float32)
         left = np.arange(len(code))
         for k in range(ORDER, SHARED, -1):
@@ -133,30 +127,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * mean + self.shift, -40, 40)))
 
 
-def kneser_ney(gram: np.ndarray, count: np.ndarray, symbol: np.ndarray) -> Model:
-    """gram: sorted distinct n-grams of ORDER; count[c]: how often class c has each."""
+def estimate(gram: np.ndarray, count: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order its n-grams, their probability in each class, contexts, and the back-off weights of each class.
+
+    gram: sorted distinct n-grams of ORDER; count[c]: how often class c has each. Shared orders have one
+    row for both classes.
+    """
     keys = {ORDER: gram}
     tally = {ORDER: count.astype(np.float64)}
     for k in range(ORDER - 1, 0, -1):  # different symbols before an n-gram, for each class, or over both where shared
         low = keys[k + 1] & ((1 << BITS * k) - 1)
         keys[k], at = np.unique(low, return_inverse=True)
-        tally[k] = np.stack([np.bincount(at, weights=x > 0, minlength=len(keys[k])) for x in tally[k + 1]])
         if k == SHARED:  # distinct over both, counted once
             tally[k] = np.bincount(at, minlength=len(keys[k]))[None].astype(np.float64)
+        else:
+            tally[k] = np.stack([np.bincount(at, weights=x > 0, minlength=len(keys[k])) for x in tally[k + 1]])
     prob = np.full((1, 1), 1.0 / (1 << BITS))
-    ratio, weight = {}, {}
+    out = {}
     for k in range(1, ORDER + 1):
         n, of = tally[k], keys[k] >> BITS
+        once, twice = (n == 1).sum(1, keepdims=True), (n == 2).sum(1, keepdims=True)
+        discount = np.where((once > 0) & (twice > 0), once / np.maximum(once + 2 * twice, 1), 0.75)
         context, at = np.unique(of, return_inverse=True)
         total = np.stack([np.bincount(at, weights=x) for x in n])
         kinds = np.stack([np.bincount(at, weights=x > 0) for x in n])
-        gamma = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        gamma = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
         low = np.zeros(len(of), np.int64) if k == 1 else np.searchsorted(keys[k - 1], keys[k] & ((1 << BITS * (k - 1)) - 1))
-        prob = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[:, at] + gamma[:, at] * prob[:, low]
+        prob = np.maximum(n - discount, 0) / np.maximum(total, 1)[:, at] + gamma[:, at] * prob[:, low]
+        out[k] = keys[k], prob, context, gamma
+    return out
+
+
+def kneser_ney(gram: np.ndarray, count: np.ndarray) -> Model:
+    """gram: sorted distinct n-grams of ORDER; count[c]: how often class c has each."""
+    ratio, weight = {}, {}
+    for k, (keys, prob, context, gamma) in estimate(gram, count).items():
         if k > SHARED:
-            ratio[k] = Table(keys[k], np.log(prob[1] / prob[0]))
+            ratio[k] = Table(keys, np.log(prob[1] / prob[0]))
             weight[k - 1] = Table(context, np.log(gamma[1] / gamma[0]))
-    return Model(symbol, ratio, weight)
+    return Model(ratio, weight)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> tuple[float, float]:
@@ -171,46 +180,42 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3)
     return float(w[0] / spread), float(w[1])
 
 
-def _partials(symbol: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = utf8(batch.column(0))
-            y = np.asarray(batch.column(1), dtype=np.int64)
-            for a, b in parts(off, CHUNK):
-                o = off[a : b + 1] - off[a]
-                code = codes(data[off[a] : off[b]], o, symbol)
-                key, n = np.unique((code << 3) | np.repeat(y[a:b], np.diff(o)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["k", "n"])
-
-    return run
-
-
-def _bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, np.int64)
+def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n-gram and class of the text, how often) in each chunk."""
     for batch in batches:
-        total += np.bincount(LOWER[utf8(batch.column(0))[0]], minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["k", "n"])
+        data, off = utf8(batch.column(0))
+        y = np.asarray(batch.column(1), dtype=np.int64)
+        for a, b in parts(off, CHUNK):
+            o = off[a : b + 1] - off[a]
+            key, n = np.unique((codes(data[off[a] : off[b]], o) << 3) | np.repeat(y[a:b], np.diff(o)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["k", "n"])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, size: TrainSize = TrainSize()) -> Model | float:
-    """learn: over doc_id, the rows whose labels may be learnt from. A number if one class is missing."""
-    sc = docs.sparkSession.sparkContext
-    known = labels_of(labels, "toxic").where(learn).withColumn("y", F.least("y", F.lit(1)))
+def _sample(docs: DataFrame, known: DataFrame, size: TrainSize) -> DataFrame:
+    """(text, y, fold, use, fit): the labelled texts to count (use) and to fit the scale on; copies of a text count once and stay in one fold."""
     counted = first_by_hash(known.where("y > 0"), size.toxic, 2).unionAll(first_by_hash(known.where("y <= 0"), size.ordinary, 2))
     plan = counted.withColumn("use", F.lit(1)).unionAll(first_by_hash(known, size.fit, 1).withColumn("use", F.lit(0)))
     plan = plan.groupBy("doc_id").agg(F.max("y").alias("y"), F.max("use").alias("use"), (F.min("use") == 0).alias("fit"))
-    # at most 13,000 rows by the bounds above; copies of a text count once and stay in one fold
+    # at most 13,000 rows by the bounds above
     rows = docs.select("doc_id", "text").join(F.broadcast(plan), "doc_id").where("text is not null")
     rows = rows.groupBy(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("h2")).agg(F.first("text").alias("text"), F.max("y").alias("y"), F.max("use").alias("use"), F.max("fit").alias("fit"))
-    rows = rows.select("text", "y", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "use", "fit").persist()
+    return rows.select("h", "text", "y", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "use", "fit")
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, size: TrainSize = TrainSize()) -> Model | float:
+    """learn: over doc_id, the rows whose labels may be learnt from. A number if one class is missing."""
+    sc = docs.sparkSession.sparkContext
+    known = labels_of(labels, "toxic").where(learn).withColumn("y", F.least("y", F.lit(1)))
+    rows = _sample(docs, known, size).persist()
     try:
-        seen = arrow(rows.where("use = 1").select("text"), _bytes_seen, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-        symbol = symbols(np.bincount(seen.k, weights=seen.n, minlength=256) if len(seen) else np.zeros(256))
+        long = rows.select("h", F.octet_length("text").alias("n")).toPandas().sort_values(["h", "n"])  # as many rows as the sample
+        over = long.h[long.n.cumsum() > size.bytes]
+        used = rows.where(F.col("h") < int(over.iloc[0])) if len(over) else rows
         part = [F.sum(F.when(F.col("k").bitwiseAND(F.lit(2 * FOLDS - 1)) == i, F.col("n"))).cast("int").alias(f"n{i}") for i in range(2 * FOLDS)]
-        grams = arrow(rows.where("use = 1").select("text", (F.col("fold") * 2 + F.col("y")).alias("y")), _partials(symbol), "k long, n long")
-        grams = grams.groupBy(F.shiftright("k", 3).cast("int").alias("gram")).agg(F.sum("n").alias("n"), *part).where(F.col("n") >= LEAST_SEEN).drop("n").toArrow()
-        share = rows.agg(F.avg("y")).first()[0] or 0.0
-        gram = grams.column("gram").to_numpy().astype(np.int64)
+        grams = arrow(used.where("use = 1").select("text", (F.col("fold") * 2 + F.col("y")).alias("y")), _partials, "k long, n long")
+        grams = grams.groupBy(F.shiftright("k", 3).alias("gram")).agg(*part).toArrow()
+        share = used.agg(F.avg("y")).first()[0] or 0.0
+        gram = grams.column("gram").to_numpy()
         order = np.argsort(gram)
         gram = gram[order]
         seen_in = [grams.column(f"n{i}").fill_null(0).to_numpy().astype(np.float32)[order] for i in range(2 * FOLDS)]
@@ -219,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, size: TrainSize = T
         def model_of(folds: list[int]) -> Model | None:
             count = np.stack([sum(seen_in[2 * k + c] for k in folds) for c in (0, 1)])
             there = count.any(0)
-            return kneser_ney(gram[there], count[:, there], symbol) if count.any(1).all() else None
+            return kneser_ney(gram[there], count[:, there]) if count.any(1).all() else None
 
         if not all(any(seen_in[2 * k + c].any() for k in range(FOLDS)) for c in (0, 1)):
             return float(share)
@@ -229,9 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, size: TrainSize = T
             if part_model is None:
                 continue
             shared = sc.broadcast(part_model)
-            got = arrow(rows.where("fit").where(F.col("fold") == k).select("text", "y"), _scorer(shared, 1, False), f"y int, {SCORE} double").toPandas()
+            got = arrow(used.where("fit").where(F.col("fold") == k).select("text", "y"), _scorer(shared, "mean", False, False), "y int, mean double").toPandas()
             shared.destroy()
-            mean.append(got[SCORE].to_numpy())
+            mean.append(got["mean"].to_numpy())
             truth.append(got.y.to_numpy(float))
         model = model_of(list(range(FOLDS)))
         if mean and len(np.unique(np.concatenate(truth))) == 2:
@@ -241,16 +246,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, size: TrainSize = T
         rows.unpersist()
 
 
-def _scorer(shared, text_at: int, final: bool):
-    """Adds a column of scores to all others; text is the first column and goes unless final is a name."""
+def _scorer(shared, name: str, keep: bool, final: bool):
+    """Adds a column of scores, final ones or mean log ratios, to all others; text comes first and goes unless it is to be kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             mean = model.of_bytes(*utf8(batch.column(0)))
-            kept = batch.columns if final == "keep" else batch.columns[text_at:]
-            names = batch.schema.names if final == "keep" else batch.schema.names[text_at:]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(model.probability(mean) if final else mean, pa.float64())], [*names, SCORE])
+            a = 0 if keep else 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[a:], pa.array(model.probability(mean) if final else mean, pa.float64())], [*batch.schema.names[a:], name])
 
     return run
 
@@ -260,12 +264,17 @@ def apply_to(docs: DataFrame, model: Model | float, score: str = "score", keep_t
     if isinstance(model, float):
         out = docs.withColumn(score, F.lit(model))
         return out if keep_text else out.drop("text")
-    fields = [f for f in docs.schema if f.name != "text"]
+    fields = [docs.schema["text"], *[f for f in docs.schema if f.name != "text"]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ([docs.schema["text"]] if keep_text else []) + fields)
-    out = arrow(docs.select("text", *[f"`{f.name}`" for f in fields]), _scorer(shared, 1, "keep" if keep_text else "drop"), f"{schema + ', ' if schema else ''}`{SCORE}` double")
-    names = [f"`{c}`" for c in docs.columns if keep_text or c != "text"]
-    return out.select(*names, F.col(SCORE).alias(score))
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields if keep_text or f.name != "text"], f"`{score}` double"])
+    out = arrow(docs.select(*[f"`{f.name}`" for f in fields]), _scorer(shared, score, keep_text, True), schema)
+    return out.select(*[f"`{c}`" for c in docs.columns if keep_text or c != "text"], f"`{score}`")
+
+
+def without_toxic(docs: DataFrame, model: Model | float, least: float = 0.7) -> DataFrame:
+    """docs without the rows whose P(toxic) is least or more."""
+    score = fresh(docs, "score")
+    return apply_to(docs, model, score).where(F.col(score) < least).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
