@@ -1,26 +1,31 @@
 """Language-model scores by a log-bilinear model trained with noise-contrastive estimation.
 
 The model predicts a word from the two before it: their vectors, each weighted by its place, add up to
-a predicted vector, whose products with all words' vectors, plus their biases, are the logits. Its words
-are the ``WORDS`` most frequent ones, the end of a text, and one that stands for all others; a word that
-this one stands for has its share of the others' counts, with one half for a word never seen, so the
-probabilities of all words add up to 1.
-
-Training is by noise-contrastive estimation in numpy, over every training text, each used once: every
-task descends on its own rows from the same start, and the parameters are averaged by their number of
-tokens, first on an eighth of the texts, then on the rest. Scoring normalises exactly: for each
-different pair of preceding words of a batch one row of a matrix product over all words.
-
-Counts are exact over all training texts. The ``HEAD`` most frequent words (a fixed number) go to every
-worker; the others' counts meet their texts in a join, which no word is frequent enough to make uneven.
+a predicted vector, whose products with the vectors of all units, plus their biases, are the logits. Units
+are the end of a text, the ``WORDS`` most frequent words, and ``FAMILIES`` families of all other words,
+however many there are, by how they end; a family has as many branches, by how its words begin, with vectors
+of their own. So every word has a probability that depends on its context: that of its unit, for a
+word of a family times that of the branch in the family, times the word's share of the branch's counts,
+with one half for a word never seen. The probabilities of all words add up to 1.
+
+Training is by noise-contrastive estimation in numpy, units against noise from all units, branches
+against noise from their family, over every training text, each used once: every task descends on its own
+rows from the same start, and the parameters are averaged by their number of tokens, first on an eighth
+of the texts, then on the rest. Scoring normalises exactly: for each different pair of preceding words of
+a batch one row of a matrix product over all units, and for each word of a family one over its branches.
+
+Counts are exact over all training texts, those of branches too. The most frequent words, ``HEAD`` at most
+(as many as a histogram of counts shows to fit), go to every worker; the others' counts meet their texts in
+a join, which no word is frequent enough to make uneven.
 
 Defined results: a null text is an empty one, the end alone. Repeated rows each get a row; a null doc_id
 counts as the empty text when folds are dealt. Without training texts the base gives every token
-probability 1, and the model is uniform over the end and all other words. An empty table gives no rows.
+probability 1, and the model is uniform over units and branches. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -36,7 +41,23 @@ from .common import arrow, id_crc, parts, read, staged, utf8
 WORDS, WIDTH, HEAD = 1000, 24, 400_000
 BATCH, NOISE, RATE, SHARES = 2048, 64, 0.08, 8
 CHUNK, FLUSH = 1 << 21, 250_000
-OTHER, END = 0, 1
+FAMILIES, FEW_NOISE = 32, 4
+END, FIRST = 0, 1 + FAMILIES  # units: the end, families, words
+
+
+def branch_of(w: bytes) -> int:
+    """The branch of a word, its family in the higher bits."""
+    return zlib.crc32(w[-2:]) % FAMILIES * FAMILIES + zlib.crc32(w[:2]) % FAMILIES
+
+
+def units_of(words: list[bytes], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's unit, and its branch or -1."""
+    unit = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
+    branch = np.full(len(words), -1, np.int64)
+    far = np.flatnonzero(unit < 0)
+    branch[far] = np.fromiter((branch_of(words[i]) for i in far.tolist()), np.int64, len(far))
+    unit[far] = 1 + branch[far] // FAMILIES
+    return unit, branch
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, int, list[list[bytes]]]]:
@@ -65,28 +86,29 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Params:
-    """C: weights of the two places; R, Q: vectors of words as context and as target; b: biases. One more context, for what precedes a text."""
+    """C: weights of the two places; R, Q: vectors of units as context and as target; b: biases; Q2, b2: those of branches. One more context, for what precedes a text."""
 
     def __init__(self, flat: np.ndarray, k: int):
-        self.k, d = k, WIDTH
-        cut = np.cumsum([2 * d, (k + 1) * d, k * d])
-        c, r, q, self.b = np.split(flat, cut)
-        self.c, self.r, self.q = c.reshape(2, d), r.reshape(k + 1, d), q.reshape(k, d)
+        self.k, d, m = k, WIDTH, FAMILIES * FAMILIES
+        cut = np.cumsum([2 * d, (k + 1) * d, k * d, k, m * d])
+        c, r, q, self.b, q2, self.b2 = np.split(flat, cut)
+        self.c, self.r, self.q, self.q2 = c.reshape(2, d), r.reshape(k + 1, d), q.reshape(k, d), q2.reshape(m, d)
 
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.r[one] * self.c[0] + self.r[two] * self.c[1]
 
 
-def start(prob: np.ndarray, seed: int = 11) -> np.ndarray:
+def start(prob: np.ndarray, inner: np.ndarray, seed: int = 11) -> np.ndarray:
+    """inner: the probabilities of branches, those of each family adding up to 1."""
     rng = np.random.default_rng(seed)
     k = len(prob)
-    return np.concatenate([np.ones(WIDTH), np.full(WIDTH, 0.5), rng.normal(0, 0.1, (2 * k + 1) * WIDTH), np.log(prob)]).astype(np.float32)
+    return np.concatenate([np.ones(WIDTH), np.full(WIDTH, 0.5), rng.normal(0, 0.1, (2 * k + 1) * WIDTH), np.log(prob), rng.normal(0, 0.1, len(inner) * WIDTH), np.log(inner)]).astype(np.float32)
 
 
 def contexts(ids: np.ndarray, ends: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids one and two places before each, blank before a text's first."""
+    """The units one and two places before each, blank before a text's first; two places before, all families are one."""
     one, two = np.full(len(ids), blank, ids.dtype), np.full(len(ids), blank, ids.dtype)
-    one[1:], two[2:] = ids[:-1], ids[:-2]
+    one[1:], two[2:] = ids[:-1], np.where((ids[:-2] > END) & (ids[:-2] < FIRST), 1, ids[:-2])
     first = np.concatenate([[0], ends[:-1]])
     one[first] = blank
     two[first] = blank
@@ -95,32 +117,49 @@ def contexts(ids: np.ndarray, ends: np.ndarray, blank: int) -> tuple[np.ndarray,
     return one, two
 
 
-def descend(flat: np.ndarray, prob: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray, square: np.ndarray, rng) -> None:
+def descend(flat: np.ndarray, prob: np.ndarray, inner: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray, branch: np.ndarray, square: np.ndarray, rng) -> None:
     """One pass in batches; flat and the sums of squared gradients change in place."""
-    k, d = len(prob), WIDTH
+    k, d, m = len(prob), WIDTH, FAMILIES * FAMILIES
     p, g = Params(flat, k), np.zeros_like(flat)
     into = Params(g, k)
     shift = (np.log(prob) + np.log(NOISE)).astype(np.float32)
+    shift2 = (np.log(inner) + np.log(FEW_NOISE)).astype(np.float32)
     cumulated = np.cumsum(prob)
+    cumulated2 = np.cumsum(inner.reshape(FAMILIES, FAMILIES), 1).ravel() + np.repeat(np.arange(FAMILIES), FAMILIES)
     order = rng.permutation(len(target))
     span = np.arange(d)
 
     def spread(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         return np.bincount((at[:, None] * d + span).ravel(), weights=rows.ravel(), minlength=n * d).astype(np.float32).reshape(n, d)
 
+    def error(x: np.ndarray, y: float) -> np.ndarray:
+        return y - 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
     for a in range(0, len(order), BATCH):
         pick = order[a : a + BATCH]
         c1, c2, t = one[pick], two[pick], target[pick]
         noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), k - 1)
         h = p.hidden(c1, c2)
         qt, qn = p.q[t], p.q[noise]
-        up = 1 / (1 + np.exp(np.clip((h * qt).sum(1) + p.b[t] - shift[t], -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(h @ qn.T + p.b[noise] - shift[noise], -30, 30)))
+        up = error((h * qt).sum(1) + p.b[t] - shift[t], 1)
+        down = error(h @ qn.T + p.b[noise] - shift[noise], 0)
         dh = up[:, None] * qt + down @ qn
         into.q[:] = spread(t, up[:, None] * h, k)
         np.add.at(into.q, noise, down.T @ h)
         into.b[:] = np.bincount(t, weights=up, minlength=k)
         np.add.at(into.b, noise, down.sum(0))
+        # branches of the words that stand in a family, against some of the same family
+        far = np.flatnonzero(branch[pick] >= 0)
+        own = branch[pick][far]
+        other = np.searchsorted(cumulated2, rng.random((len(far), FEW_NOISE)) + (own // FAMILIES)[:, None])
+        other = np.clip(other, (own // FAMILIES * FAMILIES)[:, None], (own // FAMILIES * FAMILIES + FAMILIES - 1)[:, None])
+        some = np.concatenate([own[:, None], other], 1)
+        q2 = p.q2[some]
+        off = np.einsum("nd,nkd->nk", h[far], q2) + p.b2[some] - shift2[some]
+        pull = np.concatenate([error(off[:, :1], 1), error(off[:, 1:], 0)], 1).astype(np.float32)
+        dh[far] += np.einsum("nk,nkd->nd", pull, q2)
+        into.q2[:] = spread(some.ravel(), (pull[:, :, None] * h[far][:, None, :]).reshape(-1, d), m)
+        into.b2[:] = np.bincount(some.ravel(), weights=pull.ravel(), minlength=m)
         into.r[:] = spread(np.concatenate([c1, c2]), np.concatenate([dh * p.c[0], dh * p.c[1]]), k + 1)
         into.c[0], into.c[1] = (dh * p.r[c1]).sum(0), (dh * p.r[c2]).sum(0)
         square += g * g
@@ -129,15 +168,14 @@ def descend(flat: np.ndarray, prob: np.ndarray, one: np.ndarray, two: np.ndarray
 
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, prob, flat = shared.value
+        index, prob, inner, flat = shared.value
         flat, square, n = flat.copy(), np.full(len(flat), 1.0, np.float32), 0
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             for _, _, words in tokens(batch.column(0)):
-                ids = np.fromiter((index.get(w, OTHER) for w in chain.from_iterable(words)), np.int64)
-                ends = np.cumsum([len(w) for w in words])
-                one, two = contexts(ids, ends, len(prob))
-                descend(flat, prob, one, two, ids, square, rng)
+                ids, branch = units_of(list(chain.from_iterable(words)), index)
+                one, two = contexts(ids, np.cumsum([len(w) for w in words]), len(prob))
+                descend(flat, prob, inner, one, two, ids, branch, square, rng)
                 n += len(ids)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["p", "n", "flat"])
 
@@ -160,7 +198,7 @@ def _averages(t: pa.Table) -> pa.Table:
 
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, count, prob, flat, other = shared.value
+        head, count, prob, flat, mass = shared.value
         rank = _rank(head)
         k = len(prob)
         p = Params(flat, k)
@@ -172,15 +210,18 @@ def _scores(shared):
                 ends = np.cumsum([len(w) for w in words])
                 doc = np.repeat(np.arange(b - a), np.diff(ends, prepend=0))
                 at = np.fromiter((rank.get(w, -1) for w in flat_words), np.int64, len(flat_words))
-                # ranks from 0 in order of counts; the end has its own id wherever its rank is
-                ids = np.where((at >= 0) & (at < k - 2), at + 2, OTHER)
+                # ranks from 0 in order of counts; the end has its own unit wherever its rank is
+                ids = np.where((at >= 0) & (at < k - FIRST), at + FIRST, -1)
                 ids[ends - 1] = END
+                far = np.flatnonzero(ids < 0)
+                branch = np.full(len(ids), -1, np.int64)
+                branch[far] = np.fromiter((branch_of(flat_words[i]) for i in far.tolist()), np.int64, len(far))
+                ids[far] = 1 + branch[far] // FAMILIES
                 one, two = contexts(ids, ends, k)
-                log_p = log_probability(p, one, two, ids)
+                score = log_probability(p, one, two, ids, branch)
                 in_head = at >= 0
                 base = np.where(in_head, log_count[np.maximum(at, 0)], 0.0)
-                is_other = ids == OTHER
-                score = log_p + np.where(is_other, base - other, 0.0)
+                score[far] += base[far] - mass[branch[far]]
                 tail = np.flatnonzero(~in_head)
                 lists: list[dict[bytes, int]] = [{} for _ in range(b - a)]
                 for i in tail.tolist():
@@ -215,55 +256,80 @@ def _rank(head: list[bytes]) -> dict[bytes, int]:
     return _ranks[id(head)]
 
 
-def log_probability(p: Params, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each target after its two preceding words, normalised over all words."""
+def log_probability(p: Params, one: np.ndarray, two: np.ndarray, target: np.ndarray, branch: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each target unit after its two preceding ones, normalised over all units, and of its branch in its family."""
     pair, at = np.unique(two * (p.k + 1) + one, return_inverse=True)
     h = p.hidden(pair % (p.k + 1), pair // (p.k + 1))
     log_z = np.empty(len(pair))
     for a in range(0, len(pair), 4096):
         z = h[a : a + 4096] @ p.q.T + p.b
         top = z.max(1)
-        log_z[a : a + 4096] = top + np.log(np.exp(z - top[:, None]).sum(1))
+        np.exp(z - top[:, None], out=z)
+        log_z[a : a + 4096] = top + np.log(z.sum(1))
     out = np.empty(len(target))
     for a in range(0, len(target), 1 << 18):
         s = slice(a, a + (1 << 18))
         out[s] = (h[at[s]] * p.q[target[s]]).sum(1) + p.b[target[s]] - log_z[at[s]]
+    far = np.flatnonzero(branch >= 0)
+    far = far[np.argsort(branch[far] // FAMILIES, kind="stable")]
+    for same in np.split(far, np.flatnonzero(np.diff(branch[far] // FAMILIES)) + 1) if len(far) else []:
+        first = branch[same[0]] // FAMILIES * FAMILIES
+        z = h[at[same]] @ p.q2[first : first + FAMILIES].T + p.b2[first : first + FAMILIES]
+        top = z.max(1)
+        out[same] += z[np.arange(len(same)), branch[same] - first] - top - np.log(np.exp(z - top[:, None]).sum(1))
     return out / np.log(10)
 
 
+def _most_frequent(vocab: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, HEAD at most, by falling count: those above a count that a histogram tells."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(vocab.groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect(), reverse=True)  # eight for each doubling
+    room, least = HEAD, None
+    for b, n in sizes:
+        room -= n
+        if room < 0:
+            break
+        least = b
+    top = (vocab.where("false") if least is None else vocab.where(step >= least)).toArrow()
+    w, c = top.column("w").to_pylist(), top.column("c").to_numpy().astype(np.float64)
+    order = sorted(range(len(w)), key=lambda i: (-c[i], w[i]))
+    return [w[i] for i in order], c[order] if order else c
+
+
 def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text); learn: over doc_id, the training rows."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select("doc_id", "text")
     training = rows.where(learn)
     vocab = staged(arrow(training.select("text"), _counts, "w binary, n long").groupBy("w").agg(F.sum("n").alias("c")), "lm-counts")
-    total, kinds = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = vocab.orderBy(F.desc("c"), "w").limit(HEAD).toArrow()  # a fixed number of words
-    head, count = top.column("w").to_pylist(), top.column("c").to_numpy().astype(np.float64)
-    at_end = head.index(b"") if b"" in head else len(head)
-    ends = float(count[at_end]) if at_end < len(head) else 0.0
-    if at_end == len(head):
-        head, count = [*head, b""], np.append(count, 0.0)
-        at_end = len(head) - 1
+    total, kinds, ends = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("w") == 0, F.col("c"))), F.lit(0))).first()
+    head, count = _most_frequent(vocab.where(F.length("w") > 0))
+    words = min(WORDS, len(head))
     # the end goes last in rank so that ranks below WORDS are words
-    order = [i for i in range(len(head)) if i != at_end] + [at_end]
-    head, count = [head[i] for i in order], count[order]
-    words = min(WORDS, len(head) - 1)
-    rest = max(total - ends - count[:words].sum(), 0.0) + 0.5 * max(kinds - words - (ends > 0), 0) + 0.5
-    prob = np.concatenate([[rest], [ends + 0.5], count[:words] + 0.5])
+    head, count = [*head, b""], np.append(count, float(ends))
+    # how much each branch's words count, the frequent ones apart, and one half for words never seen
+    end, begin = (F.pmod(F.crc32(x), F.lit(FAMILIES)) for x in (F.substring("w", -2, 2), F.substring("w", 1, 2)))
+    mass = np.full(FAMILIES * FAMILIES, 0.5)
+    for b, c in vocab.where(F.length("w") > 0).groupBy((end * FAMILIES + begin).alias("b")).agg(F.sum(F.col("c") + 0.5)).collect():  # a row for each branch
+        mass[b] += c
+    np.subtract.at(mass, [branch_of(w) for w in head[:words]], count[:words] + 0.5)
+    mass = np.maximum(mass, 0.5)
+    by_family = mass.reshape(FAMILIES, FAMILIES)
+    prob = np.concatenate([[ends + 0.5], by_family.sum(1), count[:words] + 0.5])
     prob /= prob.sum()
-    flat = start(prob)
-    index = {w: i + 2 for i, w in enumerate(head[:words])} | {b"": END}
+    inner = (by_family / by_family.sum(1, keepdims=True)).ravel()
+    flat = start(prob, inner)
+    index = {w: i + FIRST for i, w in enumerate(head[:words])} | {b"": END}
     share = F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(SHARES)) == 0
     for part in (training.where(share), training.where(~share)):
-        shared = sc.broadcast((index, prob, flat))
+        shared = sc.broadcast((index, prob, inner, flat))
         made = arrow(part.select("text"), _train(shared), "p long, n long, flat binary")
         groups = int(np.ceil(np.sqrt(max(1, part.rdd.getNumPartitions()))))
         made = made.groupBy(F.pmod("p", F.lit(groups)).alias("g")).applyInArrow(_averages, "n long, flat binary").toArrow()
         _, new = _mean(list(zip(made.column("n").to_pylist(), made.column("flat").to_pylist(), strict=True)))
         flat = flat if new is None else new
         shared.unpersist()
-    shared = sc.broadcast((head, count, prob, flat, float(np.log10(rest))))
+    shared = sc.broadcast((head, count, prob, flat, np.log10(mass)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = staged(arrow(rows, _scores(shared), f"row long, doc_id {kind}, n long, known long, base double, score double, w array<binary>, m array<int>"), "lm-scored")
     tail = scored.where(F.size("w") > 0).select("row", F.explode(F.arrays_zip("w", "m")).alias("x")).select("row", F.col("x.w").alias("w"), F.col("x.m").alias("m"))
