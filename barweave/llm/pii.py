@@ -4,11 +4,13 @@ Seeds are what fixed patterns find: e-mail addresses, IPv4 addresses, payment ca
 Every word with a digit or an at sign is a candidate, in the context of the one and of the two words
 before it: the lexical patterns. A candidate among those words stands there by its form, each run of digits
 as ``#`` and an address as ``@``, so that identifiers in a row share patterns. Patterns and candidates form a graph. A pattern's confidence is the
-share of what it precedes that is known, each different candidate counting once with its own score
-(and one unknown added, so that little evidence gives little confidence); a candidate's score is 1 for
-a seed, and otherwise the chance that not all of its patterns err. After ``ROUNDS`` rounds, candidates
-of score ``SURE`` or more stand found wherever a pattern of that confidence, induced by at least
-``SUPPORT`` different seeds, precedes them: spans of kind ``id`` beside the seeds' own.
+share of what it precedes that is known, each different candidate counting once (and one unknown added, so
+that little evidence gives little confidence); known are seeds and candidates of score ``SURE`` or more. A
+candidate's score is the chance that not all of its patterns, those that precede ``SUPPORT`` different known
+ones, err. What is found in a round counts as known in the next, for support too; what stays unknown speaks
+against its patterns in all of them. Rounds go on until none finds anything new, which they must as the
+known only grow. Then candidates of score ``SURE`` or more stand found wherever a pattern of that confidence
+precedes them: spans of kind ``id`` beside the seeds' own.
 
 The patterns are written so that each character is looked at a bounded number of times and loops don't
 nest on Java's stack: possessive where nothing after could use what is given back, and started only
@@ -24,10 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, staged
+from .common import fresh, read, staged, unstage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SURE, SUPPORT, WALK = 3, 0.8, 3, 128
+SURE, SUPPORT, WALK = 0.8, 3, 128
 WORD = 40  # longer words are no context
 LOCAL = "A-Za-z0-9._%+-"
 PATTERN = {
@@ -161,7 +163,7 @@ def _is_kind(kind: str):
 
 def extract(docs: DataFrame) -> DataFrame:
     """(doc_id, key, base, found): for each row its id, a hash of its text, and arrays of (kind, start, end), base by kind, then start."""
-    base = base_spans(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))).alias("key")))
+    base = base_spans(docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key")))
     tagged = F.concat(*[F.transform(f"_{k}", _as_kind(k)) for k in KINDS])
     first = staged(_candidates(base.withColumn("base", tagged)).select("doc_id", "key", "base", F.col("_cand").alias("cand")), "pii")
     # what stands where, copies of a text once
@@ -170,17 +172,20 @@ def extract(docs: DataFrame) -> DataFrame:
     each = each.select("key", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.lower("c.word").alias("word"), known.alias("seed"), F.array_distinct(F.array("c.one", "c.two")).alias("p"))
     edge = each.select("word", "seed", F.explode("p").alias("pattern")).where("pattern <> ''").groupBy("pattern", "word").agg(F.max("seed").alias("seed"))
     edge = staged(edge, "pii-graph")  # one row for each different (pattern, word)
-    score = edge.groupBy("word").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    seeds = edge.groupBy("pattern").agg(F.count(F.when(F.col("seed"), 1)).alias("support"))
-    trust = None
-    for _ in range(ROUNDS):
-        trust = edge.join(score, "word").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("trust"))
-        trust = staged(trust.join(seeds, "pattern").where(F.col("support") >= SUPPORT).select("pattern", "trust"), "pii-trust")
-        heard = edge.join(trust, "pattern").groupBy("word").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-12)))))).alias("heard"))
-        new = edge.groupBy("word").agg(F.max("seed").alias("seed")).join(heard, "word", "left")
-        score = staged(new.select("word", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("heard", F.lit(0.0))).alias("score")), "pii-score")
+    known, many = staged(edge.where("seed").select("word").distinct(), "pii-known"), -1
+    while True:
+        now = known.count()
+        # a pattern's known words, summed before it meets the others
+        trust = edge.join(known.withColumn("known", F.lit(1)), "word", "left").groupBy("pattern").agg(F.count("known").alias("support"), (F.count("known") / (F.count("*") + 1)).alias("trust"))
+        trust = staged(trust.where(F.col("support") >= SUPPORT).select("pattern", "trust"), "pii-trust")
+        if now == many:
+            break
+        heard = edge.join(trust, "pattern").groupBy("word").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-12)))))).alias("score"))
+        new = staged(known.unionAll(heard.where(F.col("score") >= SURE).select("word")).distinct(), "pii-known")
+        unstage(known, trust)
+        known, many = new, now
     sure = trust.where(F.col("trust") >= SURE).select("pattern")
-    hit = each.where(~F.col("seed")).select("key", "start", "end", "word", F.explode("p").alias("pattern")).join(sure, "pattern").join(score.where(F.col("score") >= SURE).select("word"), "word")
+    hit = each.where(~F.col("seed")).select("key", "start", "end", "word", F.explode("p").alias("pattern")).join(sure, "pattern").join(known, "word")
     found = hit.select("key", F.struct(F.lit("id").alias("kind"), "start", "end").alias("s")).groupBy("key").agg(F.sort_array(F.collect_set("s")).alias("found"))
     out = first.join(found, "key", "left")
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
@@ -189,10 +194,10 @@ def extract(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each span's text replaced by its kind, as <EMAIL>; spans that overlap become one. n_chars is counted again."""
-    spans = extract(docs).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.concat("base", "found").alias("__all")).where(F.size("__all") > 0).dropDuplicates(["__id", "__key"])
-    t = F.coalesce(F.col("text"), F.lit(""))
-    both = docs.withColumn("__k", F.xxhash64(t, F.length(t))).join(spans, F.col("__k").eqNullSafe(F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    order = F.array_sort(F.transform("__all", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    own, key, mark, spans = (fresh(docs, c) for c in ("_id", "_key", "_mark", "_spans"))
+    found = extract(docs).select(F.col("doc_id").alias(own), F.col("key").alias(key), F.concat("base", "found").alias(spans)).where(F.size(spans) > 0).dropDuplicates([own, key])
+    both = docs.withColumn(mark, F.md5(F.coalesce(F.col("text"), F.lit("")))).join(found, F.col(mark).eqNullSafe(F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)), "left")
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -202,10 +207,10 @@ def masked(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], end).cast("int").alias("at"), out.alias("out"))
 
     new = F.aggregate(order, zero, step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, F.length("text"))))
-    both = both.withColumn("text", F.when(F.col("__all").isNotNull(), new).otherwise(F.col("text")))
+    both = both.withColumn("text", F.when(F.col(spans).isNotNull(), new).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("__all").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return both.select(*docs.columns)
+        both = both.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return both.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
