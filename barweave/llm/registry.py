@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from .neardup_vectors import OP5_SQL, op5_vector_neardup
-from .lm import op3_lm
+from . import stages
 from .linededup import op9_linededup
+from .lm import op3_lm
 from .neardup_text import op10_bagminhash
+from .neardup_vectors import OP5_SQL, op5_vector_neardup
 from .packing import op8_packing
 from .pieces import op6_pieces
 from .pii import op4_pii
@@ -20,7 +20,7 @@ from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_maxscore, op3_lm, op4_pii, op5_vector_neardup, op6_pieces, op7_quality, op8_packing, op9_linededup, op10_bagminhash)}
+    return {"pipeline": stages.run} | {f.__name__: f for f in (op1_toxicity, op2_maxscore, op3_lm, op4_pii, op5_vector_neardup, op6_pieces, op7_quality, op8_packing, op9_linededup, op10_bagminhash)}
 
 
 def oracle_sql() -> dict[str, str]:

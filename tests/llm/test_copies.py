@@ -241,6 +241,28 @@ def test_search_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_search_probes_few_rows_to_the_end():
+    """Most rows fall out on the way: counted on vectors of the kind of the test tables, without structure, and on clustered ones."""
+    rng = np.random.default_rng(3)
+    flat = np.floor(256 * rng.standard_normal((4000, 64)) / 8)
+    near = np.floor(256 * (rng.standard_normal((40, 64))[rng.integers(0, 40, 4000)] + 0.3 * rng.standard_normal((4000, 64))) / 8)
+    for x, most in ((flat, 0.65), (near, 0.5)):
+        shard = search.Shard(np.arange(4000), x)
+        for q in range(0, 4000, 200):
+            ids, score = shard.top(q, x[q], 5)
+            all_ = x @ x[q]
+            all_[q] = -np.inf
+            want = np.lexsort((np.arange(4000), -all_))[:5]
+            assert ids.tolist() == want.tolist() and score.tolist() == all_[want].tolist()
+        assert shard.products < most * 20 * 4000 * 64 and shard.full < 0.1 * 20 * 4000, (shard.products / (20 * 4000 * 64), shard.full / 80_000)
+
+
+def test_search_keeps_rows_of_one_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [3.0, 0.0]), (7, [2.0, 0.0]), (7, [2.0, 0.0]), (None, [9.0, 0.0]), (8, None)]
+    got = sorted(tuple(r) for r in search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5, 1.0).collect())
+    assert got == sorted([(50, 1, 50, 3), (50, 2, 7, 2), (50, 3, 7, 2), (50, 1, 7, 6), (50, 2, 7, 6), (50, 3, 50, 3)])
+
+
 def test_search_and_vectors_on_empty_tables(spark):
     none = vectors(spark, [])
     assert search.top_k(none, F.col("vec_id") % 50 == 0, 5, 256.0).count() == 0

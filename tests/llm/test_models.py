@@ -37,12 +37,72 @@ def test_toxicity_finds_held_out_expressions(spark):
     assert ((got.score >= 0.5) == (got.toxic == 1)).mean() > 0.95
 
 
+def grams_of(texts):
+    """Counts of n-grams in plain Python: white space and what precedes a text are 0."""
+    seen = Counter()
+    for t in texts:
+        x = [0] * (toxicity.ORDER - 1) + [0 if c in b" \t\n\r\x0b\x0c" else c for c in t.encode().lower()]
+        seen.update(tuple(x[k : k + toxicity.ORDER]) for k in range(len(x) - toxicity.ORDER + 1))
+    return seen
+
+
+def brute_kneser_ney(classes):
+    """P(class, n-gram's last symbol | its others) by the textbook's recursion; lower orders shared by the classes."""
+    counts = {toxicity.ORDER: [grams_of(t) for t in classes]}
+    for k in range(toxicity.ORDER - 1, 0, -1):
+        if k == toxicity.SHARED:
+            counts[k] = [Counter(g[1:] for g in set(counts[k + 1][0]) | set(counts[k + 1][1]))]
+        else:
+            counts[k] = [Counter(g[1:] for g in c) for c in counts[k + 1]]
+
+    def prob(c, gram):
+        if not gram:
+            return 1 / 256
+        n = counts[len(gram)][min(c, len(counts[len(gram)]) - 1)]
+        ones, twos = sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.75
+        after = {g: v for g, v in n.items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        low = prob(c, gram[1:])
+        return max(n.get(gram, 0) - d, 0) / total + d * len(after) / total * low if total else low
+
+    return prob
+
+
+CLASSES = (["the cat sat on the mat", "a cat and a dog", "Caf\u00e9 \u0416"], ["you cat you rat", "rat on the mat, rat", "you you"])
+
+
+def test_toxicity_equals_textbook_kneser_ney():
+    per_class = [grams_of(t) for t in CLASSES]
+    code = {g: sum(c << toxicity.BITS * (toxicity.ORDER - 1 - k) for k, c in enumerate(g)) for n in per_class for g in n}
+    data = [c for t in CLASSES for x in t for c in x.encode()]
+    texts = [x.encode() for t in CLASSES for x in t]
+    off = np.cumsum([0, *map(len, texts)])
+    assert set(toxicity.codes(np.array(data, np.uint8), off).tolist()) == set(code.values())
+    gram = np.array(sorted(code.values()))
+    by_code = {v: g for g, v in code.items()}
+    count = np.array([[n[by_code[v]] for v in gram.tolist()] for n in per_class], float)
+    prob = brute_kneser_ney(CLASSES)
+    made = toxicity.estimate(gram, count)
+    for k in range(1, toxicity.ORDER + 1):
+        keys, p, _, _ = made[k]
+        for i, v in enumerate(keys.tolist()):
+            g = tuple(v >> toxicity.BITS * (k - 1 - j) & 255 for j in range(k))
+            for c in range(len(p)):
+                assert p[c, i] == pytest.approx(prob(c, g), abs=1e-9)
+    model = toxicity.kneser_ney(gram, count)
+    for t in ("rat the", "zebra cat", "Caf\u00e9"):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        x = [0] * (toxicity.ORDER - 1) + [0 if c == 32 else c for c in t.encode().lower()]
+        want = np.mean([math.log(prob(1, tuple(x[k : k + toxicity.ORDER])) / prob(0, tuple(x[k : k + toxicity.ORDER]))) for k in range(len(raw))])
+        assert model.of_bytes(raw, np.array([0, len(raw)]))[0] == pytest.approx(want, abs=1e-5)
+
+
 def test_toxicity_probabilities_add_up():
-    rng = np.random.default_rng(0)
-    gram = np.unique(rng.integers(0, 1 << 12, 300) & 0o0707070707 | 1)
-    count = rng.integers(0, 4, (2, len(gram))).astype(float)
-    m = toxicity.kneser_ney(gram, np.maximum(count, [[1]] * 2), np.zeros(256, np.int64))
-    assert set(m.ratio) == {3, 4, 5} and np.isfinite(m.ratio[5].values).all()
+    prob = brute_kneser_ney(CLASSES)
+    for context in ((0, 0, 0, 0), tuple(b"cat "[:3]) + (0,), tuple(b"zzzz"), tuple(b"you") + (0,)):
+        for c in (0, 1):
+            assert sum(prob(c, (*context, x)) for x in range(256)) == pytest.approx(1, abs=1e-9)
 
 
 def test_toxicity_table_finds_what_it_holds():
@@ -78,26 +138,45 @@ def test_quality_odd(spark, odd, empty):
     assert quality.apply_to(empty, quality.train(empty, labels, everything())).count() == 0
 
 
-def test_lm_is_normalised():
+def lm_start(k, rng):
+    prob, inner = rng.random(k), rng.random((lm.FAMILIES, lm.FAMILIES))
+    return prob / prob.sum(), (inner / inner.sum(1, keepdims=True)).ravel()
+
+
+def test_lm_is_normalised_over_units_and_branches():
     rng = np.random.default_rng(2)
-    k = 30
-    prob = rng.random(k)
-    flat = lm.start(prob / prob.sum())
-    p = lm.Params(flat, k)
-    one, two = np.full(k, 4), np.full(k, k)
-    assert (10 ** lm.log_probability(p, one, two, np.arange(k))).sum() == pytest.approx(1, abs=1e-5)
+    k = lm.FIRST + 30
+    p = lm.Params(lm.start(*lm_start(k, rng)), k)
+    unit = np.concatenate([[lm.END], 1 + np.repeat(np.arange(lm.FAMILIES), lm.FAMILIES), np.arange(lm.FIRST, k)])
+    branch = np.where((unit >= 1) & (unit < lm.FIRST), np.arange(len(unit)) - 1, -1)
+    one, two = np.full(len(unit), 4), np.full(len(unit), k)
+    assert (10 ** lm.log_probability(p, one, two, unit, branch)).sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_lm_training_helps():
     rng = np.random.default_rng(5)
-    ids = np.array([2 + (i * 3 + int(rng.random() < 0.1)) % 7 for i in range(20_000)])
-    prob = np.bincount(ids, minlength=9) + 0.5
-    prob = prob / prob.sum()
-    flat = lm.start(prob)
-    one, two = lm.contexts(ids, np.array([len(ids)]), 9)
-    before = lm.log_probability(lm.Params(flat, 9), one, two, ids).mean()
-    lm.descend(flat, prob, one, two, ids, np.ones(len(flat), np.float32), rng)
-    assert lm.log_probability(lm.Params(flat, 9), one, two, ids).mean() > before + 0.2
+    k = lm.FIRST + 7
+    ids = np.array([lm.FIRST + (i * 3 + int(rng.random() < 0.1)) % 7 for i in range(20_000)])
+    branch = np.full(len(ids), -1)
+    far = np.arange(5, len(ids), 5)  # a word of a family, its branch told by the word before it
+    branch[far] = 3 * lm.FAMILIES + ids[far - 1] % lm.FAMILIES
+    ids[far] = 4
+    prob = np.bincount(ids, minlength=k) + 0.5
+    prob, inner = prob / prob.sum(), np.full(lm.FAMILIES**2, 1 / lm.FAMILIES)
+    flat = lm.start(prob, inner)
+    one, two = lm.contexts(ids, np.array([len(ids)]), k)
+    before = lm.log_probability(lm.Params(flat, k), one, two, ids, branch)
+    lm.descend(flat, prob, inner, one, two, ids, branch, np.ones(len(flat), np.float32), rng)
+    after = lm.log_probability(lm.Params(flat, k), one, two, ids, branch)
+    assert after.mean() > before.mean() + 0.2 and after[far].mean() > before[far].mean() + 0.3
+
+
+def test_lm_words_of_a_context_add_up(spark):
+    """Scores of one-word texts: all seen words, the end before them left out, and the unseen share, make 1."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["aa bb aa", "cc", "bb aa dd ee", "", "ffz"])], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score_texts(df, everything()).collect()}
+    assert all(s < 0 for s in got.values())
+    assert got[3] > got[0]
 
 
 def test_lm_base_and_totals(spark, odd, empty):

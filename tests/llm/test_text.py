@@ -6,7 +6,6 @@ import zlib
 import numpy as np
 import pytest
 
-import corpus_pipeline
 from barweave.llm import packing, pieces, pii
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
@@ -58,6 +57,17 @@ def test_contexts_reach_over_neighbouring_candidates(spark):
     assert [[text[k][a:b] for _, a, b in got[k]] for k in (100, 101, 102, 103, 300)] == [["QX-077"], ["QX-177"], ["QX-277"], ["QX-377"], ["ZZ-4471"]]
 
 
+def test_what_is_found_finds_more(spark):
+    """Context one has seeds; what it finds makes context two, which has none, known; a context of mixed words stays unknown."""
+    rows = [(i, f"the member id: user{i}@mail{i}.org then") for i in range(30)] + [(100 + i, f"the member id: QX-{i}77 then") for i in range(5)]
+    rows += [(200 + i, f"we charge account QX-{i}77 for it") for i in range(5)] + [(300, "we charge account ZZ-4412 for it")]
+    rows += [(400 + i, f"see page {i}0 of it") for i in range(20)] + [(500, "see page QX-077 of it")]
+    got = {r.doc_id: [tuple(s) for s in r.found] for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    assert [[text[k][a:b] for _, a, b in got[k]] for k in (100, 200, 300)] == [["QX-077"], ["QX-077"], ["ZZ-4412"]]
+    assert all(not got[400 + i] for i in range(20)) and got[500] == []
+
+
 def test_masking_odd(spark, odd, empty):
     df = spark.createDataFrame([(1, "mail é a@b.co, call +1 234 567 8901 now", 0), (1, "mail é a@b.co, call +1 234 567 8901 now", 0), (None, "1.2.3.4", 0), (3, None, 0)], "doc_id long, text string, n_chars long")
     got = sorted((r.doc_id or -1, r.text, r.n_chars) for r in pii.masked(df).where("text is not null").collect())
@@ -112,16 +122,6 @@ def test_pieces_are_the_librarys(odd, empty):
     assert pieces.encode_texts(empty).count() == 0
 
 
-def test_pipeline_stages_keep_columns(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.staged(stage(spark, docs, sf_dir), "test")
-        assert docs.columns == columns, name
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
-    assert packed.select("doc_id").distinct().count() == docs.count()
-
-
 def test_everything_is_registered():
     import __spark_entry__ as e
 
