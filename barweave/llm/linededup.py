@@ -49,7 +49,7 @@ from .common import U64, arrow, fresh, mix, read, staged, unstage
 SHARE, STEP, MOST = 8, 40, 5
 PARTS, BITMAP = 16, 26
 LARGE, DEPTH, SHORTEST = 2048, 4, 4
-CHUNK, PAIRS = 1 << 18, 20_000
+CHUNK = 1 << 18
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _up, _down = np.ones(1, U64), np.ones(1, U64)
@@ -65,12 +65,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _up, _down
 
 
+_plane: dict[int, np.ndarray] = {}
+_INK = np.ones(1 << 14, bool)
+_INK[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x3000]] = False
+
+
+def _spread(points: np.ndarray, salt: int) -> np.ndarray:
+    """A number of 64 bits for each code point; those of the first plane are looked up."""
+
+    def made(x: np.ndarray) -> np.ndarray:
+        return mix(x.astype(U64) + U64(salt) * U64(0x632BE59BD9B4E019) + U64(1))
+
+    if salt not in _plane:
+        _plane[salt] = made(np.arange(1 << 16))
+    out = _plane[salt][points & 0xFFFF]
+    high = np.flatnonzero(points >= 1 << 16)
+    out[high] = made(points[high])
+    return out
+
+
 class Hashed:
     """Code points end to end, with the hash of any stretch of them, and of two stretches joined, in a few operations."""
 
     def __init__(self, points: np.ndarray, salt: int):
         self.up, self.down = _powers(len(points) + 1)
-        c = mix(points.astype(U64) + U64(salt) * U64(0x632BE59BD9B4E019) + U64(1))
+        c = _spread(points, salt)
         self.sum = np.concatenate([np.zeros(1, U64), np.cumsum(c * self.up[: len(points)])])
 
     def joined(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -96,16 +115,15 @@ def lines_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _blank(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    ink = ~np.isin(points, np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x3000], np.uint32))
-    seen = np.concatenate([[0], np.cumsum(ink)])
+    seen = np.concatenate([[0], np.cumsum(_INK[np.minimum(points, len(_INK) - 1)])])
     return seen[end] == seen[begin]
 
 
-def _groups(texts: list[str | None], chunk: int = CHUNK) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     a, size = 0, 0
     for b, t in enumerate(texts):
         size += len(t or "")
-        if size >= chunk:
+        if size >= CHUNK:
             yield a, b + 1
             a, size = b + 1, 0
     if a < len(texts):
@@ -219,7 +237,7 @@ def _wanted(bitmap):
     """The lines whose hash may be wanted, with their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        wanted = bitmap.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for x, y in _groups(texts):
@@ -229,13 +247,22 @@ def _wanted(bitmap):
                 points, text, number, begin, end = lines_of([texts[i] for i in some])
                 h = Hashed(points, 0).of(begin, end)
                 pos = (h & U64((1 << BITMAP) - 1)).astype(np.int64)
-                take = np.flatnonzero(bits[pos >> 3] >> (pos & 7) & 1)
+                take = np.flatnonzero(wanted[pos >> 3] >> (pos & 7) & 1)
                 if len(take):
                     whole = points.tobytes()
                     g = Hashed(points, 1).of(begin[take], end[take])
+                    bits = _triples(points, begin[take], end[take]).tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(np.array(some)[text[take]])), pa.array(number[take], pa.int32()), pa.array(h[take].view(np.int64)), pa.array(g.view(np.int64)), pa.array([whole[4 * begin[i] : 4 * end[i]].decode("utf-32-le", "replace") for i in take])],
-                        ["id", "line", "h", "g", "s"],
+                        [
+                            batch.column(0).take(pa.array(np.array(some)[text[take]])),
+                            pa.array(number[take], pa.int32()),
+                            pa.array(h[take].view(np.int64)),
+                            pa.array(g.view(np.int64)),
+                            pa.array((end - begin)[take]),
+                            pa.array([bits[k : k + 32] for k in range(0, len(bits), 32)], pa.binary()),
+                            pa.array([whole[4 * begin[i] : 4 * end[i]].decode("utf-32-le", "replace") for i in take]),
+                        ],
+                        ["id", "line", "h", "g", "n", "bits", "s"],
                     )
 
     return run
@@ -328,50 +355,59 @@ def _triples(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
 def edit_distance(h: Hashed, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, most: int = MOST) -> np.ndarray:
     """Edit distances of the stretches [a, a + n) and [b, b + m), most + 1 where larger: how far each diagonal gets with each number of edits."""
     out = np.full(len(a), most + 1, np.int64)
+    live = np.arange(len(a))
 
     def along(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """How many code points agree from i and j on, by halving."""
-        low, high = np.zeros(len(i), np.int64), np.minimum(n - i, m - j)
+        p, q = a[live] + i, b[live] + j
+        low, high = np.zeros(len(i), np.int64), np.minimum(n[live] - i, m[live] - j)
+        from_p, from_q, down_p, down_q = h.sum[p], h.sum[q], h.down[p], h.down[q]
         while (low < high).any():
             mid = (low + high + 1) // 2
-            same = (h.sum[a + i + mid] - h.sum[a + i]) * h.down[a + i] == (h.sum[b + j + mid] - h.sum[b + j]) * h.down[b + j]
+            same = (h.sum[p + mid] - from_p) * down_p == (h.sum[q + mid] - from_q) * down_q
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
-    far = {0: along(np.zeros_like(a), np.zeros_like(b))}
-    nothing = np.full(len(a), -(1 << 40), np.int64)
+    far: dict[int, np.ndarray] = {}
     for e in range(most + 1):
-        if e:
-            new = {}
-            for d in range(-e, e + 1):
+        nothing = np.full(len(live), -(1 << 40), np.int64)
+        new = {}
+        for d in range(-e, e + 1):
+            if e:
                 i = np.maximum(np.maximum(far.get(d, nothing) + 1, far.get(d - 1, nothing)), far.get(d + 1, nothing) + 1)
-                i = np.minimum(i, np.minimum(n, m - d))
-                ok = (i >= 0) & (i + d >= 0)
-                i = np.where(ok, i, 0)
-                new[d] = np.where(ok, i + along(i, np.where(ok, i + d, 0)), nothing)
-            far = new
-        for d, i in far.items():
-            out = np.where((m - n == d) & (i >= n) & (out > e), e, out)
+                i = np.minimum(i, np.minimum(n[live], m[live] - d))
+            else:
+                i = np.zeros(len(live), np.int64)
+            ok = (i >= 0) & (i + d >= 0)
+            i = np.where(ok, i, 0)
+            new[d] = np.where(ok, i + along(i, np.where(ok, i + d, 0)), nothing)
+        there = np.zeros(len(live), bool)
+        for d, i in new.items():
+            there |= (m[live] - n[live] == d) & (i >= n[live])
+        out[live[there]] = e
+        live = live[~there]
+        if not len(live):
+            break
+        far = {d: i[~there] for d, i in new.items()}
     return out
 
 
-def _witnessed(key: np.ndarray, texts: list[str]) -> np.ndarray:
+def _witnessed(key: np.ndarray, n: np.ndarray, bits: np.ndarray, texts: pa.ChunkedArray) -> np.ndarray:
     """Which of the lines, in order of key and then of place, have a neighbour before them among those of their key."""
-    points, _, _, begin, end = lines_of(texts)
-    n, h = end - begin, Hashed(points, 0)
-    bits = _triples(points, begin, end)
     last = np.searchsorted(key, key, "right")
     allowed = np.minimum(np.minimum(n // SHARE, 1 + n // STEP), MOST)
     done = np.zeros(len(n), bool)
     held: list[tuple[np.ndarray, ...]] = []
 
     def verify() -> None:
-        if held:
-            i, j, most = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            done[j[edit_distance(h, begin[i], n[i], begin[j], n[j]) <= most]] = True
-
-    act, d, size = np.arange(len(n)), 1, 0
+        i, j, most = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        row, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        points, _, _, begin, end = lines_of(texts.take(pa.array(row)).to_pylist())
+        a, b = np.split(at, 2)
+        done[j[edit_distance(Hashed(points, 0), begin[a], n[i], begin[b], n[j]) <= most]] = True
+
+    act, d, size, turn = np.arange(len(n)), 1, 0, 1
     while len(act := act[act + d < last[act]]):
         i = act[~done[act + d]]
         j = i + d
@@ -381,34 +417,37 @@ def _witnessed(key: np.ndarray, texts: list[str]) -> np.ndarray:
         near = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= 6 * most
         if near.any():
             held.append((i[near], j[near], most[near]))
-            size += int(near.sum())
-        if size >= PAIRS:
+            size += int((n[i[near]] + n[j[near]]).sum())
+        if held and (d == turn or size >= 16 * CHUNK):  # those found need no further witness
             verify()
             size = 0
+        turn = 2 * turn if d == turn else turn
         d += 1
-    verify()
+    if held:
+        verify()
     return done
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, g) of the rows (key, h, g, s), in order of key and place, that have an earlier neighbour in their key."""
-    key, h, g, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    """(h, g) of the rows (key, h, g, n, bits, s), in order of key and place, that have an earlier neighbour in their key."""
 
-    def out(cut: int) -> pa.RecordBatch:
-        done = _witnessed(key[:cut], s[:cut])
-        return pa.RecordBatch.from_arrays([pa.array(h[:cut][done]), pa.array(g[:cut][done])], ["h", "g"])
+    def out(t: pa.Table) -> pa.RecordBatch:
+        h, g, n = (t.column(c).to_numpy() for c in ("h", "g", "n"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U64).reshape(-1, 4)
+        done = _witnessed(t.column("key").to_numpy(), n, bits, t.column("s"))
+        return pa.RecordBatch.from_arrays([pa.array(h[done]), pa.array(g[done])], ["h", "g"])
 
+    left = None
     for batch in batches:
-        k, x, y = (np.asarray(batch.column(i)) for i in range(3))
-        texts = batch.column(3).to_pylist()
-        for a, b in _groups(texts, 4 * CHUNK):
-            key, h, g, s = np.append(key, k[a:b]), np.append(h, x[a:b]), np.append(g, y[a:b]), s + texts[a:b]
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            if cut:
-                yield out(cut)
-                key, h, g, s = key[cut:], h[cut:], g[cut:], s[cut:]
-    if len(key):
-        yield out(len(key))
+        t = pa.Table.from_batches([batch])
+        t = t if left is None else pa.concat_tables([left, t])
+        key = t.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on
+        left = t.slice(cut)
+        if cut:
+            yield out(t.slice(0, cut))
+    if left is not None and left.num_rows:
+        yield out(left)
 
 
 def _within(pair: DataFrame, text: DataFrame) -> DataFrame:
@@ -426,12 +465,12 @@ def _few_edits(text: DataFrame, member: DataFrame) -> DataFrame:
     for depth in range(DEPTH + 1):
         size = shared.groupBy("key").agg(F.count("*").alias("n"), F.max("whole").alias("whole")).where("n > 1")
         size = staged(size.withColumn("whole", F.col("whole") | (F.col("n") <= LARGE) | F.lit(depth == DEPTH)), "line-groups")
-        rows = shared.select("key", "h").join(size, "key").join(text, "h")
+        rows = shared.select("key", "h").join(size.withColumnRenamed("n", "many"), "key").join(text, "h")
         # a large group that can't be cut any more is compared block by block, each two blocks in a task
-        blocks = F.when(F.col("n") > LARGE, F.ceil(F.col("n") / F.lit(LARGE // 2))).otherwise(1).cast("int")
+        blocks = F.when(F.col("many") > LARGE, F.ceil(F.col("many") / F.lit(LARGE // 2))).otherwise(1).cast("int")
         dealt = rows.where("whole").withColumn("b", F.pmod(F.xxhash64("h", "g"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.withColumn("key", F.when(F.col("n") > LARGE, F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o"))).otherwise(F.col("key")))
-        dealt = dealt.select("key", "h", "g", "s", "id", "line").repartition("key").sortWithinPartitions("key", "id", "line").select("key", "h", "g", "s")
+        dealt = dealt.withColumn("key", F.when(F.col("many") > LARGE, F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o"))).otherwise(F.col("key")))
+        dealt = dealt.select("key", "h", "g", "n", "bits", "s", "id", "line").repartition("key").sortWithinPartitions("key", "id", "line").select("key", "h", "g", "n", "bits", "s")
         found = staged(arrow(dealt, _compare, "h long, g long").distinct(), "line-neighbours")
         gone = found if gone is None else staged(gone.unionAll(found), "line-neighbours")
         large = size.where("not whole").select("key")
@@ -464,7 +503,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     member = staged(arrow(keys, _shared, "key long, h long").distinct(), "near-lines")
     some = member.select("h").distinct()
     bits = spark.sparkContext.broadcast(_low_bits(some))
-    text = arrow(rows, _wanted(bits), "id long, line int, h long, g long, s string")
+    text = arrow(rows, _wanted(bits), "id long, line int, h long, g long, n long, bits binary, s string")
     text = text.join(some, "h", "left_semi").join(first.select("h", "g", F.col("at.id").alias("id"), F.col("at.line").alias("line")), ["h", "g", "id", "line"], "left_semi")
     both = staged(text.dropDuplicates(["h", "g"]), "near-texts")
     text = both.where(F.length("s") < STEP)
