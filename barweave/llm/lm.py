@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, id_crc, parts, read, staged, utf8
+from .common import SPACE, arrow, id_crc, parts, read, staged, utf8
 
 WORDS, WIDTH, HEAD = 1000, 24, 400_000
 BATCH, NOISE, RATE, SHARES = 2048, 64, 0.08, 8
@@ -45,27 +45,49 @@ FAMILIES, FEW_NOISE = 32, 4
 END, FIRST = 0, 1 + FAMILIES  # units: the end, families, words
 
 
+#: The family or branch that a word's last or first bytes say: of two bytes, and of one.
+OF_TWO = np.array([zlib.crc32(bytes(divmod(i, 256))) % FAMILIES for i in range(1 << 16)])
+OF_ONE = np.array([zlib.crc32(bytes([i])) % FAMILIES for i in range(256)])
+
+
 def branch_of(w: bytes) -> int:
     """The branch of a word, its family in the higher bits."""
     return zlib.crc32(w[-2:]) % FAMILIES * FAMILIES + zlib.crc32(w[:2]) % FAMILIES
 
 
-def units_of(words: list[bytes], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def branches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """branch_of each word of the rows that begin at off, in order."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    ink = np.concatenate([[False], ~SPACE[data], [False]])
+    begins = np.zeros(len(data) + 1, bool)
+    begins[off] = True  # a row is a border too
+    first = np.flatnonzero(ink[1:-1] & (~ink[:-2] | begins[:-1]))
+    last = np.flatnonzero(ink[1:-1] & (~ink[2:] | begins[1:]))
+    x = data.astype(np.int64)
+    nxt, before = x[np.minimum(first + 1, last)], x[np.maximum(last - 1, first)]
+    end = np.where(first == last, OF_ONE[x[last]], OF_TWO[before << 8 | x[last]])
+    return end * FAMILIES + np.where(first == last, OF_ONE[x[first]], OF_TWO[x[first] << 8 | nxt])
+
+
+def units_of(words: list[bytes], branch: np.ndarray, index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Each word's unit, and its branch or -1."""
     unit = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-    branch = np.full(len(words), -1, np.int64)
-    far = np.flatnonzero(unit < 0)
-    branch[far] = np.fromiter((branch_of(words[i]) for i in far.tolist()), np.int64, len(far))
-    unit[far] = 1 + branch[far] // FAMILIES
-    return unit, branch
+    return np.where(unit < 0, 1 + branch // FAMILIES, unit), np.where(unit < 0, branch, -1)
 
 
-def tokens(column: pa.Array) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    """(first row, row after the last, their words), some rows at a time. A text's words are followed by its end, b""."""
+def tokens(column: pa.Array) -> Iterator[tuple[int, int, list[list[bytes]], np.ndarray]]:
+    """(first row, row after the last, their words, the words' branches), some rows at a time. A text's words are followed by its end, b"", of branch -1."""
     data, off = utf8(column)
     raw = data.tobytes().lower()  # bytes: A-Z alone
     for a, b in parts(off, CHUNK):
-        yield a, b, [[*raw[off[i] : off[i + 1]].split(), b""] for i in range(a, b)]
+        words = [[*raw[off[i] : off[i + 1]].split(), b""] for i in range(a, b)]
+        ends = np.cumsum([len(w) for w in words])
+        branch = np.full(ends[-1], -1, np.int64)
+        inside = np.ones(len(branch), bool)
+        inside[ends - 1] = False
+        branch[inside] = branches(np.frombuffer(raw, np.uint8)[off[a] : off[b]], off[a : b + 1] - off[a])
+        yield a, b, words, branch
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +99,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for batch in batches:
-        for _, _, words in tokens(batch.column(0)):
+        for _, _, words, _ in tokens(batch.column(0)):
             for w in words:
                 seen.update(w)
             if len(seen) > FLUSH:
@@ -127,10 +149,14 @@ def descend(flat: np.ndarray, prob: np.ndarray, inner: np.ndarray, one: np.ndarr
     cumulated = np.cumsum(prob)
     cumulated2 = np.cumsum(inner.reshape(FAMILIES, FAMILIES), 1).ravel() + np.repeat(np.arange(FAMILIES), FAMILIES)
     order = rng.permutation(len(target))
-    span = np.arange(d)
 
     def spread(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount((at[:, None] * d + span).ravel(), weights=rows.ravel(), minlength=n * d).astype(np.float32).reshape(n, d)
+        out = np.zeros((n, d), np.float32)
+        if len(at):
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            out[at[order[first]]] = np.add.reduceat(rows[order], first, axis=0)
+        return out
 
     def error(x: np.ndarray, y: float) -> np.ndarray:
         return y - 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -172,8 +198,8 @@ def _train(shared):
         flat, square, n = flat.copy(), np.full(len(flat), 1.0, np.float32), 0
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
-            for _, _, words in tokens(batch.column(0)):
-                ids, branch = units_of(list(chain.from_iterable(words)), index)
+            for _, _, words, branch in tokens(batch.column(0)):
+                ids, branch = units_of(list(chain.from_iterable(words)), branch, index)
                 one, two = contexts(ids, np.cumsum([len(w) for w in words]), len(prob))
                 descend(flat, prob, inner, one, two, ids, branch, square, rng)
                 n += len(ids)
@@ -205,7 +231,7 @@ def _scores(shared):
         log_count = np.log10(count + 0.5)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b, words in tokens(batch.column(1)):
+            for a, b, words, branch in tokens(batch.column(1)):
                 flat_words = list(chain.from_iterable(words))
                 ends = np.cumsum([len(w) for w in words])
                 doc = np.repeat(np.arange(b - a), np.diff(ends, prepend=0))
@@ -214,9 +240,8 @@ def _scores(shared):
                 ids = np.where((at >= 0) & (at < k - FIRST), at + FIRST, -1)
                 ids[ends - 1] = END
                 far = np.flatnonzero(ids < 0)
-                branch = np.full(len(ids), -1, np.int64)
-                branch[far] = np.fromiter((branch_of(flat_words[i]) for i in far.tolist()), np.int64, len(far))
                 ids[far] = 1 + branch[far] // FAMILIES
+                branch = np.where((ids >= 1) & (ids < FIRST), branch, -1)
                 one, two = contexts(ids, ends, k)
                 score = log_probability(p, one, two, ids, branch)
                 in_head = at >= 0

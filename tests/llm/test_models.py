@@ -153,6 +153,15 @@ def test_lm_is_normalised_over_units_and_branches():
     assert (10 ** lm.log_probability(p, one, two, unit, branch)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_branches_are_those_of_the_words():
+    import pyarrow as pa
+
+    column = pa.array(["a bc def", "", None, " x\ty\n", "Zz\u00e9 \u00e9", "end"])
+    for a, b, words, branch in lm.tokens(column):
+        flat = [w for ws in words for w in ws]
+        assert (a, b) == (0, 6) and branch.tolist() == [lm.branch_of(w) if w else -1 for w in flat]
+
+
 def test_lm_training_helps():
     rng = np.random.default_rng(5)
     k = lm.FIRST + 7
