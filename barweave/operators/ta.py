@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,18 @@ def _full(x: Column, n: int, value: Column) -> Column:
     return F.when(F.count(x).over(frame(n)) == n, value)
 
 
+def valid(n: int, *xs: Column) -> tuple[Column, WindowSpec]:
+    """Whether none of xs is na, and the frame of the last n such bars: a gap is passed over, and na itself."""
+    ok = xs[0].isNotNull()
+    for x in xs[1:]:
+        ok = ok & x.isNotNull()
+    return ok, Window.partitionBy("symbol", ok).orderBy("bar_index").rowsBetween(-(n - 1), 0)
+
+
+def _kept(ok: Column, w: WindowSpec, n: int, value: Column) -> Column:
+    return F.when(ok & (F.count(F.lit(1)).over(w) == n), value)
+
+
 def _age(n: int, value: Column) -> Column:
     """value from the n-th bar on, whatever is na within."""
     return F.when(F.row_number().over(bars_in_order()) >= n, value)
@@ -105,7 +117,9 @@ def linreg(x: Column, n: int, offset: int = 0) -> Column:
 
 
 def stdev(x: Column, n: int, biased: bool = True) -> Column:
-    return _full(x, n, (F.stddev_pop if biased else F.stddev_samp)(x).over(frame(n)))
+    """Over the last n values that are not na."""
+    ok, w = valid(n, x)
+    return _kept(ok, w, n, (F.stddev_pop if biased else F.stddev_samp)(x).over(w))
 
 
 def variance(x: Column, n: int, biased: bool = True) -> Column:
@@ -232,24 +246,31 @@ def tr(handle_na: bool = True) -> Column:
 
 
 def bb(x: Column, n: int, mult: float) -> Column:
-    mid, s = sma(x, n), stdev(x, n)
+    """Over the last n values that are not na."""
+    ok, w = valid(n, x)
+    mid, s = _kept(ok, w, n, F.avg(x).over(w)), stdev(x, n)
     return F.struct(mid.alias("middle"), (mid + mult * s).alias("upper"), (mid - mult * s).alias("lower"))
 
 
 def bbw(x: Column, n: int, mult: float) -> Column:
-    mid = sma(x, n)
+    ok, w = valid(n, x)
+    mid = _kept(ok, w, n, F.avg(x).over(w))
     return F.when(mid == 0, 0.0).otherwise(F.try_divide(100 * (2 * mult * stdev(x, n)), mid))
 
 
 def cci(x: Column, n: int) -> Column:
-    d = dev(x, n)
-    return _full(x, n, F.when(d == 0, 0.0).otherwise(F.try_divide(x - sma(x, n), 0.015 * d)))
+    """Over the last n values that are not na."""
+    ok, w = valid(n, x)
+    values, mean = F.collect_list(x).over(w), F.avg(x).over(w)
+    d = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / F.lit(float(n))
+    return _kept(ok, w, n, F.when(d == 0, 0.0).otherwise(F.try_divide(x - mean, 0.015 * d)))
 
 
 def cmo(change_: Column, n: int) -> Column:
-    """change_: a column of change(x)."""
-    up, down = _sum(F.greatest(change_, F.lit(0.0)), n), _sum(F.greatest(-change_, F.lit(0.0)), n)
-    return _full(change_, n, F.when(up + down == 0, 0.0).otherwise(F.try_divide(100 * (up - down), up + down)))
+    """change_: a column of change(x), of which the last n that are not na count."""
+    ok, w = valid(n, change_)
+    up, down = F.sum(F.greatest(change_, F.lit(0.0))).over(w), F.sum(F.greatest(-change_, F.lit(0.0))).over(w)
+    return _kept(ok, w, n, F.when(up + down == 0, 0.0).otherwise(F.try_divide(100 * (up - down), up + down)))
 
 
 def cog(x: Column, n: int) -> Column:
@@ -268,21 +289,27 @@ def correlation(a: Column, b: Column, n: int) -> Column:
 
 
 def stoch(x: Column, high: Column, low: Column, n: int) -> Column:
-    lo, hi = lowest(low, n), highest(high, n)
-    return 100 * F.try_divide(x - lo, hi - lo)
+    """Over the last n bars where neither price is na."""
+    ok, w = valid(n, x, high, low)
+    lo, hi = F.min(low).over(w), F.max(high).over(w)
+    return _kept(ok, w, n, 100 * F.try_divide(x - lo, hi - lo))
 
 
 def wpr(n: int) -> Column:
-    lo, hi = lowest(price("low"), n), highest(price("high"), n)
-    return F.when(hi == lo, 0.0).otherwise(-100 * F.try_divide(hi - price("close"), hi - lo))
+    """Over the last n bars where no price is na."""
+    close, high, low = price("close"), price("high"), price("low")
+    ok, w = valid(n, close, high, low)
+    lo, hi = F.min(low).over(w), F.max(high).over(w)
+    return _kept(ok, w, n, F.when(hi == lo, 0.0).otherwise(-100 * F.try_divide(hi - close, hi - lo)))
 
 
 def mfi(x: Column, change_: Column, n: int, volume: Column) -> Column:
-    """change_: a column of change(x); the first bar, without one, counts on both sides."""
+    """change_: a column of change(x); a bar without one counts on both sides. Over the last n bars where x and volume are not na."""
+    ok, w = valid(n, x, volume)
     flow = x * volume
-    up = _sum(F.when(change_.isNull() | (change_ > 0), flow).otherwise(0.0), n)
-    down = _sum(F.when(change_.isNull() | (change_ < 0), flow).otherwise(0.0), n)
-    return _full(x, n, F.when(down == 0, 100.0).when(up == 0, 0.0).otherwise(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(up, down))))
+    up = F.sum(F.when(change_.isNull() | (change_ > 0), flow).otherwise(0.0)).over(w)
+    down = F.sum(F.when(change_.isNull() | (change_ < 0), flow).otherwise(0.0)).over(w)
+    return _kept(ok, w, n, F.when(down == 0, 100.0).when(up == 0, 0.0).otherwise(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(up, down))))
 
 
 # --- volume ---
@@ -357,7 +384,7 @@ def percentile_nearest_rank(x: Column, n: int, p: float) -> Column:
 
 def percentrank(x: Column, n: int) -> Column:
     before = F.collect_list(x).over(bars_in_order().rowsBetween(-n, -1))
-    return F.when(F.col("bar_index") >= n, 100.0 * F.try_divide(F.size(F.filter(before, lambda v: v <= x)), F.size(before)))
+    return F.when((F.col("bar_index") >= n) & x.isNotNull(), 100.0 * F.try_divide(F.size(F.filter(before, lambda v: v <= x)), F.size(before)))
 
 
 def _pivot(x: Column, left: int, right: int, largest: bool) -> Column:

@@ -197,3 +197,45 @@ _ts = ", d AS MATERIALIZED (SELECT *, close - lag(close) OVER w AS p, abs(close
 rec("tsi", R.Step(("value",), R.tsi, ("close",), (13, 25)), sql="CASE WHEN q2 = 0 THEN 0 ELSE p2 / q2 END", pre=_ts + smooth("k3", "j0", "p1", 25, 13, 2 / 14) + smooth("k4", "j0", "q1", 25, 13, 2 / 14) + joined("j", "j0", p2="k3", q2="k4"))
 rec("supertrend", R.Step(("line", "direction"), R.supertrend, ("high", "low", "close"), (3.0, 10)))
 rec("sar", R.Step(("value",), R.sar, ("high", "low", "close"), (0.02, 0.02, 0.2)))
+
+
+# the same where values are missing: each seventh bar has none
+def _gaps(b: DataFrame) -> DataFrame:
+    hole = F.col("bar_index") % 7 == 3
+    return b.withColumns({c: F.when(~hole, F.col(c)) for c in ("close", "high", "low")})
+
+
+def gap(name: str, make, sql: dict[str, str] | str, pre: str = "", kept: str = "close IS NOT NULL", n: int = N) -> None:
+    """sql: over the bars kept alone, numbered anew as i; elsewhere na."""
+    Q[f"ta_gaps_{name}"] = lambda spark, sf_dir: _gap_run(make, spark, sf_dir)
+    out = {"value": sql} if isinstance(sql, str) else sql
+    cells = ", ".join(f"{r6(f'CASE WHEN i >= {n - 1} THEN {v} END')} AS {k}" for k, v in out.items())
+    by = "PARTITION BY symbol ORDER BY bar_index"
+    SQL[f"ta_gaps_{name}"] = f"""WITH g AS MATERIALIZED (SELECT symbol, bar_index, volume, CASE WHEN bar_index % 7 <> 3 THEN close END AS close, CASE WHEN bar_index % 7 <> 3 THEN high END AS high, CASE WHEN bar_index % 7 <> 3 THEN low END AS low FROM {sql_bars()}),
+c AS MATERIALIZED (SELECT *, close - lag(close) OVER ({by}) AS s FROM g),
+b AS MATERIALIZED (SELECT *, row_number() OVER ({by}) - 1 AS i FROM c WHERE {kept}){pre},
+v AS (SELECT symbol, bar_index, {cells} FROM {"l" if pre else "b"} WINDOW f AS ({by} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))
+SELECT g.symbol, g.bar_index, {", ".join(f"v.{k}" for k in out)} FROM g LEFT JOIN v ON v.symbol = g.symbol AND v.bar_index = g.bar_index"""
+
+
+def _gap_run(make, spark, sf_dir: str) -> DataFrame:
+    bars = _gaps(event_bars(spark, sf_dir))
+    made = make(bars)
+    if not isinstance(made, DataFrame):
+        made = bars.withColumn("value", made)
+    return tidy(made, *[c for c in made.columns if c not in bars.columns and not c.startswith("_")])
+
+
+_far = ", l0 AS (SELECT *, list(close) OVER f AS x, avg(close) OVER f AS m FROM b WINDOW f AS (PARTITION BY symbol ORDER BY bar_index ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)), l AS MATERIALIZED (SELECT *, list_avg(list_transform(x, lambda v: abs(v - m))) AS d FROM l0)"
+gap("stdev", lambda b: ta.stdev(P.C, N), "stddev_pop(close) OVER f")
+gap("bb", lambda b: b.withColumn("_b", ta.bb(P.C, N, 2.0)).select("*", "_b.*"), {"middle": "avg(close) OVER f", "upper": "avg(close) OVER f + 2 * stddev_pop(close) OVER f", "lower": "avg(close) OVER f - 2 * stddev_pop(close) OVER f"})
+gap("bbw", lambda b: ta.bbw(P.C, N, 2.0), "100 * 4 * stddev_pop(close) OVER f / avg(close) OVER f")
+gap("cci", lambda b: ta.cci(P.C, N), "CASE WHEN d = 0 THEN 0 ELSE (close - m) / (0.015 * d) END", _far)
+gap("cmo", lambda b: b.withColumn("_s", ta.change(P.C)).withColumn("value", ta.cmo(F.col("_s"), N)), "coalesce(100 * sum(s) OVER f / nullif(sum(abs(s)) OVER f, 0), 0)", kept="s IS NOT NULL")
+gap("stoch", lambda b: ta.stoch(P.C, P.H, P.L, N), "100 * (close - min(low) OVER f) / nullif(max(high) OVER f - min(low) OVER f, 0)")
+gap("wpr", lambda b: ta.wpr(N), "coalesce(-100 * (max(high) OVER f - close) / nullif(max(high) OVER f - min(low) OVER f, 0), 0)")
+gap("mfi", lambda b: b.withColumn("_s", ta.change(P.C)).withColumn("value", ta.mfi(P.C, F.col("_s"), N, P.V)), f"CASE WHEN {_down} = 0 THEN 100 WHEN {_up} = 0 THEN 0 ELSE 100 - 100 / (1 + {_up} / {_down}) END")
+Q["ta_gaps_percentrank"] = lambda spark, sf_dir: _gap_run(lambda b: ta.percentrank(P.C, N), spark, sf_dir)
+SQL["ta_gaps_percentrank"] = f"""WITH g AS MATERIALIZED (SELECT symbol, bar_index, CASE WHEN bar_index % 7 <> 3 THEN close END AS close FROM {sql_bars()})
+SELECT symbol, bar_index, {r6(f"CASE WHEN bar_index >= {N} AND close IS NOT NULL THEN 100.0 * len(list_filter(x, lambda v: v <= close)) / len(list_filter(x, lambda v: v IS NOT NULL)) END")} AS value
+FROM (SELECT *, list(close) OVER (PARTITION BY symbol ORDER BY bar_index ROWS BETWEEN {N} PRECEDING AND 1 PRECEDING) AS x FROM g)"""
