@@ -119,9 +119,15 @@ def get(a: Column, index: int) -> Column:
     return F.element_at(a, index + 1 if index >= 0 else index)
 
 
-def set_(a: Column, index: int, value: Column) -> Column:
+def _within(a: Column, index: int, then) -> Column:
+    """then(place) for an index, from the end if negative; raises beyond the ends."""
     at = F.lit(index) if index >= 0 else F.size(a) + index
-    return F.transform(a, lambda x, i: F.when(i == at, value).otherwise(x))
+    return F.when((at < 0) | (at >= F.size(a)), F.raise_error(F.format_string("index %d is beyond an array of %d", F.lit(index), F.size(a)))).otherwise(then(at))
+
+
+def set_(a: Column, index: int, value: Column) -> Column:
+    """Raises beyond the ends."""
+    return _within(a, index, lambda at: F.transform(a, lambda x, i: F.when(i == at, value).otherwise(x)))
 
 
 def first(a: Column) -> Column:
@@ -154,7 +160,8 @@ def insert(a: Column, index: int, value: Column) -> Column:
 
 
 def remove(a: Column, index: int) -> Column:
-    return F.filter(a, lambda x, i: i != index)
+    """Raises beyond the ends."""
+    return _within(a, index, lambda at: F.filter(a, lambda x, i: i != at))
 
 
 def slice_(a: Column, start: int, end: int) -> Column:

@@ -78,8 +78,8 @@ def split(s: Column, separator: str) -> Column:
 
 
 def match(s: Column, pattern: str) -> Column:
-    """The first match; empty if none."""
-    return F.regexp_extract(s, pattern, 0)
+    """The first match; na if none."""
+    return F.when(s.rlike(pattern), F.regexp_extract(s, pattern, 0))
 
 
 def format_time(ts: Column, fmt: str = "yyyy-MM-dd'T'HH:mm:ss", zone: str = "UTC") -> Column:

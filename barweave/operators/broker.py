@@ -76,6 +76,7 @@ class Exit:
     terms: dict = field(default_factory=dict)
     armed: bool = False
     peak: float = math.nan
+    left: float | None = None  # of a partial exit, what it may still close of the lots it met
 
 
 class Broker:
@@ -85,13 +86,16 @@ class Broker:
         self.trades: list[dict] = []
         self.orders: list[Order] = []
         self.exits: list[Exit] = []
-        self.closes: list[tuple[str | None, int, bool]] = []
+        self.closes: list[tuple[str | None, list[Lot], float, bool]] = []
         self.net = self.gross_profit = self.gross_loss = 0.0
         self.equity_peak = self.trough = c.initial_capital
         self.max_drawdown = self.max_drawdown_percent = self.max_runup = self.max_runup_percent = 0.0
         self.held = {"all": 0.0, "long": 0.0, "short": 0.0}
+        #: Rules that stop new entries, each by its name: allow_entry_in, max_position_size, max_drawdown (money),
+        #: max_drawdown_percent, max_intraday_loss (money), max_cons_loss_days.
         self.risk: dict = {}
         self.halted = False
+        self.day, self.day_net, self.before, self.loss_days = None, 0.0, 0.0, 0
         self.locked: Lot | None | bool = False
         self.late: tuple[float, float, object, int] | None = None
         self.index, self.bar = -1, {}
@@ -136,6 +140,11 @@ class Broker:
         ticks = price / c.mintick
         return (math.floor(ticks) if size > 0 else math.ceil(ticks)) * c.mintick
 
+    def open_trades(self) -> list[dict]:
+        """The lots held, their profit at the bar's close."""
+        close, q = self.bar.get("close", math.nan), self.config.pointvalue
+        return [{"entry_id": x.entry_id, "entry_price": x.price, "entry_bar_index": x.bar, "entry_time": x.time, "size": x.size, "profit": (close - x.price) * x.size * q - x.fee, "commission": x.fee, "max_drawdown": x.worst, "max_runup": x.best} for x in self.lots]
+
     # --- what a strategy asks for ---
 
     def _snap(self, price: float | None, up: bool) -> float | None:
@@ -165,7 +174,7 @@ class Broker:
         self.orders.append(Order(id, side, self.default_entry_qty(self.bar["close"]) if qty is None else qty, limit, stop, self.index))
 
     def exit(self, id: str, from_entry: str = "", **terms: float) -> None:
-        """Terms: limit, stop (prices), profit, loss (ticks), trail_price or trail_points with trail_offset (ticks). Renewed each bar, it stays armed."""
+        """Terms: limit, stop (prices), profit, loss (ticks), trail_price or trail_points with trail_offset (ticks), and qty or qty_percent of the position, all by default. Renewed each bar, it stays armed; what it has closed of a position counts until the position is gone."""
         for x in self.exits:
             if (x.id, x.from_entry) == (id, from_entry):
                 x.terms = terms
@@ -173,13 +182,17 @@ class Broker:
         if any(not from_entry or y.entry_id == from_entry for y in self.lots) or any(not from_entry or o.id == from_entry for o in self.orders):
             self.exits.append(Exit(id, from_entry, self.index, terms))
 
-    def close(self, id: str, immediately: bool = False) -> None:
-        if any(x.entry_id == id for x in self.lots):
-            self.closes.append((id, self.index, immediately))
+    def close(self, id: str, immediately: bool = False, qty: float | None = None, qty_percent: float | None = None) -> None:
+        """The lots of this entry as they are now, or so much of them, at the next open; its exits go."""
+        lots = [x for x in self.lots if x.entry_id == id]
+        if lots:
+            held = sum(abs(x.size) for x in lots)
+            self.exits = [x for x in self.exits if x.from_entry != id]
+            self.closes.append((id, lots, qty if qty is not None else held * qty_percent / 100 if qty_percent is not None else math.inf, immediately))
 
     def close_all(self, immediately: bool = False) -> None:
         if self.lots:
-            self.closes.append((None, self.index, immediately))
+            self.closes.append((None, list(self.lots), math.inf, immediately))
 
     def cancel(self, id: str) -> None:
         self.orders = [o for o in self.orders if o.id != id]
@@ -297,18 +310,19 @@ class Broker:
 
     def after_script(self) -> None:
         """Closes that are to happen on the bar's own close."""
-        for id, at, now in [c for c in self.closes if c[2]]:
-            self._close(math.inf, self.bar["close"], f"close_{id}" if id else "close_all", (lambda x, i=id: i is None or x.entry_id == i))
-        self.closes = [c for c in self.closes if not c[2]]
+        now, self.closes = [c for c in self.closes if c[3]], [c for c in self.closes if not c[3]]
+        self._close_lots(now, self.bar["close"])
+
+    def _close_lots(self, closes: list, price: float) -> None:
+        for id, lots, qty, _ in closes:
+            self._close(qty, price, f"close_{id}" if id else "close_all", lambda x, some=lots: any(x is y for y in some))
 
     def _slipped(self, price: float, side: int) -> float:
         return price + side * self.config.slippage * self.config.mintick
 
     def _closes(self, price: float) -> None:
-        for id, _, _ in self.closes:
-            side = -1 if self.position_size > 0 else 1
-            self._close(math.inf, self._slipped(price, side), f"close_{id}" if id else "close_all", lambda x, i=id: i is None or x.entry_id == i)
-        self.closes = []
+        closes, self.closes = self.closes, []
+        self._close_lots(closes, self._slipped(price, -1 if self.position_size > 0 else 1))
 
     def _entries(self, o: float, h: float, low: float) -> None:
         for order in list(self.orders):
@@ -353,6 +367,10 @@ class Broker:
                     self.exits.remove(x)
                 continue
             side, t = lots[0].side, x.terms
+            if x.left is None and (t.get("qty") is not None or t.get("qty_percent") is not None):
+                x.left = t["qty"] if t.get("qty") is not None else sum(abs(y.size) for y in lots) * t["qty_percent"] / 100
+            if x.left is not None and x.left <= TINY:
+                continue
             good, bad = (h, low) if side > 0 else (low, h)
             first = to_high if side > 0 else not to_high
             gains: list[tuple[float, Lot]] = []
@@ -375,8 +393,10 @@ class Broker:
             losses.sort(key=lambda g: -g[0] * side)
             rest = [(trail, y) for y in lots] if trail is not None else []
             for price, lot in [*gains, *losses, *rest] if first else [*losses, *rest, *gains]:
-                if lot in self.lots:
-                    self._close(abs(lot.size), price, x.id, lambda y, z=lot: y is z)
+                if any(lot is y for y in self.lots):
+                    part = abs(lot.size) if x.left is None else min(abs(lot.size), x.left)
+                    self._close(part, price, x.id, lambda y, z=lot: y is z)
+                    x.left = None if x.left is None else x.left - part
 
     def _trail(self, x: Exit, lots: list[Lot], side: int, good: float, bad: float, close: float, first: bool) -> float | None:
         """The price at which a trailing stop fires on this bar."""
@@ -423,36 +443,44 @@ class Broker:
             self.max_runup = up
             if real + best > 0:
                 self.max_runup_percent = max(self.max_runup_percent, 100 * up / (real + best))
+        day = bar["time"].date()
+        if day != self.day:  # a day that ends with less than it began with prolongs the streak
+            if self.day is not None and self.day_net != self.before:
+                self.loss_days = self.loss_days + 1 if self.day_net < self.before else 0
+            self.before, self.day = self.day_net if self.day is not None else 0.0, day
+        self.day_net = self.net
         r = self.risk
-        if "max_drawdown" in r and self.max_drawdown >= r["max_drawdown"] or "max_intraday_loss" in r and self.gross_loss >= r["max_intraday_loss"]:
+        if "max_drawdown" in r and self.max_drawdown >= r["max_drawdown"] or "max_drawdown_percent" in r and self.max_drawdown_percent >= r["max_drawdown_percent"]:
+            self.halted = True
+        if "max_intraday_loss" in r and self.gross_loss >= r["max_intraday_loss"] or "max_cons_loss_days" in r and self.loss_days >= r["max_cons_loss_days"]:
             self.halted = True
-            self.closes.append((None, self.index, False))
 
 
 TRADE = "entry_id string, entry_price double, entry_bar_index int, entry_time timestamp_ntz, exit_id string, exit_price double, exit_bar_index int, exit_time timestamp_ntz, size double, profit double, commission double, max_drawdown double, max_runup double"
-EQUITY = "bar_index int, time timestamp_ntz, close double, equity double, net_profit double, open_profit double, gross_profit double, gross_loss double, position_size double, max_drawdown double, max_drawdown_percent double, max_runup double, max_runup_percent double"
+EQUITY = "bar_index int, time timestamp_ntz, close double, equity double, net_profit double, open_profit double, gross_profit double, gross_loss double, position_size double, max_drawdown double, max_drawdown_percent double, max_runup double, max_runup_percent double, held_long double, held_short double, entry_name string"
+OPEN = "entry_id string, entry_price double, entry_bar_index int, entry_time timestamp_ntz, size double, profit double, commission double, max_drawdown double, max_runup double"
 
 
-def simulate(bars: list[dict], script: Callable[[dict, Broker], None], config: Config) -> tuple[list[dict], list[dict]]:
-    """Trades and equity of one run over bars in order."""
+def simulate(bars: list[dict], script: Callable[[dict, Broker], None], config: Config) -> tuple[list[dict], list[dict], list[dict]]:
+    """Trades, equity, and the lots still open of one run over bars in order."""
     broker, equity = Broker(config), []
     for i, bar in enumerate(bars):
         broker.step(i, bar)
         script(bar, broker)
         broker.after_script()
-        equity.append({"bar_index": i, "time": bar["time"], "close": bar["close"], "equity": broker.equity(), "net_profit": broker.net, "open_profit": broker.open_profit(bar["close"]), "gross_profit": broker.gross_profit, "gross_loss": broker.gross_loss, "position_size": broker.position_size, "max_drawdown": broker.max_drawdown, "max_drawdown_percent": broker.max_drawdown_percent, "max_runup": broker.max_runup, "max_runup_percent": broker.max_runup_percent})
-    return broker.trades, equity
+        equity.append({"bar_index": i, "time": bar["time"], "close": bar["close"], "equity": broker.equity(), "net_profit": broker.net, "open_profit": broker.open_profit(bar["close"]), "gross_profit": broker.gross_profit, "gross_loss": broker.gross_loss, "position_size": broker.position_size, "max_drawdown": broker.max_drawdown, "max_drawdown_percent": broker.max_drawdown_percent, "max_runup": broker.max_runup, "max_runup_percent": broker.max_runup_percent, "held_long": broker.held["long"], "held_short": broker.held["short"], "entry_name": broker.lots[0].entry_id if broker.lots else None})
+    return broker.trades, equity, broker.open_trades()
 
 
 def backtest(bars: DataFrame, script: Callable[[dict, Broker], None], config: Config = Config(), keys: tuple[str, ...] = ("symbol",), want: str = "trades") -> DataFrame:
-    """bars (with the columns script reads; NULL comes as None) folded for each value of keys: rows of trades or of equity."""
+    """bars (with the columns script reads; NULL comes as None) folded for each value of keys: rows of trades, of equity, or of the trades still open ("open")."""
     ship(bars.sparkSession)
-    kind = TRADE if want == "trades" else EQUITY
+    kind = {"trades": TRADE, "equity": EQUITY, "open": OPEN}[want]
     names = [x.strip().split(" ")[0] for x in kind.split(",")]
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.sort_by("bar_index").to_pylist()
-        made = simulate(rows, script, config)[0 if want == "trades" else 1]
+        made = simulate(rows, script, config)[("trades", "equity", "open").index(want)]
         types = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "timestamp_ntz": pa.timestamp("us")}
         cells = {k: pa.array([rows[0][k]] * len(made), t.schema.field(k).type) for k in keys}
         for part in kind.split(","):
@@ -478,6 +506,8 @@ def metrics(trades: DataFrame, equity: DataFrame, config: Config = Config(), key
         F.avg(F.when(won, p)).alias("avg_winning_trade"),
         F.avg(F.when(lost, -p)).alias("avg_losing_trade"),
         F.avg(100 * p / notional).alias("avg_trade_percent"),
+        F.avg(F.when(won, 100 * p / notional)).alias("avg_winning_trade_percent"),
+        F.avg(F.when(lost, -100 * p / notional)).alias("avg_losing_trade_percent"),
         F.avg(100 * (F.col("exit_price") / F.col("entry_price") - 1) * F.signum("size")).alias("avg_price_move_percent"),
         F.avg(100 * p / (notional + F.col("commission") / 2)).alias("avg_closed_trade_percent"),
         F.max(p).alias("largest_winning_trade"),
@@ -486,7 +516,7 @@ def metrics(trades: DataFrame, equity: DataFrame, config: Config = Config(), key
         F.sum("commission").alias("commission_paid"),
     )
     last = F.max_by(F.struct("equity", "net_profit", "open_profit", "gross_profit", "gross_loss", "max_drawdown", "max_drawdown_percent", "max_runup", "max_runup_percent"), "bar_index").alias("z")
-    e = equity.groupBy(*keys).agg(last, F.max(F.abs("position_size")).alias("max_contracts_held"), F.min_by("close", "bar_index").alias("first_close"), F.max_by("close", "bar_index").alias("last_close"), F.min("time").alias("t0"), F.max("time").alias("t1"))
+    e = equity.groupBy(*keys).agg(last, F.max(F.abs("position_size")).alias("max_contracts_held"), F.max("held_long").alias("max_contracts_held_long"), F.max("held_short").alias("max_contracts_held_short"), F.min_by("close", "bar_index").alias("first_close"), F.max_by("close", "bar_index").alias("last_close"), F.min("time").alias("t0"), F.max("time").alias("t1"))
     w = Window.partitionBy(*keys).orderBy("month")
     month = equity.groupBy(*keys, F.date_trunc("month", "time").alias("month")).agg(F.max_by("equity", "bar_index").alias("m"))
     month = month.withColumn("r", F.try_divide(F.col("m"), F.coalesce(F.lag("m").over(w), F.lit(config.initial_capital))) - 1 - config.risk_free_rate / 1200)
@@ -507,7 +537,7 @@ def metrics(trades: DataFrame, equity: DataFrame, config: Config = Config(), key
         F.try_divide(F.col("z.gross_profit"), F.when(F.col("z.gross_loss") > TINY, F.col("z.gross_loss"))).alias("profit_factor"),
         (100 * rate).alias("percent_profitable"),
         (rate * F.coalesce("avg_winning_trade", F.lit(0.0)) - loss_rate * F.coalesce("avg_losing_trade", F.lit(0.0))).alias("expectancy"),
-        "avg_trade", "avg_winning_trade", "avg_losing_trade", "avg_trade_percent", "avg_price_move_percent", "avg_closed_trade_percent", "largest_winning_trade", "largest_losing_trade", "avg_bars_in_trade", "commission_paid", "max_contracts_held",
+        "avg_trade", "avg_winning_trade", "avg_losing_trade", "avg_trade_percent", "avg_winning_trade_percent", "avg_losing_trade_percent", "avg_price_move_percent", "avg_closed_trade_percent", "largest_winning_trade", "largest_losing_trade", "avg_bars_in_trade", "commission_paid", "max_contracts_held", "max_contracts_held_long", "max_contracts_held_short",
         F.when((F.col("months") >= 2) & (F.col("sd") > 0), F.col("mean") / F.col("sd")).otherwise(0.0).alias("sharpe"),
         F.when((F.col("months") >= 2) & (F.col("dd") > 0), F.col("mean") / F.col("dd")).otherwise(0.0).alias("sortino"),
         F.when((days >= 1) & (capital + F.col("z.net_profit") > 0), 100 * (F.pow((capital + F.col("z.net_profit")) / capital, 365 / days) - 1)).otherwise(0.0).alias("cagr"),

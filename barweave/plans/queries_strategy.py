@@ -47,6 +47,7 @@ for _name, _script, _config in (("averages", averages, AVERAGES), ("bracket", br
     Q[f"strategy_{_name}_trades"] = lambda s, d, f=_script, c=_config: _rounded(backtest(_bars(s, d), f, c))
     Q[f"strategy_{_name}_equity"] = lambda s, d, f=_script, c=_config: _rounded(backtest(_bars(s, d), f, c, want="equity"))
     Q[f"strategy_{_name}_metrics"] = lambda s, d, f=_script, c=_config: _rounded(metrics(backtest(_bars(s, d), f, c), backtest(_bars(s, d), f, c, want="equity"), c))
+Q["strategy_averages_open"] = lambda s, d: _rounded(backtest(_bars(s, d), averages, AVERAGES, want="open"))
 Q["strategy_merged_fills"] = lambda s, d: _rounded(merged_fills(backtest(_bars(s, d), averages, AVERAGES)))
 INDICATOR = 'fast = ta.sma(close, 5)\nslow = ta.sma(close, 14)\nplot(fast - slow, "spread")\nplot(ta.crossover(fast, slow), "up")'
 Q["script_indicator"] = lambda s, d: _rounded(S.run(B.event_bars(s, d), INDICATOR))

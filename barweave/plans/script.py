@@ -327,7 +327,12 @@ class Plan:
         if e[0] != "call":
             return
         name, args, named = e[1], e[2], e[3]
-        if name in ("indicator", "study", "plotshape", "plotchar", "bgcolor", "barcolor", "hline", "fill", "alertcondition"):
+        if name in ("indicator", "study"):
+            return
+        if name in ("plotshape", "plotchar", "bgcolor", "barcolor", "alertcondition"):  # a series each, true or a colour where it shows
+            label = self.constant(named["title"]) if "title" in named else f"{name}_{len(self.plots)}"
+            self.put(self.column(args[0]), label)
+            self.plots.append(label)
             return
         if name == "strategy":
             known = {k: self.constant(v) for k, v in named.items() if k in Config.__dataclass_fields__}
@@ -340,7 +345,7 @@ class Plan:
             self.plots.append(label)
             return
         if name in ("strategy.entry", "strategy.order", "strategy.close", "strategy.close_all", "strategy.exit", "strategy.cancel", "strategy.cancel_all"):
-            order = {"strategy.entry": "id direction qty limit stop", "strategy.order": "id direction qty limit stop", "strategy.exit": "id from_entry qty qty_percent profit limit loss stop trail_price trail_points trail_offset"}.get(name, "id")
+            order = {"strategy.entry": "id direction qty limit stop", "strategy.order": "id direction qty limit stop", "strategy.exit": "id from_entry qty qty_percent profit limit loss stop trail_price trail_points trail_offset", "strategy.close": "id comment qty qty_percent"}.get(name, "id")
             both = dict(zip(order.split(), args, strict=False)) | named
             values: dict[str, Any] = {}
             for k, v in both.items():
@@ -397,15 +402,16 @@ def run_strategy(bars: DataFrame, text: str, inputs: dict[str, Any] | None = Non
             if condition is not None and not bar[condition]:
                 continue
             v = {k: bar[x[1]] if isinstance(x, tuple) else x for k, x in values.items()}
-            v = {k: x for k, x in v.items() if k in ("id", "from_entry", "direction") or isinstance(x, (int, float)) and k in ("qty", "limit", "stop", "profit", "loss", "trail_price", "trail_points", "trail_offset")}
+            v = {k: x for k, x in v.items() if k in ("id", "from_entry", "direction") or isinstance(x, (int, float)) and k in ("qty", "qty_percent", "limit", "stop", "profit", "loss", "trail_price", "trail_points", "trail_offset")}
             side = {"long": LONG, "short": SHORT}.get(v.pop("direction", None))
             if what in ("entry", "order"):
                 getattr(b, what)(v.pop("id"), side, **v)
             elif what == "exit":
-                v.pop("qty", None)
                 b.exit(v.pop("id"), v.pop("from_entry", ""), **v)
-            elif what in ("close", "cancel"):
-                getattr(b, what)(v["id"])
+            elif what == "close":
+                b.close(v["id"], qty=v.get("qty"), qty_percent=v.get("qty_percent"))
+            elif what == "cancel":
+                b.cancel(v["id"])
             else:
                 getattr(b, what)()
 
