@@ -81,7 +81,7 @@ def bag_minhash(key: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int,
     a, b = 0, 1
     left = np.arange(len(key))
     while len(left):
-        seed.append(mix(key[left] + U64(a) * U64(0xD6E8FEB86659FD93) + U64(b)))
+        seed.append(mix(key[left] + U64(a * 0xD6E8FEB86659FD93 & (1 << 64) - 1) + U64(b)))
         own.append(left)
         low.append(np.full(len(left), a, np.int64))
         high.append(np.full(len(left), b, np.int64))

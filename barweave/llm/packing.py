@@ -8,8 +8,8 @@ lengths, and a combination that fills it exactly is used as often as its counts
 combination completes goes to the open sequence where it leaves least room. Pieces of one length are
 interchangeable, so each takes the place of its rank among them.
 
-Ranks come from counts of (length, salt) with the salt drawn from the document's id: a length that a
-third of all pieces share is ranked in many tasks. The table of pieces is written to the shared
+Ranks come from counts of (length, salt) with the salt drawn from the document's id, more salts the more
+pieces there are: a length that a third of all pieces share is ranked in many tasks. The table of pieces is written to the shared
 folder first, so ranks can't change when an executor is lost.
 
 Defined results: a null or empty text is the end mark alone, one piece of length 1. Repeated rows and
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import arrow, read, staged, utf8
 
-CAPACITY, SALTS, END = 2048, 64, 0
+CAPACITY, END = 2048, 0
+SALTS, EACH = (64, 2048), 1 << 20  # salts at least and at most; pieces a salt would hold if all had one length
 MEMO, GROUP, MARKS = 900_000, 1 << 21, b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Byte-level coders write bytes as letters: printable Latin-1 as itself, the others from U+0100 on in order.
@@ -237,12 +238,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut, which must be written down already, with sequence_id and offset."""
     spark = cut.sparkSession
     ship(spark)
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toPandas()  # at most capacity x SALTS rows
+    salts = int(np.clip(cut.count() // EACH, *SALTS))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toPandas()  # at most capacity x salts rows
     table = places(plan({int(k): int(v) for k, v in counts.groupby("length").n.sum().items()}, capacity), capacity)
     counts = counts.sort_values(["length", "_salt"])
     counts["_before"] = counts.groupby("length").n.cumsum() - counts.n
-    before = np.zeros((capacity + 1, SALTS), np.int64)
+    before = np.zeros((capacity + 1, salts), np.int64)
     before[counts.length, counts._salt] = counts._before
     shared = spark.sparkContext.broadcast((table, before))
 
