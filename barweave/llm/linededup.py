@@ -400,12 +400,14 @@ def _witnessed(key: np.ndarray, n: np.ndarray, bits: np.ndarray, texts: pa.Chunk
     held: list[tuple[np.ndarray, ...]] = []
 
     def verify() -> None:
-        i, j, most = (np.concatenate(x) for x in zip(*held, strict=True))
+        pairs = [np.concatenate(x) for x in zip(*held, strict=True)]
         held.clear()
-        row, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        points, _, _, begin, end = lines_of(texts.take(pa.array(row)).to_pylist())
-        a, b = np.split(at, 2)
-        done[j[edit_distance(Hashed(points, 0), begin[a], n[i], begin[b], n[j]) <= most]] = True
+        part = np.cumsum(n[pairs[0]] + n[pairs[1]]) // (4 * CHUNK)  # so many code points at once, a longer pair alone
+        for i, j, most in zip(*(np.split(x, np.flatnonzero(np.diff(part)) + 1) for x in pairs), strict=True):
+            row, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            points, _, _, begin, end = lines_of(texts.take(pa.array(row)).to_pylist())
+            a, b = np.split(at, 2)
+            done[j[edit_distance(Hashed(points, 0), begin[a], n[i], begin[b], n[j]) <= most]] = True
 
     act, d, size, turn = np.arange(len(n)), 1, 0, 1
     while len(act := act[act + d < last[act]]):
@@ -418,7 +420,7 @@ def _witnessed(key: np.ndarray, n: np.ndarray, bits: np.ndarray, texts: pa.Chunk
         if near.any():
             held.append((i[near], j[near], most[near]))
             size += int((n[i[near]] + n[j[near]]).sum())
-        if held and (d == turn or size >= 16 * CHUNK):  # those found need no further witness
+        if held and (d == turn or size >= 4 * CHUNK):  # those found need no further witness
             verify()
             size = 0
         turn = 2 * turn if d == turn else turn
