@@ -28,7 +28,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +72,7 @@ def branches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def units_of(words: list[bytes], branch: np.ndarray, index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Each word's unit, and its branch or -1."""
-    unit = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
+    unit = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
     return np.where(unit < 0, 1 + branch // FAMILIES, unit), np.where(unit < 0, branch, -1)
 
 
@@ -153,13 +153,18 @@ def descend(flat: np.ndarray, prob: np.ndarray, inner: np.ndarray, one: np.ndarr
     def spread(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, d), np.float32)
         if len(at):
-            order = np.argsort(at, kind="stable")
+            order = np.argsort(at.astype(np.int16), kind="stable")  # units and branches are few: a radix sort
             first = np.flatnonzero(np.diff(at[order], prepend=-1))
             out[at[order[first]]] = np.add.reduceat(rows[order], first, axis=0)
         return out
 
     def error(x: np.ndarray, y: float) -> np.ndarray:
-        return y - 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        e = np.negative(x, dtype=np.float32)
+        with np.errstate(over="ignore"):  # an infinite one stands for a probability of 0
+            np.exp(e, out=e)
+        e += 1
+        np.reciprocal(e, out=e)
+        return np.subtract(np.float32(y), e, out=e)
 
     for a in range(0, len(order), BATCH):
         pick = order[a : a + BATCH]
@@ -167,8 +172,8 @@ def descend(flat: np.ndarray, prob: np.ndarray, inner: np.ndarray, one: np.ndarr
         noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), k - 1)
         h = p.hidden(c1, c2)
         qt, qn = p.q[t], p.q[noise]
-        up = error((h * qt).sum(1) + p.b[t] - shift[t], 1)
-        down = error(h @ qn.T + p.b[noise] - shift[noise], 0)
+        up = error(np.einsum("nd,nd->n", h, qt) + (p.b - shift)[t], 1)
+        down = error(h @ qn.T + (p.b[noise] - shift[noise]), 0)
         dh = up[:, None] * qt + down @ qn
         into.q[:] = spread(t, up[:, None] * h, k)
         np.add.at(into.q, noise, down.T @ h)
@@ -181,9 +186,9 @@ def descend(flat: np.ndarray, prob: np.ndarray, inner: np.ndarray, one: np.ndarr
         other = np.clip(other, (own // FAMILIES * FAMILIES)[:, None], (own // FAMILIES * FAMILIES + FAMILIES - 1)[:, None])
         some = np.concatenate([own[:, None], other], 1)
         q2 = p.q2[some]
-        off = np.einsum("nd,nkd->nk", h[far], q2) + p.b2[some] - shift2[some]
+        off = np.matmul(q2, h[far][:, :, None])[:, :, 0] + (p.b2 - shift2)[some]
         pull = np.concatenate([error(off[:, :1], 1), error(off[:, 1:], 0)], 1).astype(np.float32)
-        dh[far] += np.einsum("nk,nkd->nd", pull, q2)
+        dh[far] += np.matmul(pull[:, None, :], q2)[:, 0]
         into.q2[:] = spread(some.ravel(), (pull[:, :, None] * h[far][:, None, :]).reshape(-1, d), m)
         into.b2[:] = np.bincount(some.ravel(), weights=pull.ravel(), minlength=m)
         into.r[:] = spread(np.concatenate([c1, c2]), np.concatenate([dh * p.c[0], dh * p.c[1]]), k + 1)
@@ -235,7 +240,7 @@ def _scores(shared):
                 flat_words = list(chain.from_iterable(words))
                 ends = np.cumsum([len(w) for w in words])
                 doc = np.repeat(np.arange(b - a), np.diff(ends, prepend=0))
-                at = np.fromiter((rank.get(w, -1) for w in flat_words), np.int64, len(flat_words))
+                at = np.fromiter(map(rank.get, flat_words, repeat(-1)), np.int64, len(flat_words))
                 # ranks from 0 in order of counts; the end has its own unit wherever its rank is
                 ids = np.where((at >= 0) & (at < k - FIRST), at + FIRST, -1)
                 ids[ends - 1] = END
