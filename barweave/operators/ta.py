@@ -2,7 +2,7 @@
 
 Every function takes Columns and returns a Column over a symbol's bars in order; windows don't nest, so a series made by
 one operator becomes a column before the next reads it. All operators over one window share one exchange
-and one sort. NULL is na; a full window is needed before a value appears, except where said otherwise.
+and one sort; windows of the last values that are not na (``valid``) need a sort more, no exchange. NULL is na; a full window is needed before a value appears, except where said otherwise.
 """
 
 from __future__ import annotations
