@@ -4,7 +4,7 @@ Documents become token ids and an end mark; only those longer than a sequence ar
 pieces and one shorter rest. Which pieces share a sequence depends on lengths alone, so the plan is
 made on the driver from one number for each length (at most ``capacity`` of them, however many
 documents there are): longest first, the gap is looked up in an index of sums of one, two and three
-lengths, and a combination that fills it exactly is used as often as its counts allow; what no
+lengths (``Sums``), and a combination that fills it exactly is used as often as its counts allow; what no
 combination completes goes to the open sequence where it leaves least room. Pieces of one length are
 interchangeable, so each takes the place of its rank among them.
 
@@ -122,6 +122,59 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return arrow(docs.select("doc_id", "text"), _pieces(path, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+class Sums:
+    """The index of sums below the capacity: which one, two or three of the lengths there are make each.
+
+    left, which the owner lowers, says how many there are of each length. Counts never rise, so a
+    combination that has run out is taken from the index for good. Sums of three are kept as their largest
+    part and the sum of the other two, which is looked up in turn: all parts listed would be some 10^8.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        n = len(left)
+        have = np.flatnonzero(left > 0).astype(np.int32)
+        have = have[have > 0][::-1]  # combinations stand longest part first
+        even = np.full(n, n, np.int32)  # the larger part of the most even pair of each sum
+        self.pairs: list[np.ndarray] = []
+        for s in range(n):
+            a = have[(have < s) & (2 * have >= s)]
+            a = a[left[s - a] > 0]
+            self.pairs.append(a)
+            if len(a):
+                even[s] = a[-1]
+        self.triples = [a[even[s - a] <= a] for s, a in ((s, have[have < s]) for s in range(n))]
+
+    def _alive(self, s: int) -> np.ndarray:
+        a = self.pairs[s]
+        return a[(self.left[a] > 0) & (self.left[s - a] > (a == s - a))]
+
+    def filling(self, gap: int, long: int) -> list[int] | None:
+        """Up to three lengths of sum gap, there beside one of long; the caller then uses them or gives long up."""
+        left = self.left
+        left[long] -= 1
+        try:
+            if left[gap] > 0:
+                return [gap]
+            self.pairs[gap] = self._alive(gap)
+            if len(self.pairs[gap]):
+                a = int(self.pairs[gap][0])
+                return [a, gap - a]
+            for k, a in enumerate(self.triples[gap].tolist()):
+                if left[a] > 0:
+                    left[a] -= 1
+                    b = self._alive(gap - a)
+                    left[a] += 1
+                    b = b[b <= a]
+                    if len(b):
+                        self.triples[gap] = self.triples[gap][k:]
+                        return [a, int(b[0]), gap - a - int(b[0])]
+            self.triples[gap] = self.triples[gap][:0]
+            return None
+        finally:
+            left[long] += 1
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """(lengths that share a sequence, how many sequences are so), using exactly counts[length] of each length."""
     left = np.zeros(capacity + 1, np.int64)
@@ -140,43 +193,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
     def times(lengths: list[int]) -> int:
         return int(min(left[x] // lengths.count(x) for x in set(lengths)))
 
-    def complement(gap: int, long: int) -> list[int] | None:
-        """Lengths of sum gap, at most three, all there besides one of long: the longest first."""
-        left[long] -= 1
-        try:
-            if left[gap] > 0:
-                return [gap]
-            have = np.flatnonzero(left[: gap + 1] > 0)
-            have = have[have > 0]
-            first = have[have * 2 >= gap][::-1]
-            other = gap - first
-            ok = (other > 0) & (left[other] > (first == other))
-            if ok.any():
-                a = int(first[ok][0])
-                return [a, gap - a]
-            for a in have[::-1]:
-                rest = gap - int(a)
-                if rest < 2 or rest > 2 * a:
-                    if rest > 2 * a:
-                        break
-                    continue
-                left[a] -= 1
-                some = have[(have * 2 >= rest) & (have <= a) & (have < rest)][::-1]
-                some = some[left[some] > 0]
-                other = rest - some
-                ok = left[other] > (some == other)
-                left[a] += 1
-                if ok.any():
-                    b = int(some[ok][0])
-                    return [int(a), b, rest - b]
-            return None
-        finally:
-            left[long] += 1
-
+    sums = Sums(left)
     residual: dict[int, int] = {}
     for long in range(capacity - 1, 0, -1):
         while left[long] > 0:
-            found = complement(capacity - long, long) if left[: capacity - long + 1].any() else None
+            found = sums.filling(capacity - long, long)
             if not found:
                 residual[long] = int(left[long])
                 left[long] = 0

@@ -1,5 +1,6 @@
 """Personal data, packing, pieces and the pipeline: against plain Python and the tokenizers' own libraries; odd inputs."""
 
+import itertools
 import re
 import zlib
 
@@ -97,6 +98,24 @@ def test_plan_uses_everything_once(counts):
     assert sum(n for _, n in made) <= -(-sum(k * v for k, v in counts.items()) // 8) + 2
 
 
+@pytest.mark.parametrize("capacity", [3, 8, 13, 24])
+def test_index_of_sums_fills_what_can_be_filled(capacity):
+    """Against all combinations of up to three pieces that are there beside the one to complete."""
+    rng = np.random.default_rng(capacity)
+    for _ in range(100):
+        left = rng.integers(0, 4, capacity + 1) * rng.integers(0, 2, capacity + 1)
+        left[0] = 0
+        for long in np.flatnonzero(left[:capacity]).tolist():
+            there = [x for x in range(capacity + 1) for _ in range(left[x] - (x == long))]
+            can = any(sum(c) == capacity - long for k in (1, 2, 3) for c in itertools.combinations(there, k))
+            found = packing.Sums(left.copy()).filling(capacity - long, long)
+            assert bool(found) == can
+            if found:
+                assert sum(found) == capacity - long and len(found) <= 3 and all(found.count(x) <= there.count(x) for x in found)
+        made = packing.plan({x: int(n) for x, n in enumerate(left) if n}, capacity)
+        assert sum(n * lengths.count(x) for lengths, n in made for x in set(lengths)) == left.sum()
+
+
 def test_packing_covers_all_tokens(odd, empty):
     path = packing.tokenizer_file()
     rows = packing.pack_documents(odd).toPandas()
