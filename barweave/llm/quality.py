@@ -1,15 +1,16 @@
 """Quality by supervised subword embeddings.
 
-A text is the bag of its words, of the byte 3- and 4-grams in them (with their borders) and of one
+A text is the bag of its words, of the 3- and 4-grams of code points in them (with their borders) and of one
 word pair, "the same word again", each hashed to a row of one table of vectors. Its vector is their average, and a softmax over two classes
 stands on it; table and softmax are learnt together by stochastic gradient descent in numpy, on a
-bounded sample of labelled texts (``TrainSize``). Case and marks are kept: they tell junk from prose.
+bounded sample of labelled texts (``TrainSize``, in texts and bytes). Case and marks are kept: they tell junk from prose.
 
 The softmax is linear in the average, so scoring needs one number for each row of the table, the
 difference of the two classes' logits; whole texts are scored by hashing and one gather.
 
 Defined results: a null text is an empty one; a text without features has the score of the biases.
-Repeated rows each get a row; a null doc_id counts as the empty text when folds are dealt. With labels
+Repeated rows each get a row, and of several texts with one id the smallest is learnt from; a null doc_id
+counts as the empty text when folds are dealt. With labels
 of one class only (or none) every score is that class's share (0.5 without labels). Other columns,
 whatever their names, take no part.
 """
@@ -32,9 +33,10 @@ CHUNK = 1 << 22
 
 @dataclass(frozen=True)
 class TrainSize:
-    """texts: labelled texts at most; the rest steers the descent."""
+    """texts, bytes: labelled texts at most, and bytes of them together; the rest steers the descent."""
 
     texts: int = 4000
+    bytes: int = 64 << 20
     epochs: int = 12
     batch: int = 16
     rate: float = 0.4
@@ -48,14 +50,22 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     same = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))  # a word that is the one before it again
     bucket.append(np.full(len(same), 0, np.int32))
     rows.append(row[same].astype(np.int32))
-    # a blank byte before and after each row marks borders of words at its ends
-    n = np.diff(off)
-    pad = np.full(len(data) + 2 * len(n), 32, np.uint8)
-    place = np.arange(len(data)) + 2 * np.repeat(np.arange(len(n)), n) + 1
-    pad[place] = data
+    # code points, one number each: the bytes that continue one are put to the byte that leads it
+    lead = (data & 0xC0) != 0x80
+    lead[off[:-1][np.diff(off) > 0]] = True  # no row continues the one before it
+    at = np.flatnonzero(lead)
+    x = data[at].astype(np.uint32)
+    run = np.diff(np.append(at, len(data)))
+    for j in range(1, int(run.max(initial=1))):
+        more = np.flatnonzero(run > j)
+        x[more] = x[more] << np.uint32(6) | (data[at[more] + j] & 0x3F)
+    # a blank before and after each row marks borders of words at its ends
+    n = np.diff(np.searchsorted(at, off))
+    pad = np.full(len(x) + 2 * len(n), 32, np.uint32)
+    pad[np.arange(len(x)) + 2 * np.repeat(np.arange(len(n)), n) + 1] = x
     owner = np.repeat(np.arange(len(n), dtype=np.int32), n + 2)
-    space = SPACE[pad]
-    x = np.where(space, 1, pad.astype(np.uint32) + 2).astype(np.uint32)
+    space = SPACE[np.minimum(pad, 255)]
+    x = np.where(space, 1, pad + 2).astype(np.uint32)
     for k in GRAMS:
         m = len(pad) - k + 1
         if m <= 0:
@@ -141,8 +151,15 @@ def descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: Trai
 def train(docs: DataFrame, labels: DataFrame, learn: Column, size: TrainSize = TrainSize()) -> Model:
     """learn: over doc_id, the rows whose labels may be learnt from."""
     known = first_by_hash(labels_of(labels, "quality").where(learn).withColumn("y", F.least("y", F.lit(1))), size.texts)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
-    got = arrow(rows.select("text", "y"), _bags, "ids binary, share binary, y int").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).persist()  # at most size.texts rows
+    try:
+        long = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).toPandas().sort_values(["h", "doc_id"])
+        over = long.h[long.n.cumsum() > size.bytes]
+        used = rows.where(F.xxhash64("doc_id") < int(over.iloc[0])) if len(over) else rows
+        got = arrow(used.select("text", "y"), _bags, "ids binary, share binary, y int").toArrow()
+    finally:
+        rows.unpersist()
     y = np.asarray(got.column("y"), dtype=np.int64)
     if len(np.unique(y)) < 2:
         share = float(y.mean()) if len(y) else 0.5

@@ -130,6 +130,57 @@ def test_quality_learns_marks_and_case(spark):
     assert ((got.score >= 0.3) == (got.quality == 1)).mean() > 0.95
 
 
+def test_quality_features_are_words_and_code_point_grams():
+    """The same groups of equal features as plain Python finds, text by text."""
+    texts = ["the the cat", "", "caf\u00e9 caf\u00e8 \u65e5\u672c\u8a9e\U0001f600x", " a\n", "xyz", "\u00e9", "na\u00efve na"]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    bucket, row = quality.features(np.frombuffer(b"".join(raw), np.uint8), off)
+    seen = {}
+    for r, t in enumerate(texts):
+        words = t.split()
+        want = [("w", w) for w in words] + [("again",) for a, b in zip(words, words[1:], strict=False) if a == b]
+        for w in words:
+            w = f" {w} "
+            want += [(k, w[i : i + k]) for k in quality.GRAMS for i in range(len(w) - k + 1) if k < len(w)]  # a whole word is one already
+        got = bucket[row == r].tolist()
+        assert len(got) == len(want)
+        seen.setdefault("got", []).extend(got)
+        seen.setdefault("want", []).extend(want)
+    # no two features of these few meet in a bucket, so kinds can be matched by how often and where they occur
+    assert len(set(seen["got"])) == len(set(seen["want"]))
+    assert sorted(seen["got"].count(b) for b in set(seen["got"])) == sorted(seen["want"].count(f) for f in set(seen["want"]))
+
+
+def test_quality_step_is_the_gradients():
+    """One step on one text, in plain Python: the softmax's gradient, a row's own scaled as the docstring of the step says."""
+    bag = (np.array([3, 8], np.int32), np.array([0.25, 0.75], np.float32))
+    size = quality.TrainSize(epochs=1, batch=1, rate=0.5)
+    model = quality.descend([bag, bag], np.array([1, 0]), size)
+    rng = np.random.default_rng(size.seed)
+    table = rng.uniform(-1 / quality.WIDTH, 1 / quality.WIDTH, (1 << quality.BITS, quality.WIDTH)).astype(np.float32).astype(float)
+    out, bias, truth = [[0.0] * quality.WIDTH, [0.0] * quality.WIDTH], [math.log(0.5)] * 2, [1, 0]
+    for step, i in enumerate(rng.permutation(2)):
+        rate = 0.5 * (1 - step / 2)
+        mean = [sum(s * table[k][d] for k, s in zip(*bag, strict=True)) for d in range(quality.WIDTH)]
+        logit = [sum(m * o for m, o in zip(mean, out[c], strict=True)) + bias[c] for c in (0, 1)]
+        p = [math.exp(z) / sum(math.exp(q) for q in logit) - (c == truth[i]) for c, z in enumerate(logit)]
+        back = [sum(p[c] * out[c][d] for c in (0, 1)) for d in range(quality.WIDTH)]
+        for c in (0, 1):
+            out[c] = [o - rate * p[c] * m for o, m in zip(out[c], mean, strict=True)]
+            bias[c] -= rate * p[c]
+        for k, s in zip(*bag, strict=True):
+            table[k] -= [rate * b * s / math.sqrt(0.25**2 + 0.75**2) for b in back]
+    weight = [sum(table[k][d] * (out[1][d] - out[0][d]) for d in range(quality.WIDTH)) for k in (3, 8)]
+    assert model.weight[[3, 8]] == pytest.approx(weight, rel=1e-3) and model.bias == pytest.approx(bias[1] - bias[0], abs=1e-5)
+
+
+def test_quality_sample_is_bounded_in_bytes(spark):
+    docs, labels = documents(spark)
+    few = quality.train(docs, labels, everything(), quality.TrainSize(bytes=0))
+    assert not few.weight.any()
+
+
 def test_quality_odd(spark, odd, empty):
     docs, labels = documents(spark)
     model = quality.train(docs, labels, everything())
