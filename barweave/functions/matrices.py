@@ -203,24 +203,35 @@ def is_stochastic(m: Column) -> Column:
 
 
 def _numpy(kind: str, of: Callable[[np.ndarray], object]):
-    """A vectorised function over matrices: one Arrow batch at a time; what has no result is na."""
+    """of takes a stack of matrices of one shape: one call for each shape of an Arrow batch. What has no result is na."""
 
     @F.pandas_udf(kind)
     def run(ms: pd.Series) -> pd.Series:
-        out = []
-        for m in ms:
-            try:
-                v = of(np.array([list(r) for r in m], np.float64)) if m is not None else None
-            except (np.linalg.LinAlgError, ValueError):
-                v = None
-            out.append(v.tolist() if isinstance(v, np.ndarray) else v)
+        out: list = [None] * len(ms)
+        shapes: dict[tuple[int, int], list[int]] = {}
+        rows = [None if m is None else [np.asarray(r, np.float64) for r in m] for m in ms]
+        for k, m in enumerate(rows):
+            if m and len({len(r) for r in m}) == 1:
+                shapes.setdefault((len(m), len(m[0])), []).append(k)
+        for at in shapes.values():
+            for k, v in zip(at, _each_of(of, np.stack([rows[k] for k in at])), strict=True):
+                out[k] = v.tolist() if isinstance(v, (np.ndarray, np.generic)) else v
         return pd.Series(out, dtype=object)
 
     return run
 
 
+def _each_of(of: Callable[[np.ndarray], object], stack: np.ndarray):
+    """of the stack; where one without a result spoils the call, of each half of it."""
+    try:
+        return of(stack)
+    except (np.linalg.LinAlgError, ValueError):
+        half = len(stack) // 2
+        return [*_each_of(of, stack[:half]), *_each_of(of, stack[half:])] if half else [None]
+
+
 def det(m: Column) -> Column:
-    return _numpy("double", lambda x: float(np.linalg.det(x)))(m)
+    return _numpy("double", np.linalg.det)(m)
 
 
 def inv(m: Column) -> Column:
@@ -229,11 +240,16 @@ def inv(m: Column) -> Column:
 
 def pinv(m: Column) -> Column:
     """By the normal equations: of full rank only."""
-    return _numpy(KIND, lambda x: np.linalg.inv(x.T @ x) @ x.T if x.shape[0] >= x.shape[1] else x.T @ np.linalg.inv(x @ x.T))(m)
+
+    def of(x: np.ndarray):
+        t = x.swapaxes(1, 2)
+        return np.linalg.inv(t @ x) @ t if x.shape[1] >= x.shape[2] else t @ np.linalg.inv(x @ t)
+
+    return _numpy(KIND, of)(m)
 
 
 def rank(m: Column) -> Column:
-    return _numpy("int", lambda x: int(np.linalg.matrix_rank(x, TOLERANCE)))(m)
+    return _numpy("int", lambda x: np.linalg.matrix_rank(x, TOLERANCE))(m)
 
 
 def pow_(m: Column, power: int) -> Column:
@@ -242,14 +258,9 @@ def pow_(m: Column, power: int) -> Column:
 
 def eigenvalues(m: Column) -> Column:
     """Of 2 x 2 matrices, the larger first; na for other sizes and complex ones."""
-
-    def of(x: np.ndarray):
-        if x.shape != (2, 2):
-            return None
-        half, d = (x[0, 0] + x[1, 1]) / 2, ((x[0, 0] - x[1, 1]) / 2) ** 2 + x[0, 1] * x[1, 0]
-        return None if d < 0 else [float(half + np.sqrt(d)), float(half - np.sqrt(d))]
-
-    return _numpy("array<double>", of)(m)
+    a, b, c, d = (F.try_element_at(F.try_element_at(m, F.lit(i)), F.lit(j)) for i in (1, 2) for j in (1, 2))
+    half, square = (a + d) / 2, ((a - d) / 2) * ((a - d) / 2) + b * c
+    return F.when((rows(m) == 2) & (columns(m) == 2) & (square >= 0), F.array(half + F.sqrt(square), half - F.sqrt(square)))
 
 
 def eigenvectors(m: Column) -> Column:
@@ -257,8 +268,9 @@ def eigenvectors(m: Column) -> Column:
 
     def of(x: np.ndarray):
         value, vector = np.linalg.eig(x)
-        if np.iscomplexobj(value):
-            return None
-        return vector[:, np.argsort(-value)]
+        real = (np.imag(value) == 0).all(axis=1)
+        order = np.argsort(-np.real(value), axis=1)
+        vector = np.take_along_axis(np.real(vector), order[:, None, :], axis=2)
+        return [v if ok else None for v, ok in zip(vector, real, strict=True)]
 
     return _numpy(KIND, of)(m)

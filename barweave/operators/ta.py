@@ -80,7 +80,9 @@ def sma(x: Column, n: int) -> Column:
 
 
 def wma(x: Column, n: int) -> Column:
-    return _weighted(x, [n - k for k in range(n)]) / F.lit(n * (n + 1) / 2)
+    """Weights n for the latest bar down to 1: in closed form from two sums, whatever n is."""
+    i = F.col("bar_index").cast("double")
+    return _full(x, n, (_sum(x * i, n) - (i - F.lit(float(n))) * _sum(x, n)) / F.lit(n * (n + 1) / 2))
 
 
 def vwma(x: Column, n: int, volume: Column) -> Column:
@@ -228,12 +230,16 @@ def barssince(cond: Column) -> Column:
     return i - F.last(F.when(cond, i), ignorenulls=True).over(so_far())
 
 
-def valuewhen(cond: Column, x: Column, occurrence: int = 0) -> Column:
-    """x at the bar where cond was last true, occurrence times before; the state is the last few hits alone."""
-    hits = F.collect_list(F.when(cond, F.struct(x.alias("x")))).over(so_far())
-    if occurrence == 0:
-        return F.last(F.when(cond, F.struct(x.alias("x"))), ignorenulls=True).over(so_far())["x"]
-    return F.try_element_at(hits, F.lit(-1 - occurrence))["x"]
+def hit(cond: Column, x: Column, occurrence: int = 0) -> Column:
+    """At a bar where cond is true, x as it was that many hits before; for valuewhen. Hits alone are in the window: the state is a lag."""
+    ok = F.coalesce(cond, F.lit(False))
+    at = Window.partitionBy("symbol", ok).orderBy("bar_index")
+    return F.when(ok, F.struct((F.lag(x, occurrence).over(at) if occurrence else x).alias("x")))
+
+
+def valuewhen(hit_: Column) -> Column:
+    """What the last hit so far says, from a column of hit; na as long as there were too few."""
+    return F.last(hit_, ignorenulls=True).over(so_far())["x"]
 
 
 def tr(handle_na: bool = True) -> Column:

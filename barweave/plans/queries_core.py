@@ -146,6 +146,20 @@ _T = "[[m[1][1], m[2][1], m[3][1]], [m[1][2], m[2][2], m[3][2]], [m[1][3], m[2][
 _det = "(m[1][1] * (m[2][2] * m[3][3] - m[2][3] * m[3][2]) - m[1][2] * (m[2][1] * m[3][3] - m[2][3] * m[3][1]) + m[1][3] * (m[2][1] * m[3][2] - m[2][2] * m[3][1]))"
 _each = "list_transform(range(1, 4), lambda i: list_transform(range(1, 4), lambda j: {}))".format
 _flat = "flatten(m)"
+_cell = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3)]
+
+
+def _all(test: str, of=lambda i, j: True) -> str:
+    """Whether test holds in all cells for which of does."""
+    return "(" + " AND ".join(test.format(i=i, j=j) for i, j in _cell if of(i, j)) + ")"
+
+
+_is = [
+    "true", _all("m[{i}][{j}] = 0"), _all("m[{i}][{j}] = CASE WHEN {i} = {j} THEN 1 ELSE 0 END"), _all("m[{i}][{j}] = 0", lambda i, j: i != j), _all("m[{i}][{j}] = 0", lambda i, j: i + j != 4),
+    _all("m[{i}][{j}] = m[{j}][{i}]"), _all("m[{i}][{j}] = -m[{j}][{i}]"), "(" + _all("m[{i}][{j}] = 0", lambda i, j: i > j) + " OR " + _all("m[{i}][{j}] = 0", lambda i, j: i < j) + ")",
+    _all("m[{i}][{j}] IN (0, 1)"), "(" + _all("m[{i}][{j}] >= 0") + " AND " + _all("abs(m[{i}][1] + m[{i}][2] + m[{i}][3] - 1) <= 1e-10", lambda i, j: j == 1) + ")",
+]
+_tests = "concat_ws(',', " + ", ".join(f"CAST({t} AS INTEGER)" for t in _is) + ", '1,0,1,1,0,1,0,1,1,1')"
 _matrix: dict[str, tuple] = {
     "new": (lambda m, k: Z.new(2, 2, Z.get(m, 0, 0)), "[[m[1][1], m[1][1]], [m[1][1], m[1][1]]]"), "get": (lambda m, k: Z.get(m, 1, 2), "m[2][3]"), "set": (lambda m, k: Z.set_(m, 1, 2, F.lit(8.0)), "[m[1], [m[2][1], m[2][2], 8.0], m[3]]"), "rows": (lambda m, k: Z.rows(m), "3"), "columns": (lambda m, k: Z.columns(m), "3"), "elements_count": (lambda m, k: Z.elements_count(m), "9"),
     "row": (lambda m, k: Z.row(m, 1), "m[2]"), "col": (lambda m, k: Z.col(m, 1), "[m[1][2], m[2][2], m[3][2]]"), "add_row": (lambda m, k: Z.add_row(m, 1, Z.row(k, 0)), "[m[1], k[1], m[2], m[3]]"), "add_col": (lambda m, k: Z.add_col(m, 1, Z.row(k, 0)), "list_transform(range(1, 4), lambda i: [m[i][1], k[1][i], m[i][2], m[i][3]])"), "remove_row": (lambda m, k: Z.remove_row(m, 0), "[m[2], m[3]]"), "remove_col": (lambda m, k: Z.remove_col(m, 0), "list_transform(m, lambda r: r[2:3])"),
@@ -155,7 +169,7 @@ _matrix: dict[str, tuple] = {
     "avg": (lambda m, k: Z.avg(m), f"list_avg({_flat})"), "max": (lambda m, k: Z.max_(m), f"list_max({_flat})"), "min": (lambda m, k: Z.min_(m), f"list_min({_flat})"), "median": (lambda m, k: Z.median(m), f"list_median({_flat})"), "mode": (lambda m, k: Z.mode(m), "list_min(list_filter(flatten(m), lambda x: len(list_filter(flatten(m), lambda y: y = x)) = list_max(list_transform(flatten(m), lambda z: len(list_filter(flatten(m), lambda q: q = z))))))"), "trace": (lambda m, k: Z.trace(m), "m[1][1] + m[2][2] + m[3][3]"), "det": (lambda m, k: Z.det(m), _det),
     "rank": (lambda m, k: Z.rank(Z.submatrix(m, 0, 2, 0, 2)), "CASE WHEN abs(m[1][1] * m[2][2] - m[1][2] * m[2][1]) > 0 THEN 2 WHEN list_max(list_transform([m[1][1], m[1][2], m[2][1], m[2][2]], lambda x: abs(x))) > 0 THEN 1 ELSE 0 END"),
     "eigenvalues": (lambda m, k: Z.eigenvalues(Z.submatrix(m, 0, 2, 0, 2)), "CASE WHEN ((m[1][1] - m[2][2]) / 2) ** 2 + m[1][2] * m[2][1] >= 0 THEN [(m[1][1] + m[2][2]) / 2 + sqrt(((m[1][1] - m[2][2]) / 2) ** 2 + m[1][2] * m[2][1]), (m[1][1] + m[2][2]) / 2 - sqrt(((m[1][1] - m[2][2]) / 2) ** 2 + m[1][2] * m[2][1])] END"),
-    "tests": (lambda m, k: F.concat_ws(",", *[f(x).cast("int").cast("string") for x in (m, _identity()) for f in (Z.is_square, Z.is_zero, Z.is_identity, Z.is_diagonal, Z.is_antidiagonal, Z.is_symmetric, Z.is_antisymmetric, Z.is_triangular, Z.is_binary, Z.is_stochastic)]), None),
+    "tests": (lambda m, k: F.concat_ws(",", *[f(x).cast("int").cast("string") for x in (m, _identity()) for f in (Z.is_square, Z.is_zero, Z.is_identity, Z.is_diagonal, Z.is_antidiagonal, Z.is_symmetric, Z.is_antisymmetric, Z.is_triangular, Z.is_binary, Z.is_stochastic)]), _tests),
 }
 
 
@@ -170,7 +184,7 @@ def _identity() -> Column:
 _scalar, _vector = {"get", "avg", "max", "min", "median", "mode", "trace", "det"}, {"row", "col", "mult_vector", "eigenvalues"}
 for _name, (_f, _s) in _matrix.items():
     if _s is not None:
-        _s = r6(_s) if _name in _scalar else f"list_transform({_s}, lambda x: round(CAST(x AS DOUBLE), 6) + 0.0)" if _name in _vector else _s if _name in {"rows", "columns", "elements_count", "rank"} else f"list_transform({_s}, lambda r: list_transform(r, lambda x: round(CAST(x AS DOUBLE), 6) + 0.0))"
+        _s = r6(_s) if _name in _scalar else f"list_transform({_s}, lambda x: round(CAST(x AS DOUBLE), 6) + 0.0)" if _name in _vector else _s if _name in {"rows", "columns", "elements_count", "rank", "tests"} else f"list_transform({_s}, lambda r: list_transform(r, lambda x: round(CAST(x AS DOUBLE), 6) + 0.0))"
     query(f"matrix_{_name}", lambda s, d, f=_f: _vectors(s, d).select("vec_id", f(F.col("m"), F.col("k")).alias("value")), f"SELECT vec_id, {_s} AS value FROM {_V}" if _s is not None else None)
 
 for _name, _f in (("inv", Z.inv), ("pinv", Z.pinv)):  # a function of Python's stands outside lambdas: the product comes in a second step

@@ -132,7 +132,7 @@ add("crossover", lambda b: b.withColumn("_m", F.avg(P.C).over(ta.frame(N))).with
 add("crossunder", lambda b: b.withColumn("_m", F.avg(P.C).over(ta.frame(N))).withColumn("value", ta.crossunder(P.C, F.col("_m"))), "coalesce(lag(close) OVER w >= lag(m) OVER w AND close < m, false)", _pair, source="d", exact=("value",))
 add("cross", lambda b: b.withColumn("_m", F.avg(P.C).over(ta.frame(N))).withColumn("value", ta.cross(P.C, F.col("_m"))), "coalesce(lag(close) OVER w <= lag(m) OVER w AND close > m, false) OR coalesce(lag(close) OVER w >= lag(m) OVER w AND close < m, false)", _pair, source="d", exact=("value",))
 add("barssince", lambda b: ta.barssince(P.C > 50).cast("int"), "CAST(bar_index - max(CASE WHEN close > 50 THEN bar_index END) OVER c AS INTEGER)", exact=("value",))
-add("valuewhen", lambda b: {"value": ta.valuewhen(P.C > 50, P.O), "second": ta.valuewhen(P.C > 50, P.O, 1)}, {"value": "x[-1]", "second": "x[-2]"}, ", d AS MATERIALIZED (SELECT *, list(open) FILTER (close > 50) OVER c AS x FROM b " + windows() + ")", source="d")
+add("valuewhen", lambda b: b.withColumns({"_h": ta.hit(P.C > 50, P.O), "_h1": ta.hit(P.C > 50, P.O, 1)}).withColumns({"value": ta.valuewhen(F.col("_h")), "second": ta.valuewhen(F.col("_h1"))}), {"value": "x[-1]", "second": "x[-2]"}, ", d AS MATERIALIZED (SELECT *, list(open) FILTER (close > 50) OVER c AS x FROM b " + windows() + ")", source="d")
 add("tr", lambda b: {"value": ta.tr(), "strict": ta.tr(False)}, {"value": TR, "strict": f"CASE WHEN lag(close) OVER w IS NOT NULL THEN {TR} END"})
 # bands and oscillators
 add("bb", lambda b: b.withColumn("_b", ta.bb(P.C, N, 2.0)).select("*", "_b.*"), {"middle": full("close", "avg(close) OVER f"), "upper": full("close", "avg(close) OVER f + 2 * stddev_pop(close) OVER f"), "lower": full("close", "avg(close) OVER f - 2 * stddev_pop(close) OVER f")})
@@ -195,8 +195,28 @@ _dm += ", j1 AS MATERIALIZED (SELECT *, 100 * p1 / t1 AS plus, 100 * q1 / t1 AS
 rec("dmi", R.Step(("plus", "minus", "adx"), R.dmi, ("high", "low", "close"), (N, N)), sql={"plus": "plus", "minus": "minus", "adx": "a1"}, pre=_dm + smooth("ka", "j1", "dx", N, N, 1 / N) + joined("j", "j1", a1="ka"))
 _ts = ", d AS MATERIALIZED (SELECT *, close - lag(close) OVER w AS p, abs(close - lag(close) OVER w) AS q FROM b " + windows() + ")" + smooth("k1", "d", "p", 1, 25, 2 / 26) + smooth("k2", "d", "q", 1, 25, 2 / 26) + joined("j0", "d", p1="k1", q1="k2")
 rec("tsi", R.Step(("value",), R.tsi, ("close",), (13, 25)), sql="CASE WHEN q2 = 0 THEN 0 ELSE p2 / q2 END", pre=_ts + smooth("k3", "j0", "p1", 25, 13, 2 / 14) + smooth("k4", "j0", "q1", 25, 13, 2 / 14) + joined("j", "j0", p2="k3", q2="k4"))
-rec("supertrend", R.Step(("line", "direction"), R.supertrend, ("high", "low", "close"), (3.0, 10)))
-rec("sar", R.Step(("value",), R.sar, ("high", "low", "close"), (0.02, 0.02, 0.2)))
+_trend = _src + smooth("k", "d", "tr", 0, 10, 0.1) + joined("j0", "d", w="k") + """, j1 AS MATERIALIZED (SELECT *, (high + low) / 2 + 3 * w AS nu, (high + low) / 2 - 3 * w AS nd FROM j0), t AS (
+  SELECT symbol, CAST(bar_index AS BIGINT) AS bar_index, nu AS up, nd AS down, nu AS line, CAST(1 AS DOUBLE) AS direction, close AS p FROM j1 WHERE bar_index = 9
+  UNION ALL SELECT symbol, bar_index, up, down, CASE WHEN direction < 0 THEN down ELSE up END, direction, p FROM (
+    SELECT *, CAST(CASE WHEN above THEN CASE WHEN p > up THEN -1 ELSE 1 END WHEN p < down THEN 1 ELSE -1 END AS DOUBLE) AS direction FROM (
+      SELECT j1.symbol, CAST(j1.bar_index AS BIGINT) AS bar_index, CASE WHEN nu < t.up OR t.p > t.up THEN nu ELSE t.up END AS up, CASE WHEN nd > t.down OR t.p < t.down THEN nd ELSE t.down END AS down, t.line = t.up AS above, j1.close AS p
+      FROM t JOIN j1 ON j1.symbol = t.symbol AND j1.bar_index = t.bar_index + 1)))
+, j AS MATERIALIZED (SELECT b.symbol, b.bar_index, line, direction FROM b LEFT JOIN t ON t.symbol = b.symbol AND t.bar_index = b.bar_index)"""
+rec("supertrend", R.Step(("line", "direction"), R.supertrend, ("high", "low", "close"), (3.0, 10)), sql={"line": "line", "direction": "direction"}, pre=_trend)
+_turns = """, t AS (
+  SELECT symbol, CAST(bar_index AS BIGINT) AS bar_index, high, low, close, CAST(NULL AS DOUBLE) AS h1, CAST(NULL AS DOUBLE) AS l1, CAST(NULL AS BOOLEAN) AS rising, CAST(NULL AS DOUBLE) AS best, CAST(0.02 AS DOUBLE) AS speed, CAST(NULL AS DOUBLE) AS s FROM b WHERE bar_index = 0
+  UNION ALL SELECT symbol, bar_index, high, low, close, h1, l1, rising,
+    CASE WHEN further THEN CASE WHEN rising THEN high ELSE low END ELSE best END, CASE WHEN further THEN least(speed + 0.02, 0.2) ELSE speed END,
+    CASE WHEN rising THEN least(s, l1, l2) ELSE greatest(s, h1, h2) END
+  FROM (SELECT *, NOT fresh AND CASE WHEN rising THEN high > best ELSE low < best END AS further FROM (
+    SELECT symbol, bar_index, high, low, close, h1, l1, h2, l2, rising <> turns AS rising, begins OR turns AS fresh, CASE WHEN turns THEN CASE WHEN rising THEN low ELSE high END ELSE best END AS best,
+      CASE WHEN turns THEN 0.02 ELSE speed END AS speed, CASE WHEN turns THEN CASE WHEN rising THEN greatest(high, best) ELSE least(low, best) END ELSE s END AS s
+    FROM (SELECT *, CASE WHEN rising THEN s > low ELSE s < high END AS turns FROM (SELECT * REPLACE (s + speed * (best - s) AS s) FROM (
+      SELECT b.symbol, CAST(b.bar_index AS BIGINT) AS bar_index, b.high, b.low, b.close, t.high AS h1, t.low AS l1, t.h1 AS h2, t.l1 AS l2, t.bar_index = 0 AS begins, coalesce(t.rising, b.close > t.close) AS rising,
+        coalesce(t.best, CASE WHEN b.close > t.close THEN b.high ELSE b.low END) AS best, t.speed, coalesce(t.s, CASE WHEN b.close > t.close THEN t.low ELSE t.high END) AS s
+      FROM t JOIN b ON b.symbol = t.symbol AND b.bar_index = t.bar_index + 1))))))
+, j AS MATERIALIZED (SELECT b.symbol, b.bar_index, t.s FROM b LEFT JOIN t ON t.symbol = b.symbol AND t.bar_index = b.bar_index)"""
+rec("sar", R.Step(("value",), R.sar, ("high", "low", "close"), (0.02, 0.02, 0.2)), sql="s", pre=_turns)
 
 
 # the same where values are missing: each seventh bar has none

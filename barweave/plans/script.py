@@ -138,7 +138,7 @@ CALLS: dict[str, tuple[str, Any]] = {
     **{k: ("s:source n:length", getattr(ta, k)) for k in ("sma", "wma", "stdev", "variance", "dev", "median", "mode", "highest", "lowest", "highestbars", "lowestbars", "roc", "cci", "cog", "percentrank")},
     "range": ("s:source n:length", ta.range_), "change": ("s:source n:length=1", ta.change), "mom": ("s:source n:length", ta.mom), "swma": ("s:source", ta.swma), "cum": ("s:source", ta.cum), "max": ("s:source", ta.max_), "min": ("s:source", ta.min_),
     "vwma": ("s:source n:length", lambda x, n: ta.vwma(x, n, P("volume"))), "alma": ("s:source n:length n:offset=0.85 n:sigma=6", ta.alma), "linreg": ("s:source n:length n:offset=0", ta.linreg), "bbw": ("s:source n:length n:mult", ta.bbw), "correlation": ("s:source1 s:source2 n:length", ta.correlation),
-    "stoch": ("s:source s:high s:low n:length", ta.stoch), "wpr": ("n:length", ta.wpr), "cross": ("s:source1 s:source2", ta.cross), "crossover": ("s:source1 s:source2", ta.crossover), "crossunder": ("s:source1 s:source2", ta.crossunder), "barssince": ("s:condition", ta.barssince), "valuewhen": ("s:condition s:source n:occurrence=0", ta.valuewhen),
+    "stoch": ("s:source s:high s:low n:length", ta.stoch), "wpr": ("n:length", ta.wpr), "cross": ("s:source1 s:source2", ta.cross), "crossover": ("s:source1 s:source2", ta.crossover), "crossunder": ("s:source1 s:source2", ta.crossunder), "barssince": ("s:condition", ta.barssince), "valuewhen": ("s:condition s:source n:occurrence=0", ta.hit, lambda y, c, x, n: ta.valuewhen(y)),
     "tr": ("n:handle_na=1", lambda h: ta.tr(bool(h))), "vwap": ("s:source", lambda x: ta.vwap(x, P("volume"))), "pivothigh": ("s:source n:leftbars n:rightbars", ta.pivothigh), "pivotlow": ("s:source n:leftbars n:rightbars", ta.pivotlow), "percentile_linear_interpolation": ("s:source n:length n:percentage", ta.percentile_linear_interpolation), "percentile_nearest_rank": ("s:source n:length n:percentage", ta.percentile_nearest_rank),
 }
 #: Calls in two steps: a column first, then one over it.
