@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import recursive as R
-from ..operators import ta
+from ..operators import scan, ta
 from .bars import event_bars, sql_bars
 
 N = 14
@@ -174,27 +174,27 @@ add("pivotlow", lambda b: ta.pivotlow(P.L, 2, 2), f"CASE WHEN {_five} AND lag(lo
 
 
 # recursive
-def rec(name: str, *steps: R.Step, sql=None, pre: str = "", source: str = "j") -> None:
-    add(name, lambda b: R.fold(b, *steps), sql, pre, source=source)
+def rec(name: str, make, sql=None, pre: str = "", source: str = "j") -> None:
+    add(name, make, sql, pre, source=source)
 
 
 _src = step(TR, "tr")
-rec("ema", R.Step(("value",), R.ema, ("close",), (N,)), sql="e", pre=smooth("k", "b", "close", 0, N, 2 / (N + 1)) + joined("j", "b", e="k"))
-rec("rma", R.Step(("value",), R.rma, ("close",), (N,)), sql="e", pre=smooth("k", "b", "close", 0, N, 1 / N) + joined("j", "b", e="k"))
-rec("atr", R.Step(("value",), R.atr, ("high", "low", "close"), (N,)), sql="e", pre=_src + smooth("k", "d", "tr", 0, N, 1 / N) + joined("j", "d", e="k"))
+rec("ema", lambda b: scan.ema(b, "value", P.C, N), sql="e", pre=smooth("k", "b", "close", 0, N, 2 / (N + 1)) + joined("j", "b", e="k"))
+rec("rma", lambda b: scan.rma(b, "value", P.C, N), sql="e", pre=smooth("k", "b", "close", 0, N, 1 / N) + joined("j", "b", e="k"))
+rec("atr", lambda b: scan.atr(b, "value", N), sql="e", pre=_src + smooth("k", "d", "tr", 0, N, 1 / N) + joined("j", "d", e="k"))
 _gl = ", d AS MATERIALIZED (SELECT *, greatest(close - lag(close) OVER w, 0) AS g, greatest(lag(close) OVER w - close, 0) AS l FROM b " + windows() + ")"
-rec("rsi", R.Step(("value",), R.rsi, ("close",), (N,)), sql="CASE WHEN l1 = 0 THEN 100 ELSE 100 - 100 / (1 + g1 / l1) END", pre=_gl + smooth("kg", "d", "g", 1, N, 1 / N) + smooth("kl", "d", "l", 1, N, 1 / N) + joined("j", "d", g1="kg", l1="kl"))
+rec("rsi", lambda b: scan.rsi(b, "value", P.C, N), sql="CASE WHEN l1 = 0 THEN 100 ELSE 100 - 100 / (1 + g1 / l1) END", pre=_gl + smooth("kg", "d", "g", 1, N, 1 / N) + smooth("kl", "d", "l", 1, N, 1 / N) + joined("j", "d", g1="kg", l1="kl"))
 _two = smooth("kf", "b", "close", 0, 12, 2 / 13) + smooth("ks", "b", "close", 0, 26, 2 / 27) + joined("j0", "b", f1="kf", s1="ks") + ", j1 AS MATERIALIZED (SELECT *, f1 - s1 AS m FROM j0)"
-rec("macd", R.Step(("macd", "signal", "hist"), R.macd, ("close",), (12, 26, 9)), sql={"macd": "m", "signal": "sg", "hist": "m - sg"}, pre=_two + smooth("kq", "j1", "m", 25, 9, 0.2) + joined("j", "j1", sg="kq"))
+rec("macd", lambda b: scan.macd(b, ("macd", "signal", "hist"), P.C, 12, 26, 9), sql={"macd": "m", "signal": "sg", "hist": "m - sg"}, pre=_two + smooth("kq", "j1", "m", 25, 9, 0.2) + joined("j", "j1", sg="kq"))
 _kc = _src + smooth("km", "d", "close", 0, N, 2 / (N + 1)) + smooth("kr", "d", "tr", 1, N, 2 / (N + 1)) + joined("j", "d", m="km", r="kr")
-rec("kc", R.Step(("basis", "upper", "lower"), R.kc, ("close", "high", "low", "close"), (N, 2.0)), sql={"basis": "m", "upper": "m + 2 * r", "lower": "m - 2 * r"}, pre=_kc)
-rec("kcw", R.Step(("value",), R.kcw, ("close", "high", "low", "close"), (N, 2.0)), sql="4 * r / m", pre=_kc)
+rec("kc", lambda b: scan.kc(b, ("basis", "upper", "lower"), P.C, N, 2.0), sql={"basis": "m", "upper": "m + 2 * r", "lower": "m - 2 * r"}, pre=_kc)
+rec("kcw", lambda b: scan.kcw(b, "value", P.C, N, 2.0), sql="4 * r / m", pre=_kc)
 _dm = ", d AS MATERIALIZED (SELECT *, " + TR + " AS tr, CASE WHEN high - lag(high) OVER w > greatest(lag(low) OVER w - low, 0) THEN high - lag(high) OVER w ELSE 0 END AS p, CASE WHEN lag(low) OVER w - low > greatest(high - lag(high) OVER w, 0) THEN lag(low) OVER w - low ELSE 0 END AS q FROM b " + windows() + ")"
 _dm += smooth("kt", "d", "tr", 1, N, 1 / N) + smooth("kp", "d", "p", 1, N, 1 / N) + smooth("kq", "d", "q", 1, N, 1 / N) + joined("j0", "d", t1="kt", p1="kp", q1="kq")
 _dm += ", j1 AS MATERIALIZED (SELECT *, 100 * p1 / t1 AS plus, 100 * q1 / t1 AS minus, CASE WHEN p1 + q1 = 0 THEN 0 ELSE 100 * abs(p1 - q1) / (p1 + q1) END AS dx FROM j0)"
-rec("dmi", R.Step(("plus", "minus", "adx"), R.dmi, ("high", "low", "close"), (N, N)), sql={"plus": "plus", "minus": "minus", "adx": "a1"}, pre=_dm + smooth("ka", "j1", "dx", N, N, 1 / N) + joined("j", "j1", a1="ka"))
+rec("dmi", lambda b: scan.dmi(b, ("plus", "minus", "adx"), N, N), sql={"plus": "plus", "minus": "minus", "adx": "a1"}, pre=_dm + smooth("ka", "j1", "dx", N, N, 1 / N) + joined("j", "j1", a1="ka"))
 _ts = ", d AS MATERIALIZED (SELECT *, close - lag(close) OVER w AS p, abs(close - lag(close) OVER w) AS q FROM b " + windows() + ")" + smooth("k1", "d", "p", 1, 25, 2 / 26) + smooth("k2", "d", "q", 1, 25, 2 / 26) + joined("j0", "d", p1="k1", q1="k2")
-rec("tsi", R.Step(("value",), R.tsi, ("close",), (13, 25)), sql="CASE WHEN q2 = 0 THEN 0 ELSE p2 / q2 END", pre=_ts + smooth("k3", "j0", "p1", 25, 13, 2 / 14) + smooth("k4", "j0", "q1", 25, 13, 2 / 14) + joined("j", "j0", p2="k3", q2="k4"))
+rec("tsi", lambda b: scan.tsi(b, "value", P.C, 13, 25), sql="CASE WHEN q2 = 0 THEN 0 ELSE p2 / q2 END", pre=_ts + smooth("k3", "j0", "p1", 25, 13, 2 / 14) + smooth("k4", "j0", "q1", 25, 13, 2 / 14) + joined("j", "j0", p2="k3", q2="k4"))
 _trend = _src + smooth("k", "d", "tr", 0, 10, 0.1) + joined("j0", "d", w="k") + """, j1 AS MATERIALIZED (SELECT *, (high + low) / 2 + 3 * w AS nu, (high + low) / 2 - 3 * w AS nd FROM j0), t AS (
   SELECT symbol, CAST(bar_index AS BIGINT) AS bar_index, nu AS up, nd AS down, nu AS line, CAST(1 AS DOUBLE) AS direction, close AS p FROM j1 WHERE bar_index = 9
   UNION ALL SELECT symbol, bar_index, up, down, CASE WHEN direction < 0 THEN down ELSE up END, direction, p FROM (
@@ -202,7 +202,7 @@ _trend = _src + smooth("k", "d", "tr", 0, 10, 0.1) + joined("j0", "d", w="k") +
       SELECT j1.symbol, CAST(j1.bar_index AS BIGINT) AS bar_index, CASE WHEN nu < t.up OR t.p > t.up THEN nu ELSE t.up END AS up, CASE WHEN nd > t.down OR t.p < t.down THEN nd ELSE t.down END AS down, t.line = t.up AS above, j1.close AS p
       FROM t JOIN j1 ON j1.symbol = t.symbol AND j1.bar_index = t.bar_index + 1)))
 , j AS MATERIALIZED (SELECT b.symbol, b.bar_index, line, direction FROM b LEFT JOIN t ON t.symbol = b.symbol AND t.bar_index = b.bar_index)"""
-rec("supertrend", R.Step(("line", "direction"), R.supertrend, ("high", "low", "close"), (3.0, 10)), sql={"line": "line", "direction": "direction"}, pre=_trend)
+rec("supertrend", lambda b: R.fold(b, R.Step(("line", "direction"), R.supertrend, ("high", "low", "close"), (3.0, 10))), sql={"line": "line", "direction": "direction"}, pre=_trend)
 _turns = """, t AS (
   SELECT symbol, CAST(bar_index AS BIGINT) AS bar_index, high, low, close, CAST(NULL AS DOUBLE) AS h1, CAST(NULL AS DOUBLE) AS l1, CAST(NULL AS BOOLEAN) AS rising, CAST(NULL AS DOUBLE) AS best, CAST(0.02 AS DOUBLE) AS speed, CAST(NULL AS DOUBLE) AS s FROM b WHERE bar_index = 0
   UNION ALL SELECT symbol, bar_index, high, low, close, h1, l1, rising,
@@ -216,7 +216,7 @@ _turns = """, t AS (
         coalesce(t.best, CASE WHEN b.close > t.close THEN b.high ELSE b.low END) AS best, t.speed, coalesce(t.s, CASE WHEN b.close > t.close THEN t.low ELSE t.high END) AS s
       FROM t JOIN b ON b.symbol = t.symbol AND b.bar_index = t.bar_index + 1))))))
 , j AS MATERIALIZED (SELECT b.symbol, b.bar_index, t.s FROM b LEFT JOIN t ON t.symbol = b.symbol AND t.bar_index = b.bar_index)"""
-rec("sar", R.Step(("value",), R.sar, ("high", "low", "close"), (0.02, 0.02, 0.2)), sql="s", pre=_turns)
+rec("sar", lambda b: R.fold(b, R.Step(("value",), R.sar, ("high", "low", "close"), (0.02, 0.02, 0.2))), sql="s", pre=_turns)
 
 
 # the same where values are missing: each seventh bar has none
