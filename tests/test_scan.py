@@ -74,6 +74,9 @@ def test_operators(bars, series, chunk):
     held(scan.kcw(bars, "v", close(), 4, 2.0, chunk=chunk), series, ["v"], R.kcw, 4, 2.0, columns=(2, 0, 1, 2))
     held(scan.dmi(bars, ("p", "m", "a"), 4, 3, chunk), series, ["p", "m", "a"], R.dmi, 4, 3, columns=(0, 1, 2))
     held(scan.tsi(bars, "v", close(), 3, 6, chunk), series, ["v"], R.tsi, 3, 6)
+    held(scan.atr(bars, "v", 1, chunk=chunk), series, ["v"], R.atr, 1, columns=(0, 1, 2))
+    held(scan.rsi(bars, "v", close(), 1, chunk), series, ["v"], R.rsi, 1)
+    held(scan.kc(bars, ("m", "u", "l"), close(), 1, 2.0, chunk=chunk), series, ["m", "u", "l"], R.kc, 1, 2.0, columns=(2, 0, 1, 2))
 
 
 def test_previous_values(bars, series):
@@ -109,7 +112,7 @@ def test_a_symbol_runs_in_many_tasks(spark):
 def test_bars_without_symbol_and_bad_weights(spark):
     df = spark.createDataFrame([(None, i, 1.0) for i in range(9)], "symbol string, bar_index int, close double")
     assert [r.e for r in scan.ema(df, "e", close(), 3).orderBy("bar_index").collect()] == [None, None, *[1.0] * 7]
-    for v in (scan.Average("x", close(), 0, 0.5), scan.Average("x", close(), 3, 0.0), scan.Average("x", close(), 3, 1.5), scan.Average("x", close(), 3, 0.99)):
+    for v in (scan.Average("x", close(), 0, 0.5), scan.Average("x", close(), 3, 0.0), scan.Average("x", close(), 3, 1.5), scan.Average("x", close(), 3, 1.0), scan.Average("x", lambda b, p: b, 3, 0.1), scan.Average("x", close(), 3, 0.99)):
         with pytest.raises(ValueError, match="x"):
             scan.smooth(df, v)
     assert scan.ema(df.limit(0), "e", close(), 3).count() == 0
