@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,15 @@ def lag(x: Column, n: int = 1) -> Column:
     return F.lag(x, n).over(bars_in_order()) if n else x
 
 
+def history(bars: DataFrame, name: str, x: Column, n: Column) -> DataFrame:
+    """bars with x as it was n bars before, n a series: an equality join of a bar's number less n with the number of the bar it
+    names, so no frame grows with the history. na where n is na, below 0 or before the first bar."""
+    key = F.when(n >= 0, F.col("bar_index") - n).cast("long")
+    then = bars.select(F.col("symbol").alias("_of"), F.col("bar_index").cast("long").alias("_at"), x.alias(name))
+    rows = bars.withColumn("_then", key)
+    return rows.join(then, (F.col("symbol") == F.col("_of")) & (F.col("_then") == F.col("_at")), "left").select(*bars.columns, name)
+
+
 def _full(x: Column, n: int, value: Column) -> Column:
     """value where the last n bars all have x."""
     return F.when(F.count(x).over(frame(n)) == n, value)
