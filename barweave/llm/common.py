@@ -156,14 +156,14 @@ def parts(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each maximal run of bytes that are not blank, by default not ASCII white space: 64-bit hash, first byte, end, and row.
+def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each maximal run of bytes other than ASCII white space: 64-bit hash, first byte, end, and row.
 
     off[0] must be 0 and off[-1] the number of bytes.
     """
     if not len(data):
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    space = blank[data]
+    space = SPACE[data]
     begins = np.zeros(len(data), bool)
     begins[off[:-1][off[:-1] < len(data)]] = True  # a row is a border too
     start = np.empty(len(data), bool)
@@ -179,10 +179,10 @@ def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True, blank: np
     x = (LOWER[data[s[0] :]] if lower else data[s[0] :]).astype(U64)
     x += U64(1)
     x *= _powers(int(run.max()))[inside]
-    gap = space[s[0] :]
-    x[gap] = 0
+    blank = space[s[0] :]
+    x[blank] = 0
     h = np.add.reduceat(x, s - s[0])
-    n = np.add.reduceat((~gap).astype(np.int64), s - s[0])
+    n = np.add.reduceat((~blank).astype(np.int64), s - s[0])
     row = np.searchsorted(off, s, "right") - 1
     return mix(h + n.astype(U64)), s, s + n, row
 

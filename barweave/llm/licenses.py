@@ -74,8 +74,10 @@ MOST_WORDS = 1 << 20
 AT_ONCE = 4 << 20  # bytes of texts
 PAIRS = 1 << 21  # notice words of blocks that are counted together
 
-BREAK = np.ones(256, bool)
-BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: Bytes as they are in words, all others as a space.
+BREAK = np.full(256, 32, np.uint8)
+for part in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    BREAK[slice(*part)] = range(*part)
 
 FOUND = "n_words long, phrases array<struct<label:string,start:long>>, blocks array<struct<label:string,share:double,start:long,end:long>>"
 
@@ -96,7 +98,7 @@ def needed(n: int) -> int:
 
 def _hashes(tokens: Sequence[str]) -> np.ndarray:
     raw = [t.encode() for t in tokens]
-    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), blank=BREAK)[0] if raw else np.zeros(0, U64)
+    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))[0] if raw else np.zeros(0, U64)
 
 
 class Index:
@@ -177,7 +179,7 @@ class Index:
 
     def scan(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[tuple], list[tuple]]:
         """Word counts of texts, phrases as (row, label, start), blocks as (row, label, share, start, end)."""
-        h, _, _, row = word_hashes(data, off, blank=BREAK)
+        h, _, _, row = word_hashes(BREAK[data], off)
         n = np.bincount(row, minlength=len(off) - 1)
         first = np.cumsum(n) - n
         phrases = []
@@ -209,7 +211,7 @@ def counts(docs: DataFrame, index: Index) -> np.ndarray:
         for batch in batches:
             data, off = utf8(batch["text"])
             for a, b in parts(off, AT_ONCE):
-                _, at = index.hits(word_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], blank=BREAK)[0])
+                _, at = index.hits(word_hashes(BREAK[data[off[a] : off[b]]], off[a : b + 1] - off[a])[0])
                 total += np.bincount(index.word[at], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
