@@ -1,4 +1,7 @@
-"""Matrices as arrays of rows. Element-wise work stays in the JVM; inverses and the like go to numpy by Arrow batches."""
+"""Matrices as arrays of rows, in Columns: elimination with pivots folds over a matrix's columns within its row of data.
+
+Only pinv, whose steps nest deeper than Spark's analyser goes by default, and eigenvectors go to numpy, by Arrow batches. What an operator is not defined for, a matrix that is not square or whose rows
+differ in length, or that holds na, is na; a singular one has the determinant 0 and no inverse."""
 
 from __future__ import annotations
 
@@ -230,12 +233,59 @@ def _each_of(of: Callable[[np.ndarray], object], stack: np.ndarray):
         return [*_each_of(of, stack[:half]), *_each_of(of, stack[half:])] if half else [None]
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _at(m: Column, i: Column, j: Column) -> Column:
+    return F.element_at(F.element_at(m, i), j)
+
+
+def _whole(m: Column) -> Column:
+    """Rows of one length without na."""
+    return F.forall(m, lambda r: (F.size(r) == columns(m)) & F.forall(r, lambda x: x.isNotNull() & ~F.isnan(x)))
+
+
+def _eliminated(m: Column, n: Column) -> Column:
+    """Struct of a, m after Gauss and Jordan's elimination of its first n columns with the largest pivot of each, and det, 0 where a pivot is missing."""
+
+    def step(s: Column, k: Column) -> Column:
+        a = s["a"]
+        best = F.array_max(F.transform(F.sequence(k, n), lambda i: F.struct(F.abs(_at(a, i, k)).alias("size"), (-i).alias("i"))))
+
+        def by_pivot(b: Column) -> Column:
+            p = -b["i"]
+            pivot = _at(a, p, k)
+
+            def by_row(row: Column) -> Column:
+                def new(r: Column, i: Column) -> Column:
+                    old = F.when(i + 1 == p, F.element_at(a, k)).otherwise(r)
+                    return F.when(i + 1 == k, row).otherwise(_let(old, lambda o: F.zip_with(o, row, lambda x, y: x - F.element_at(o, k) * y)))
+
+                turned = F.struct(F.transform(a, new).alias("a"), (s["det"] * pivot * F.when(p == k, 1.0).otherwise(-1.0)).alias("det"))
+                return F.when((b["size"] > 0) & (s["det"] != 0), turned).otherwise(F.struct(a.alias("a"), F.lit(0.0).alias("det")))
+
+            return _let(F.transform(F.element_at(a, p), lambda x: F.try_divide(x, pivot)), by_row)
+
+        return _let(best, by_pivot)
+
+    return F.aggregate(F.sequence(F.lit(1), n), F.struct(m.alias("a"), F.lit(1.0).alias("det")), step)
+
+
 def det(m: Column) -> Column:
-    return _numpy("double", np.linalg.det)(m)
+    return F.when((rows(m) > 0) & (rows(m) == columns(m)) & _whole(m), _eliminated(m, rows(m))["det"])
+
+
+def _inverse(m: Column) -> Column:
+    """Of a square matrix without na: what elimination makes of the identity beside it."""
+    n = rows(m)
+    beside = F.transform(m, lambda r, i: F.concat(r, F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.when(i == j, 1.0).otherwise(0.0))))
+    return _let(_eliminated(beside, n), lambda s: F.when(s["det"] != 0, F.transform(s["a"], lambda r: F.slice(r, n + 1, n))))
 
 
 def inv(m: Column) -> Column:
-    return _numpy(KIND, np.linalg.inv)(m)
+    return F.when((rows(m) > 0) & (rows(m) == columns(m)) & _whole(m), _inverse(m))
 
 
 def pinv(m: Column) -> Column:
@@ -249,11 +299,40 @@ def pinv(m: Column) -> Column:
 
 
 def rank(m: Column) -> Column:
-    return _numpy("int", lambda x: np.linalg.matrix_rank(x, TOLERANCE))(m)
+    """How many pivots over the tolerance elimination finds, column by column."""
+
+    def step(s: Column, k: Column) -> Column:
+        a, top = s["a"], s["rank"] + 1
+        best = F.array_max(F.transform(F.sequence(top, rows(a)), lambda i: F.struct(F.abs(_at(a, i, k)).alias("size"), (-i).alias("i"))))
+
+        def by_pivot(b: Column) -> Column:
+            p = -b["i"]
+
+            def new(r: Column, i: Column) -> Column:
+                old = F.when(i + 1 == p, F.element_at(a, top)).otherwise(r)
+                low = _let(old, lambda o: F.zip_with(o, F.element_at(a, p), lambda x, y: x - F.try_divide(F.element_at(o, k), _at(a, p, k)) * y))
+                return F.when(i + 1 < top, r).when(i + 1 == top, F.element_at(a, p)).otherwise(low)
+
+            return F.when(b["size"] > TOLERANCE, F.struct(F.transform(a, new).alias("a"), top.alias("rank"))).otherwise(s)
+
+        return F.when(top > rows(a), s).otherwise(_let(best, by_pivot))
+
+    found = F.aggregate(F.sequence(F.lit(1), columns(m)), F.struct(m.alias("a"), F.lit(0).alias("rank")), step, lambda s: s["rank"])
+    return F.when((rows(m) > 0) & (columns(m) > 0) & _whole(m), found)
 
 
 def pow_(m: Column, power: int) -> Column:
-    return _numpy(KIND, lambda x: np.linalg.matrix_power(x, power))(m)
+    """By repeated squaring; powers below 0 are those of the inverse."""
+    if power < 0:
+        return pow_(inv(m), -power)
+    bits = F.array(*[F.lit(power >> k & 1) for k in range(max(1, power.bit_length()))])
+    one = F.transform(m, lambda r, i: F.transform(r, lambda _, j: F.when(i == j, 1.0).otherwise(0.0)))
+
+    def step(s: Column, bit: Column) -> Column:
+        return F.struct(F.when(bit == 1, mult(s["out"], s["square"])).otherwise(s["out"]).alias("out"), mult(s["square"], s["square"]).alias("square"))
+
+    made = F.aggregate(bits, F.struct(one.alias("out"), m.alias("square")), step, lambda s: s["out"])
+    return F.when((rows(m) > 0) & (rows(m) == columns(m)) & _whole(m), made)
 
 
 def eigenvalues(m: Column) -> Column:

@@ -77,6 +77,9 @@ class Exit:
     armed: bool = False
     peak: float = math.nan
     left: float | None = None  # of a partial exit, what it may still close of the lots it met
+    met: list[Lot] = field(default_factory=list)  # the lots there were when it was looked at last
+    called: int = -1  # the bar of the last call, and whether the bar before had one too
+    steady: bool = False
 
 
 class Broker:
@@ -92,10 +95,11 @@ class Broker:
         self.max_drawdown = self.max_drawdown_percent = self.max_runup = self.max_runup_percent = 0.0
         self.held = {"all": 0.0, "long": 0.0, "short": 0.0}
         #: Rules that stop new entries, each by its name: allow_entry_in, max_position_size, max_drawdown (money),
-        #: max_drawdown_percent, max_intraday_loss (money), max_cons_loss_days.
+        #: max_drawdown_percent (of the equity's peak), max_intraday_loss (money), max_intraday_loss_percent (of the initial
+        #: capital), max_cons_loss_days (days of closed trades that lost, without one between that did not).
         self.risk: dict = {}
         self.halted = False
-        self.day, self.day_net, self.before, self.loss_days = None, 0.0, 0.0, 0
+        self.day, self.day_profit, self.lost_before = None, 0.0, 0
         self.locked: Lot | None | bool = False
         self.late: tuple[float, float, object, int] | None = None
         self.index, self.bar = -1, {}
@@ -111,6 +115,11 @@ class Broker:
         q = sum(abs(x.size) for x in self.lots)
         return sum(abs(x.size) * x.price for x in self.lots) / q if q else math.nan
 
+    @property
+    def loss_days(self) -> int:
+        """How many of the last days on which trades closed lost, without one between that did not."""
+        return self.lost_before + 1 if self.day_profit < 0 else 0
+
     def open_profit(self, price: float) -> float:
         return sum((price - x.price) * x.size for x in self.lots) * self.config.pointvalue
 
@@ -174,13 +183,13 @@ class Broker:
         self.orders.append(Order(id, side, self.default_entry_qty(self.bar["close"]) if qty is None else qty, limit, stop, self.index))
 
     def exit(self, id: str, from_entry: str = "", **terms: float) -> None:
-        """Terms: limit, stop (prices), profit, loss (ticks), trail_price or trail_points with trail_offset (ticks), and qty or qty_percent of the position, all by default. Renewed each bar, it stays armed; what it has closed of a position counts until the position is gone."""
+        """Terms: limit, stop (prices), profit, loss (ticks), trail_price or trail_points with trail_offset (ticks), and qty or qty_percent of the position, all by default. Renewed each bar, it stays armed; what it has closed of a position counts until the position is gone. Of an exit that is not renewed each bar, a limit or stop on the wrong side of the entries' mean price is no level."""
         for x in self.exits:
             if (x.id, x.from_entry) == (id, from_entry):
-                x.terms = terms
+                x.terms, x.steady, x.called = terms, self.index - x.called <= 1, self.index
                 return
         if any(not from_entry or y.entry_id == from_entry for y in self.lots) or any(not from_entry or o.id == from_entry for o in self.orders):
-            self.exits.append(Exit(id, from_entry, self.index, terms))
+            self.exits.append(Exit(id, from_entry, self.index, terms, called=self.index))
 
     def close(self, id: str, immediately: bool = False, qty: float | None = None, qty_percent: float | None = None) -> None:
         """The lots of this entry as they are now, or so much of them, at the next open; its exits go."""
@@ -247,6 +256,9 @@ class Broker:
             self.trades.append(
                 {"entry_id": lot.entry_id, "entry_price": lot.price, "entry_bar_index": lot.bar, "entry_time": lot.time, "exit_id": exit_id, "exit_price": price, "exit_bar_index": self.index, "exit_time": self.bar["time"], "size": part * lot.side, "profit": profit, "commission": fee_in + fee_out, "max_drawdown": lot.worst * ratio, "max_runup": lot.best * ratio}
             )
+            if self.bar["time"].date() != self.day:
+                self.lost_before, self.day, self.day_profit = self.loss_days, self.bar["time"].date(), 0.0
+            self.day_profit += profit
             qty -= part
             if ratio >= 1 - TINY:
                 self.lots.remove(lot)
@@ -366,7 +378,13 @@ class Broker:
                 if not any(not x.from_entry or q.id == x.from_entry for q in self.orders):
                     self.exits.remove(x)
                 continue
+            if not any(y is z for y in lots for z in x.met):  # another position than the one it was armed and counted for
+                x.left, x.armed, x.peak = None, False, math.nan
+            x.met = lots
             side, t = lots[0].side, x.terms
+            if not x.steady:
+                mean = sum(abs(y.size) * y.price for y in lots) / sum(abs(y.size) for y in lots)
+                t = {k: v for k, v in t.items() if v is None or k not in ("limit", "stop") or (v - mean) * side * (1 if k == "limit" else -1) > 0}
             if x.left is None and (t.get("qty") is not None or t.get("qty_percent") is not None):
                 x.left = t["qty"] if t.get("qty") is not None else sum(abs(y.size) for y in lots) * t["qty_percent"] / 100
             if x.left is not None and x.left <= TINY:
@@ -443,16 +461,11 @@ class Broker:
             self.max_runup = up
             if real + best > 0:
                 self.max_runup_percent = max(self.max_runup_percent, 100 * up / (real + best))
-        day = bar["time"].date()
-        if day != self.day:  # a day that ends with less than it began with prolongs the streak
-            if self.day is not None and self.day_net != self.before:
-                self.loss_days = self.loss_days + 1 if self.day_net < self.before else 0
-            self.before, self.day = self.day_net if self.day is not None else 0.0, day
-        self.day_net = self.net
         r = self.risk
-        if "max_drawdown" in r and self.max_drawdown >= r["max_drawdown"] or "max_drawdown_percent" in r and self.max_drawdown_percent >= r["max_drawdown_percent"]:
+        if "max_drawdown" in r and self.max_drawdown >= r["max_drawdown"] or "max_drawdown_percent" in r and self.max_drawdown >= r["max_drawdown_percent"] / 100 * self.equity_peak:
             self.halted = True
-        if "max_intraday_loss" in r and self.gross_loss >= r["max_intraday_loss"] or "max_cons_loss_days" in r and self.loss_days >= r["max_cons_loss_days"]:
+        most = [r[k] * scale for k, scale in (("max_intraday_loss", 1), ("max_intraday_loss_percent", self.config.initial_capital / 100)) if k in r]
+        if most and self.gross_loss >= min(most) or "max_cons_loss_days" in r and self.loss_days >= r["max_cons_loss_days"]:
             self.halted = True
 
 

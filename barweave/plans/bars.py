@@ -24,8 +24,11 @@ def number(bars: DataFrame) -> DataFrame:
 
 
 def packed(*parts: tuple[Column, int]) -> Column:
-    """Whole numbers >= 0 of so many decimal digits as one that sorts like them, 38 digits at most: an aggregation buffer holds it in place."""
+    """Whole numbers >= 0 of so many decimal digits as one that sorts like them, 38 digits at most: an aggregation buffer holds it in place.
+
+    A number that is below 0 or has more digits is an error: it would spill into its neighbour and change the order."""
     assert sum(n for _, n in parts) <= 38
+    parts = tuple((F.when(x.cast("long").between(0, 10**n - 1 if n < 19 else 2**63 - 1) | x.isNull(), x).otherwise(F.raise_error(F.concat(F.lit(f"no order key of {n} digits: "), x.cast("string")))), n) for x, n in parts)
     longs: list[tuple[Column, int]] = []
     for x, n in parts:  # as many digits in a long as it holds, and the longs in a decimal
         x = x.cast("long")

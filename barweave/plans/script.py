@@ -325,7 +325,7 @@ class Plan:
             return
         e = Parser(text).whole()
         if e[0] != "call":
-            return
+            raise Unsupported(text)
         name, args, named = e[1], e[2], e[3]
         if name in ("indicator", "study"):
             return
@@ -335,6 +335,8 @@ class Plan:
             self.plots.append(label)
             return
         if name == "strategy":
+            for k in set(named) - set(Config.__dataclass_fields__) - {"title", "shorttitle", "overlay"}:
+                raise Unsupported(f"strategy({k})")
             known = {k: self.constant(v) for k, v in named.items() if k in Config.__dataclass_fields__}
             self.config = Config(**{k: v.removeprefix("commission.") if isinstance(v, str) else v for k, v in known.items()})
             return
@@ -347,6 +349,9 @@ class Plan:
         if name in ("strategy.entry", "strategy.order", "strategy.close", "strategy.close_all", "strategy.exit", "strategy.cancel", "strategy.cancel_all"):
             order = {"strategy.entry": "id direction qty limit stop", "strategy.order": "id direction qty limit stop", "strategy.exit": "id from_entry qty qty_percent profit limit loss stop trail_price trail_points trail_offset", "strategy.close": "id comment qty qty_percent"}.get(name, "id")
             both = dict(zip(order.split(), args, strict=False)) | named
+            taken = {*order.split(), "comment", *(("immediately",) if name in ("strategy.close", "strategy.close_all") else ())}
+            for k in set(both) - taken:
+                raise Unsupported(f"{name}({k})")
             values: dict[str, Any] = {}
             for k, v in both.items():
                 try:
@@ -402,14 +407,16 @@ def run_strategy(bars: DataFrame, text: str, inputs: dict[str, Any] | None = Non
             if condition is not None and not bar[condition]:
                 continue
             v = {k: bar[x[1]] if isinstance(x, tuple) else x for k, x in values.items()}
-            v = {k: x for k, x in v.items() if k in ("id", "from_entry", "direction") or isinstance(x, (int, float)) and k in ("qty", "qty_percent", "limit", "stop", "profit", "loss", "trail_price", "trail_points", "trail_offset")}
+            v = {k: x for k, x in v.items() if k in ("id", "from_entry", "direction") or isinstance(x, (int, float)) and k in ("immediately", "qty", "qty_percent", "limit", "stop", "profit", "loss", "trail_price", "trail_points", "trail_offset")}
             side = {"long": LONG, "short": SHORT}.get(v.pop("direction", None))
             if what in ("entry", "order"):
                 getattr(b, what)(v.pop("id"), side, **v)
             elif what == "exit":
                 b.exit(v.pop("id"), v.pop("from_entry", ""), **v)
             elif what == "close":
-                b.close(v["id"], qty=v.get("qty"), qty_percent=v.get("qty_percent"))
+                b.close(v["id"], bool(v.get("immediately", False)), v.get("qty"), v.get("qty_percent"))
+            elif what == "close_all":
+                b.close_all(bool(v.get("immediately", False)))
             elif what == "cancel":
                 b.cancel(v["id"])
             else:

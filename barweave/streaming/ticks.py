@@ -7,7 +7,6 @@ when the watermark passes its end; replaying ticks then closing bars gives the b
 
 from __future__ import annotations
 
-import copy
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,22 +59,3 @@ def smoothed(closed: DataFrame, n: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["symbol", "time", "close", "ema"])
 
     return closed.groupBy("symbol").applyInPandasWithState(run, "symbol string, time timestamp, close double, ema double", "seen int, total double, value double", "append", "NoTimeout")
-
-
-class Forming:
-    """A symbol's unfinished bar with the state committed before it: push() as often as ticks come, close() once."""
-
-    def __init__(self, n: int):
-        from ..operators.recursive import exponential
-
-        self.committed, self.bar = exponential(n), None
-
-    def push(self, price: float, volume: float = 0.0) -> tuple[dict, float]:
-        """The bar so far, and the average as if it closed now."""
-        b = self.bar or {"open": price, "high": price, "low": price, "close": price, "volume": 0.0}
-        self.bar = b | {"high": max(b["high"], price), "low": min(b["low"], price), "close": price, "volume": b["volume"] + volume}
-        return self.bar, copy.copy(self.committed).add(price)
-
-    def close(self) -> tuple[dict, float]:
-        bar, self.bar = self.bar, None
-        return bar, self.committed.add(bar["close"])

@@ -1,4 +1,4 @@
-"""Five strategies with known trades, and rules of the broker one at a time."""
+"""A run worked out by hand, and rules of the broker one at a time."""
 
 import datetime as dt
 
@@ -102,6 +102,61 @@ def test_risk_rules_stop_entries_and_leave_positions():
     assert 2 <= len(t) + len(still) <= 3
 
 
+def test_a_partial_exit_counts_anew_for_each_position():
+    """Half goes at 110 of the first position; closed and entered again on one bar, the second gives half at 112 too."""
+
+    def script(bar, b):
+        k = bar["bar_index"]
+        if k in (0, 2):
+            b.entry("L", LONG, 2)
+        if k == 2:
+            b.close("L")
+        b.exit("X", "L", qty=1.0, limit=110.0)
+
+    t, _, still = simulate(bars_of([(100, 101, 99, 100), (100, 101, 99, 100), (105, 111, 104, 106), (106, 112, 105, 107), (107, 108, 106, 107)]), script, Config(pyramiding=2))
+    assert [(x["exit_id"], x["exit_bar_index"], x["size"]) for x in t] == [("X", 2, 1), ("close_L", 3, 1), ("X", 3, 1)]
+    assert [x["size"] for x in still] == [1]
+
+
+def test_days_of_loss_are_those_of_closed_trades():
+    """Fees of entries are no losing days; a day that makes nothing less ends the streak."""
+
+    def enters(bar, b):
+        b.risk = {"max_cons_loss_days": 2}
+        b.entry(f"L{bar['bar_index']}", LONG)
+
+    _, _, still = simulate(bars_of([(100, 101, 99, 100)] * 6), enters, Config(commission_value=0.1, pyramiding=9))
+    assert len(still) == 5
+    b = Broker(Config())
+    for i, (bar, price) in enumerate(zip(bars_of([(100, 101, 99, 100)] * 5), (99, 99, 101, 99, 98), strict=True)):
+        b.step(i, bar)
+        b._open("L", LONG, 1, 100)
+        b._close(1, price, "out")
+        assert b.loss_days == (1, 2, 0, 1, 2)[i]
+
+
+def test_a_level_on_the_wrong_side_is_none_unless_renewed():
+    once, _ = run([(100, 101, 99, 100)] * 5, lambda bar, b: (b.entry("L", LONG), b.exit("X", "L", stop=130.0)) if bar["bar_index"] == 0 else None)
+    assert once == []
+
+    def renews(bar, b):
+        if bar["bar_index"] == 0:
+            b.entry("L", LONG)
+        b.exit("X", "L", stop=130.0)
+
+    t, _ = run([(100, 101, 99, 100)] * 5, renews)
+    assert [(x["exit_id"], x["exit_price"]) for x in t] == [("X", 100)]
+
+
+def test_losses_of_a_day_in_percent_of_the_capital():
+    def script(bar, b):
+        b.risk = {"max_intraday_loss_percent": 1.0}
+        b.close("L") if b.lots else b.entry("L", LONG)
+
+    t, _, still = simulate(bars_of([(100 - k, 101 - k, 98 - k, 99 - k) for k in range(12)]), script, Config(initial_capital=200))
+    assert len(t) == 2 and still == []  # each loses 1 of 200
+
+
 def run(rows, script, **config):
     return simulate(bars_of(rows), script, Config(**config))[:2]
 

@@ -1,5 +1,6 @@
 """Scripts give what the operators give, known strategies their trades, and what is not known a clear refusal."""
 
+import datetime as dt
 import math
 
 import pytest
@@ -83,3 +84,18 @@ def test_plots_equal_operators(spark):
 def test_refusals(spark, text, what):
     with pytest.raises(S.Unsupported, match=what):
         S.run(frame_of(spark, bars_of(UP_TWICE)), text)
+
+
+@pytest.mark.parametrize("line", ['strategy("x", nonsense=1)', 'strategy.entry("L", strategy.long, oca_name="a")', 'strategy.close("L", when=close > 1)', "close", 'strategy.cancel("L", comment="c", x=1)'])
+def test_nothing_is_dropped_silently(spark, line):
+    df = spark.createDataFrame([("a", 0, dt.datetime(2024, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0)], "symbol string, bar_index int, time timestamp_ntz, open double, high double, low double, close double, volume double")
+    with pytest.raises(S.Unsupported):
+        S.compile_script(df, line)
+
+
+def test_immediate_closes_fill_on_their_bar(spark):
+    rows = [("a", i, dt.datetime(2024, 1, 1 + i), o, o + 1, o - 1, o + 0.5, 1.0) for i, o in enumerate([10.0, 20.0, 30.0, 40.0])]
+    df = spark.createDataFrame(rows, "symbol string, bar_index int, time timestamp_ntz, open double, high double, low double, close double, volume double")
+    for how, price in (("", 40.0), (", immediately=true", 30.5)):
+        text = f'strategy("x")\nif (close < 15)\n    strategy.entry("L", strategy.long)\nif (close > 30)\n    strategy.close("L"{how})'
+        assert [(t.entry_price, t.exit_price) for t in S.run_strategy(df, text).collect()] == [(20.0, price)]
