@@ -13,7 +13,7 @@ explosion of nodes would give a row for each pair of turns of a long conversatio
 
 No group is collected: conversations stream through the chain sorted, nodes are counted before they are
 dealt out, copies of a conversation are numbered lists of at most ``IDS`` ids whose text streams through one
-hash, and the join of prefixes with nodes can be split where one beginning is hot, as either side has a row for a key once.
+hash, and beginnings that very many conversations share, which are few, meet their prefixes by broadcast.
 
 Defined results: rows without a conv_id belong to no conversation and are left out. Turns stand by turn,
 null first; equal ones by the hash of role and text, and each repeated row is a turn. Null roles and texts
@@ -33,6 +33,8 @@ from .common import arrow, read, staged, unstage
 
 #: So many neighbouring ids stand in one row while the ids of a node are put in order.
 IDS = 4096
+#: So many nodes at most are broadcast: those that have one of as many parts of all prefixes.
+HOT = 4096
 ROOT = hashlib.sha256(b"root").digest()
 NODES = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 
@@ -125,10 +127,13 @@ def trie(turns: DataFrame) -> DataFrame:
     if root.owner is None:
         return at.sparkSession.createDataFrame([], NODES)
     below = at.where("depth > 0")
-    node = below.groupBy("depth", "node").agg(F.min("conv_id").alias("owner"), F.count("*").alias("n_convs"))
+    node = staged(below.groupBy("depth", "node").agg(F.min("conv_id").alias("owner"), F.count("*").alias("n_convs")), "trie-groups")
+    # as all n_convs add up to the rows, no more than HOT nodes have a HOT-th of them; those go to every task, the others are dealt out
+    hot = F.col("n_convs") * HOT >= F.lit(below.count())
+    met = below.join(F.broadcast(node.where(hot)), ["depth", "node"], "left")
     columns = ("conv_id", "depth", "node", "chars", "last", "owner", "n_convs")
-    known = below.join(node, ["depth", "node"]).select(*columns)
-    known = known.unionAll(at.where("depth = 0").withColumns({"owner": F.lit(root.owner), "n_convs": F.lit(root.n)}).select(*columns))
+    known = met.where("owner is null").drop("owner", "n_convs").join(node.where(~hot), ["depth", "node"]).select(*columns)
+    known = known.unionAll(met.where("owner is not null").select(*columns)).unionAll(at.where("depth = 0").withColumns({"owner": F.lit(root.owner), "n_convs": F.lit(root.n)}).select(*columns))
     whole = Window.partitionBy("conv_id").orderBy("depth")
     path = known.withColumns({"up": F.lag("owner").over(whole), "down": F.lead("owner").over(whole), "owns": F.max(F.col("owner") == F.col("conv_id")).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     path = staged(path.where("owns").drop("owns"), "trie-paths")  # of conversations that are a node's smallest member
@@ -146,7 +151,7 @@ def trie(turns: DataFrame) -> DataFrame:
     none = F.lit(hashlib.sha256(b"").hexdigest())
     out = out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", F.col("all_leaf").alias("n_leaves"), F.col("all_saved").alias("saved_tokens"), F.coalesce("ends_sha256", none).alias("ends_sha256"))
     out = staged(out, "trie")
-    unstage(at, path, own)
+    unstage(at, node, path, own)
     return out
 
 

@@ -194,6 +194,7 @@ def in_order(rows):
 
 def test_trie_equals_all_prefixes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(trie, "IDS", 4)
+    monkeypatch.setattr(trie, "HOT", 9)
     rng = random.Random(2)
     rows = []
     for c in [*range(130), *range(199, 330, 2), 100, 1000, None, None]:
