@@ -1,7 +1,8 @@
 """Quality by supervised subword embeddings.
 
-A text is the bag of its words, of the 3- and 4-grams of code points in them (with their borders) and of one
-word pair, "the same word again", each hashed to a row of one table of vectors. Its vector is their average, and a softmax over two classes
+A text is the bag of its words, of all pairs of neighbouring words and of the 3- and 4-grams of code points in
+words (with their borders), each hashed to a row of one table of vectors; pairs of a word with itself share a row besides, as
+hashing tells nothing of a word that was never seen repeated. Its vector is their average, and a softmax over two classes
 stands on it; table and softmax are learnt together by stochastic gradient descent in numpy, on a
 bounded sample of labelled texts (``TrainSize``, in texts and bytes). Case and marks are kept: they tell junk from prose.
 
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, arrow, first_by_hash, id_crc, labels_of, parts, read, utf8, word_hashes
+from .common import SPACE, U64, arrow, first_by_hash, id_crc, labels_of, mix, parts, read, utf8, word_hashes
 
 BITS, WIDTH, GRAMS = 18, 12, (3, 4)
 CHUNK = 1 << 22
+PAIR = U64(0x9E3779B97F4A7C15)  # odd, so that a pair and its reverse differ
 
 
 @dataclass(frozen=True)
@@ -47,9 +49,10 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """(bucket, row) of every word and n-gram, in no order; off[0] is 0."""
     h, _, _, row = word_hashes(data, off, lower=False)
     bucket, rows = [(h >> U64(64 - BITS)).astype(np.int32)], [row.astype(np.int32)]
-    same = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))  # a word that is the one before it again
-    bucket.append(np.full(len(same), 0, np.int32))
-    rows.append(row[same].astype(np.int32))
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    again = pair[h[pair] == h[pair + 1]]  # a word that is the one before it: one more feature, whatever the word
+    bucket += [(mix(h[pair] * PAIR + h[pair + 1]) >> U64(64 - BITS)).astype(np.int32), np.full(len(again), 0, np.int32)]
+    rows += [row[pair].astype(np.int32), row[again].astype(np.int32)]
     # code points, one number each: the bytes that continue one are put to the byte that leads it
     lead = (data & 0xC0) != 0x80
     lead[off[:-1][np.diff(off) > 0]] = True  # no row continues the one before it

@@ -139,7 +139,7 @@ def test_quality_features_are_words_and_code_point_grams():
     seen = {}
     for r, t in enumerate(texts):
         words = t.split()
-        want = [("w", w) for w in words] + [("again",) for a, b in zip(words, words[1:], strict=False) if a == b]
+        want = [("w", w) for w in words] + [("pair", a, b) for a, b in zip(words, words[1:], strict=False)] + [("again",) for a, b in zip(words, words[1:], strict=False) if a == b]
         for w in words:
             w = f" {w} "
             want += [(k, w[i : i + k]) for k in quality.GRAMS for i in range(len(w) - k + 1) if k < len(w)]  # a whole word is one already
