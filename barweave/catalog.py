@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import ta
-from .plans import queries_core, queries_drawing, queries_fifo, queries_ranges, queries_strategy, queries_ta
+from .plans import queries_chart, queries_core, queries_drawing, queries_fifo, queries_ranges, queries_strategy, queries_ta
 from .plans.bars import event_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (queries_ta, queries_core, queries_drawing, queries_fifo, queries_ranges, queries_strategy)
+PARTS = (queries_ta, queries_core, queries_chart, queries_drawing, queries_fifo, queries_ranges, queries_strategy)
 
 
 def queries() -> dict[str, Query]:
