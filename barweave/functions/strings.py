@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .times import local
+
 lower, upper, trim, length = F.lower, F.upper, F.trim, F.length
 
 
@@ -82,8 +84,19 @@ def match(s: Column, pattern: str) -> Column:
     return F.when(s.rlike(pattern), F.regexp_extract(s, pattern, 0))
 
 
-def format_time(ts: Column, fmt: str = "yyyy-MM-dd'T'HH:mm:ss", zone: str = "UTC") -> Column:
-    return F.date_format(F.from_utc_timestamp(ts, zone), fmt)
+def format_time(ts: Column, fmt: str = "yyyy-MM-dd'T'HH:mm:ssZ", zone: str = "UTC") -> Column:
+    """ts, in UTC without a zone, on zone's clocks; Z is the zone's offset as +0530, text in quotes stands for itself. Times that the session's own
+    clocks pass over need a session in UTC."""
+    shown = local(ts, zone).cast("timestamp_ntz")
+    minutes = F.timestamp_diff("MINUTE", ts.cast("timestamp_ntz"), shown)
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(minutes) / 60).cast("string"), 2, "0"), F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"))
+    out: list[Column] = []
+    for quoted, z, letters in re.findall(r"('(?:[^']|'')*')|(Z+)|([^'Z]+)", fmt):
+        if z:
+            out.append(offset)
+        else:
+            out.append(F.lit(quoted[1:-1].replace("''", "'") or "'") if quoted else F.date_format(shown.cast("timestamp"), letters))
+    return F.when(ts.isNotNull(), F.concat(*out)) if out else F.lit("")
 
 
 def format_(pattern: str, *args: Column) -> Column:

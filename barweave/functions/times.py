@@ -41,8 +41,20 @@ def source_grain(wanted: str, supported: tuple[str, ...] = SUPPORTED) -> str | N
     return max(fit, key=in_seconds, default=None)
 
 
+def zone_id(zone: str) -> str:
+    """An IANA name as it is; UTC+5, GMT-03:30 as an offset."""
+    m = re.fullmatch(r"(?:UTC|GMT)([+-])(\d{1,2})(?::(\d{2}))?", zone.strip(), re.IGNORECASE)
+    return f"{m[1]}{int(m[2]):02d}:{m[3] or '00'}" if m else zone.strip()
+
+
 def local(ts: Column, zone: str = "UTC") -> Column:
-    return ts if zone == "UTC" else F.from_utc_timestamp(ts.cast("timestamp"), zone)
+    """What clocks in zone show at ts, a time in UTC without a zone; the session's zone takes no part."""
+    return ts if zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(zone_id(zone)), ts.cast("timestamp_ntz"))
+
+
+def from_local(ts: Column, zone: str = "UTC") -> Column:
+    """The time in UTC at which clocks in zone show ts; one that clocks pass over counts as an hour later."""
+    return ts if zone == "UTC" else F.convert_timezone(F.lit(zone_id(zone)), F.lit("UTC"), ts.cast("timestamp_ntz"))
 
 
 def parts(ts: Column, zone: str = "UTC") -> dict[str, Column]:
@@ -68,9 +80,35 @@ def change(ts: Column, timeframe: str) -> Column:
     return F.coalesce(b != F.lag(b).over(Window.partitionBy("symbol").orderBy("bar_index")), F.lit(False))
 
 
-def timestamp(year: int, month: int, day: int, hour: int = 0, minute: int = 0, second: int = 0, zone: str = "UTC") -> Column:
-    local_time = F.make_timestamp(*[F.lit(x) for x in (year, month, day, hour, minute, second)])
-    return F.to_utc_timestamp(local_time, zone)
+def timestamp(year: Column | int, month: Column | int, day: Column | int, hour: Column | int = 0, minute: Column | int = 0, second: Column | int = 0, zone: str = "UTC") -> Column:
+    """The time in UTC, without a zone, of a moment on zone's clocks; parts beyond their range roll over, na in any gives na."""
+    year, *rest = [x.cast("int") if isinstance(x, Column) else F.lit(x) for x in (year, month, day, hour, minute, second)]
+    t = F.try_make_timestamp_ntz(year, *[F.lit(x) for x in (1, 1, 0, 0, 0)])
+    for unit, x, first in zip(("MONTH", "DAY", "HOUR", "MINUTE", "SECOND"), rest, (1, 1, 0, 0, 0), strict=True):
+        t = F.timestamp_add(unit, x - first, t)
+    return from_local(t, zone)
+
+
+#: Months as mail dates name them, three letters each.
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+
+
+def timestamp_of(text: Column, zone: str = "UTC") -> Column:
+    """The time in UTC, without a zone, of 2024-01-31, 2024-01-31 10:00, 2024-01-31T10:00:00.5 or 31 Jan 2024 10:00:00 (a weekday before it is passed over); Z or an
+    offset at the end holds before zone. na for other texts."""
+    s, offset = F.trim(text), r"([+-])(\d{2}):?(\d{2})$"
+    timed = s.rlike(r":\d{2}(\.\d+)?\s*([Zz]|[+-]\d{2}:?\d{2})$")
+    bare = F.when(timed, F.regexp_replace(s, r"\s*([Zz]|[+-]\d{2}:?\d{2})$", "")).otherwise(s)
+    mail = r"^(?:[A-Za-z]{3},\s*)?(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})(?:\s+(\d{2}:\d{2}(?::\d{2})?))?$"
+    day, name, year, clock = (F.regexp_extract(bare, mail, k) for k in (1, 2, 3, 4))
+    at = F.instr(F.lit(MONTHS), F.initcap(name))
+    month = F.when(at % 3 == 1, F.lpad(F.floor((at + 2) / 3).cast("string"), 2, "0"))
+    iso = F.concat(year, F.lit("-"), month, F.lit("-"), F.lpad(day, 2, "0"), F.lit(" "), F.when(clock == "", "00:00").otherwise(clock))
+    plain = F.when(bare.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"), bare).when(bare.rlike(mail), iso)
+    t = plain.try_cast("timestamp_ntz")
+    part = [F.regexp_extract(s, offset, k) for k in (2, 3)]
+    ahead = F.when(timed & s.rlike(offset), (part[0].try_cast("int") * 60 + part[1].try_cast("int")) * F.when(F.regexp_extract(s, offset, 1) == "-", -1).otherwise(1)).otherwise(0)
+    return F.when(timed, F.timestamp_add("MINUTE", -ahead, t)).otherwise(from_local(t, zone))
 
 
 def in_session(ts: Column, spec: str, zone: str = "UTC") -> Column:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import casts
+from ..functions import casts, strings, times
 from ..operators import barstate, plots, ta
 from .bars import event_bars, sql_bars
 
@@ -53,3 +53,23 @@ UNION ALL SELECT symbol, bar_index, 'bars', 'bar', {_four}, {_tint}, NULL, NULL
 UNION ALL SELECT symbol, bar_index, 'moves', 'shape', [round(d, 6) + 0.0], CASE WHEN d > 0 THEN 'lime' WHEN d < 0 THEN 'maroon' END, CASE WHEN d > 0 THEN 'shape_arrow_up' WHEN d < 0 THEN 'shape_arrow_down' END, CASE WHEN d > 0 THEN 'BelowBar' WHEN d < 0 THEN 'AboveBar' END FROM b
 UNION ALL SELECT symbol, bar_index, 'half', 'hline', [50.0], 'gray', NULL, NULL FROM b
 UNION ALL SELECT symbol, bar_index, 'gap', 'fill', CASE WHEN m IS NULL THEN [NULL, NULL] ELSE [round(least(close, m), 6), round(greatest(close, m), 6)] END, CASE WHEN m IS NOT NULL THEN 'aqua' END, NULL, NULL FROM b"""
+
+
+_NY = "timezone('America/New_York', timezone('UTC', time))"
+Q["time_format_zones"] = lambda s, d: event_bars(s, d).select("symbol", "bar_index", strings.format_time(F.col("time"), "yyyy-MM-dd'T'HH:mm:ssZ", "America/New_York").alias("ny"), strings.format_time(F.col("time"), "dd.MM.yy 'at' hh a Z", "UTC+5:30").alias("half"))
+SQL["time_format_zones"] = f"""SELECT symbol, bar_index, strftime({_NY}, '%Y-%m-%dT%H:%M:%S') || printf('-%02d00', CAST(date_diff('hour', {_NY}, time) AS INTEGER)) AS ny,
+strftime(time + INTERVAL 330 MINUTE, '%d.%m.%y at %I %p +0530') AS half FROM {sql_bars()}"""
+
+
+def _timestamps(spark, sf_dir: str) -> DataFrame:
+    """Order dates from their parts, with a month and an hour that roll over, and from texts."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    t = F.col("o_orderdate").cast("timestamp_ntz")
+    y, m, d = F.year(t), F.month(t), F.dayofmonth(t)
+    return o.select("o_orderkey", times.timestamp(y, m + 2, d, F.col("o_orderkey") % 50, zone="Europe/Berlin").alias("rolled"), times.timestamp_of(F.date_format("o_orderdate", "yyyy-MM-dd"), "UTC-03:30").alias("dated"), times.timestamp_of(F.concat(F.date_format("o_orderdate", "d MMM yyyy"), F.lit(" 06:30:00 +0200"))).alias("mail"))
+
+
+Q["time_timestamps"] = _timestamps
+SQL["time_timestamps"] = """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders)
+SELECT o_orderkey, timezone('UTC', timezone('Europe/Berlin', CAST(date_trunc('month', t) AS TIMESTAMP) + INTERVAL 2 MONTH + to_days(CAST(day(t) - 1 AS INTEGER)) + to_hours(o_orderkey % 50))) AS rolled,
+CAST(CAST(t AS DATE) AS TIMESTAMP) + INTERVAL 210 MINUTE AS dated, CAST(CAST(t AS DATE) AS TIMESTAMP) + INTERVAL 270 MINUTE AS mail FROM o"""
