@@ -7,7 +7,7 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
-from barweave.operators import fifo
+from barweave.operators import account, broker, fifo
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "symbol string, time timestamp_ntz, qty double, price double, commission double, n long"
@@ -88,3 +88,69 @@ def test_running_sums_are_dealt_by_block(spark):
     for i, r in enumerate(got):
         total += i % 7
         assert r.s == total and r.p == (None if i == 0 else (i - 1) % 7)
+
+
+def marked(bars, fills, trades, capital):
+    """The curve of one symbol's account, a bar at a time."""
+    out, cash, size, won, lost, most, least = [], 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
+    peak = trough = capital
+    down = down_percent = up = up_percent = 0.0
+    fills, trades, close = list(fills), list(trades), None
+    for i, (time, high, low, c) in enumerate(bars):
+        end, close = time + dt.timedelta(days=1), c if c is not None else close
+        high, low = (close if x is None else x for x in (high, low))
+        while fills and fills[0][1] < end:
+            _, _, qty, price, fee, _ = fills.pop(0)
+            size, cash = size + qty, cash - qty * price - (fee or 0)
+            most, least = max(most, size), min(least, size)
+        for t in [t for t in trades if t[3] < end]:
+            trades.remove(t)
+            won, lost = won + max(t[7], 0), lost + max(-t[7], 0)
+        real, value = capital + won - lost, capital + cash + size * close
+        peak, trough = max(peak, real), min(trough, real)
+        worst, best = value + size * ((low if size > 0 else high) - close), value + size * ((high if size > 0 else low) - close)
+        down, down_percent = max(down, peak - worst), max(down_percent, 100 * (peak - worst) / peak)
+        up, up_percent = max(up, best - trough), max(up_percent, 100 * (best - trough) / best if best > 0 else 0)
+        out.append((i, value, won - lost, value - real, won, lost, size, down, down_percent, up, up_percent, most, -least))
+    return out
+
+
+def test_the_curve_of_an_account_equals_one_kept_bar_by_bar(spark):
+    """Fills on days without bars, before the first and after the last one too; bars without prices; symbols without fills, and without bars."""
+    rng = random.Random(5)
+    fills = random_fills(11, 200, ["a", "a", "b", "nowhere"])
+    days = [START + dt.timedelta(days=d) for d in range(2, 15) if d not in (4, 5, 9)]
+    bars = {s: [(day, c + 2, c - 3, c) for day, c in ((d, rng.choice([9.0, 10.0, 11.0, 14.0])) for d in days)] for s in ("a", "b", "idle")}
+    bars["a"][4] = (bars["a"][4][0], None, None, None)
+    frame = spark.createDataFrame([(s, t, i, h, lo, c) for s, rows in bars.items() for i, (t, h, lo, c) in enumerate(rows)], "symbol string, time timestamp_ntz, bar_index int, high double, low double, close double")
+    df = spark.createDataFrame(fills, SCHEMA)
+    order, block, day = ("time", "n"), F.date_trunc("month", "time"), lambda t: F.date_trunc("day", t).cast("timestamp_ntz")
+    trades, _ = fifo.match(df, block, order)
+    got = account.curve(frame, df, trades, day, block, order, broker.Config(initial_capital=1000.0))
+    names = "bar_index equity net_profit open_profit gross_profit gross_loss position_size max_drawdown max_drawdown_percent max_runup max_runup_percent held_long held_short".split()
+    seen = defaultdict(list)
+    for r in got.orderBy("symbol", "bar_index").collect():
+        seen[r.symbol].append(tuple(r[n] for n in names))
+    ordered = sorted(fills, key=lambda f: (f[1], f[5]))
+    assert set(seen) == set(bars)
+    for s, rows in bars.items():
+        own = [f for f in ordered if f[0] == s]
+        want = marked(rows, own, [t for t in paired(own)[0]], 1000.0)
+        assert len(want) == len(seen[s])
+        for a, b in zip(seen[s], want, strict=True):
+            assert a == pytest.approx(b, abs=1e-5)
+    at = {t: i for i, (t, *_) in enumerate(bars["a"])}
+    for r in account.placed(trades, frame, day).where("symbol = 'a'").collect():
+        assert (r.entry_bar_index, r.exit_bar_index) == tuple(at.get(t.replace(hour=0)) for t in (r.entry_time, r.exit_time))
+    month = {r.symbol: r for r in account.months(got, broker.Config(initial_capital=1000.0)).collect()}
+    assert month["idle"].gain_percent == 0 and month["a"].equity == pytest.approx(seen["a"][-1][1]) and month["a"].bars == len(days)
+
+
+def test_an_account_of_nothing(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    bars = spark.createDataFrame([], "symbol string, time timestamp_ntz, bar_index int, high double, low double, close double")
+    one = spark.createDataFrame([("a", START, 0, None, None, None)], bars.schema)
+    trades, _ = fifo.match(empty, F.col("time"), ("time", "n"))
+    assert account.curve(bars, empty, trades, lambda t: t, F.col("time"), ("time", "n")).count() == 0
+    (row,) = account.curve(one, empty, trades, lambda t: t, F.col("time"), ("time", "n")).collect()
+    assert row.equity == 100_000 and row.close is None and row.max_drawdown == 0
