@@ -27,11 +27,11 @@ def by_ratio(bars: DataFrame, k: int, gap: float = 1.5) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("time")
     step = F.unix_timestamp("time") - F.unix_timestamp(F.lag("time").over(w))
     df = bars.withColumn("_n", F.row_number().over(w)).withColumn("_s", step)
-    least = F.min(F.when(F.col("_n") <= 20, F.col("_s"))).over(Window.partitionBy("symbol"))
-    df = df.withColumn("_new", F.coalesce((F.col("_s") > gap * least).cast("int"), F.lit(0)))
-    df = df.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy("symbol", "_island").orderBy("time")) - 1
-    return _merge(df.withColumn("_group", F.floor(place / k)), "_island", "_group")
+    ahead = w.rowsBetween(Window.unboundedPreceding, 19)  # on every bar these hold all of the first 20
+    least = F.min(F.when(F.col("_n") <= 20, F.col("_s"))).over(ahead)
+    start = F.when((F.col("_n") == 1) | (F.col("_s") > gap * least), F.col("_n"))
+    df = df.withColumn("_start", start).withColumn("_island", F.max("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _merge(df.withColumn("_group", F.floor((F.col("_n") - F.col("_island")) / k)), "_island", "_group")
 
 
 def gaps(bars: DataFrame, seconds: int, most: float = 1.5) -> DataFrame:
