@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions alone.
 
 Seeds are what fixed patterns find: e-mail addresses, IPv4 addresses, payment cards and phone numbers.
-Every word with a digit or an at sign is a candidate, in the context of the one and of the two words
+Every word of at least ``SHORTEST`` characters with a digit or an at sign is a candidate (shorter ones, mostly counts, are
+neither found nor evidence for or against a pattern), in the context of the one and of the two words
 before it: the lexical patterns. A candidate among those words stands there by its form, each run of digits
 as ``#`` and an address as ``@``, so that identifiers in a row share patterns. Patterns and candidates form a graph. A pattern's confidence is the
 share of what it precedes that is known, each different candidate counting once (and one unknown added, so
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import fresh, read, staged, unstage
 
 KINDS = ("email", "ip", "card", "phone")
-SURE, SUPPORT, WALK = 0.8, 3, 128
+SURE, SUPPORT, WALK, SHORTEST = 0.8, 3, 128, 4
 WORD = 40  # longer words are no context
 LOCAL = "A-Za-z0-9._%+-"
 PATTERN = {
@@ -167,7 +168,7 @@ def extract(docs: DataFrame) -> DataFrame:
     tagged = F.concat(*[F.transform(f"_{k}", _as_kind(k)) for k in KINDS])
     first = staged(_candidates(base.withColumn("base", tagged)).select("doc_id", "key", "base", F.col("_cand").alias("cand")), "pii")
     # what stands where, copies of a text once
-    each = first.where(F.size("cand") > 0).select("key", "base", F.explode("cand").alias("c")).where("length(c.word) >= 4")
+    each = first.where(F.size("cand") > 0).select("key", "base", F.explode("cand").alias("c")).where(F.length("c.word") >= SHORTEST)
     known = F.exists("base", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start")))
     each = each.select("key", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.lower("c.word").alias("word"), known.alias("seed"), F.array_distinct(F.array("c.one", "c.two")).alias("p"))
     edge = each.select("word", "seed", F.explode("p").alias("pattern")).where("pattern <> ''").groupBy("pattern", "word").agg(F.max("seed").alias("seed"))
