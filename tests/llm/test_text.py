@@ -145,7 +145,7 @@ def test_pieces_are_the_librarys(odd, empty):
 def test_everything_is_registered():
     import __spark_entry__ as e
 
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in e.queries() if re.match(r"op\d+_", q)} and "pipeline" in e.queries()
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", q)[0] for q in e.queries() if re.match(r"op\d+_", q)} and "pipeline" in e.queries()
 
 
 def bootstrapped(texts, base):
