@@ -53,8 +53,17 @@ def local(ts: Column, zone: str = "UTC") -> Column:
 
 
 def from_local(ts: Column, zone: str = "UTC") -> Column:
-    """The time in UTC at which clocks in zone show ts; one that clocks pass over counts as an hour later."""
-    return ts if zone == "UTC" else F.convert_timezone(F.lit(zone_id(zone)), F.lit("UTC"), ts.cast("timestamp_ntz"))
+    """The time in UTC at which clocks in zone show ts: one that clocks pass over counts as an hour later, of one that they show twice it is the later."""
+    if zone == "UTC":
+        return ts
+    ts = ts.cast("timestamp_ntz")
+    first = F.convert_timezone(F.lit(zone_id(zone)), F.lit("UTC"), ts)
+    if re.match("[+-]", zone_id(zone)):
+        return first
+    # clocks are put back by a day at most, so a day on they show the later offset
+    day = first + F.expr("INTERVAL 1 DAY")
+    later = ts - (local(day, zone) - day)
+    return F.when(local(later, zone) == ts, F.greatest(first, later)).otherwise(first)
 
 
 def parts(ts: Column, zone: str = "UTC") -> dict[str, Column]:

@@ -28,6 +28,15 @@ def test_parts_and_timestamps_in_any_session(session):
     assert one(session, times.timestamp(F.lit(None).cast("int"), 1, 1)) is None
 
 
+@pytest.mark.parametrize("local, zone, want", [
+    ((1995, 9, 24, 2), "Europe/Berlin", (1995, 9, 24, 1)), ((1995, 9, 24, 1, 59, 59), "Europe/Berlin", (1995, 9, 23, 23, 59, 59)), ((1995, 9, 24, 3), "Europe/Berlin", (1995, 9, 24, 2)),
+    ((1996, 3, 31, 2, 30), "Europe/Berlin", (1996, 3, 31, 1, 30)), ((2024, 11, 3, 1, 30), "America/New_York", (2024, 11, 3, 6, 30)), ((2024, 4, 7, 1, 45), "Australia/Lord_Howe", (2024, 4, 6, 15, 15)),
+    ((1969, 9, 30, 12), "Pacific/Kwajalein", (1969, 10, 1)), ((2024, 11, 3, 1, 30), "UTC-5", (2024, 11, 3, 6, 30)), ((2024, 11, 3, 1, 30), "UTC", (2024, 11, 3, 1, 30))])
+def test_of_a_time_that_clocks_show_twice_the_later_counts(session, local, zone, want):
+    assert one(session, times.timestamp(*local, zone=zone)) == dt.datetime(*want)
+    assert one(session, times.timestamp_of(F.lit(str(dt.datetime(*local))), zone)) == dt.datetime(*want)
+
+
 @pytest.mark.parametrize("text, zone, want", [
     ("2024-01-31", "UTC", (2024, 1, 31)), ("2024-01-31 10:00", "UTC+1", (2024, 1, 31, 9)), (" 2024-01-31T10:00:30Z ", "Asia/Tokyo", (2024, 1, 31, 10, 0, 30)),
     ("2024-01-31T10:00:00-03:30", "UTC", (2024, 1, 31, 13, 30)), ("Wed, 31 Jan 2024 10:00:00 +0200", "UTC", (2024, 1, 31, 8)), ("1 feb 2024", "GMT-5", (2024, 2, 1, 5)),
