@@ -63,6 +63,23 @@ def test_pairs_equal_a_queue_of_lots(spark, monkeypatch, width):
     assert len(want) > 500 and any(r[0] == "turn" for r in want)
 
 
+def test_quantities_keep_all_places(spark):
+    tick = 1e-8
+    fills = [("a", START, 3 * tick, 1.0, 0.0, 1), ("a", START, -1 * tick, 2.0, 0.0, 2), ("a", None, 2 * tick, 1.0, 0.0, 0), ("a", START, -6 * tick, 3.0, 0.0, 3), ("a", START, 1e9 + tick, 2.0, 0.0, 4)]
+    trades, still = fifo.match(spark.createDataFrame(fills, SCHEMA), F.date_trunc("month", "time"), ("time", "n"))
+    got = sorted((r.entry_no, r.exit_no, round(r.size / tick), r.exit_price) for r in trades.collect())
+    assert got == [(1, 1, -2, 2.0), (1, 1, 1, 2.0), (1, 2, 1, 3.0), (2, 2, 3, 3.0)]
+    assert [(r.entry_no, r.size) for r in still.collect()] == [(3, 999999999.99999999)]
+
+
+def test_fills_move_once_and_are_read_once_a_round(spark, sf_dir):
+    """The share of the plan that grew: six readings and eight exchanges of whole fills before."""
+    from barweave.plans import queries_fifo
+
+    plan = queries_fifo.Q["fifo_trades"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 4 and plan.count("Join ") <= 3, plan
+
+
 def test_no_fills(spark):
     df = spark.createDataFrame([], SCHEMA)
     trades, still = fifo.match(df, F.date_trunc("month", "time"), ("time", "n"))
