@@ -267,3 +267,11 @@ def test_search_and_vectors_on_empty_tables(spark):
     none = vectors(spark, [])
     assert search.top_k(none, F.col("vec_id") % 50 == 0, 5, 256.0).count() == 0
     assert neardup_vectors.near_duplicates(none).count() == 0
+
+
+def test_hash_of_one_stretch_is_that_of_two_of_which_the_second_is_empty():
+    rng = np.random.default_rng(3)
+    h = linededup.Hashed(rng.integers(0, 70000, 5000).astype(np.uint32), 1)
+    a = np.append(rng.integers(0, 5000, 999), 5000)
+    b = np.append(rng.integers(a[:-1], 5001), 5000)
+    assert (h.of(a, b) == h.joined(a, b, b, b)).all()
