@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 U64 = np.uint64
+#: What an executor holds of texts at once: a batch between Spark and Python in bytes, one from Parquet in rows.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2097152b", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+_DEFAULTS = {"spark.sql.execution.arrow.maxBytesPerBatch": "67108864b", "spark.sql.parquet.columnarReaderBatchSize": "4096"}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +49,16 @@ def arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(trimmed, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session moves rows in batches of BATCHES; a setting that is not Spark's default stays.
+
+    Large batches of texts leave holes in the memory of the JVM, on its heap and beside it, that it does not give back.
+    """
+    for key, most in BATCHES.items():
+        if spark.conf.get(key) == _DEFAULTS[key]:
+            spark.conf.set(key, most)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; one of our own only where the session names none."""
     sc = spark.sparkContext

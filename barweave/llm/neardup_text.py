@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow, components, mix, parts, read, staged, unstage, utf8, word_hashes
+from .common import U64, arrow, components, mix, parts, read, small_batches, staged, unstage, utf8, word_hashes
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 20, 5
 FEW, BLOCK = 32, 192
 BITMAP = 26  # bits of an id's hash: 8 MB
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -241,6 +241,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     each resembles the next by least or more.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     made = staged(arrow(rows, _signatures, "id long, sha binary, n long, bands array<long>"), "signatures")
     classes = staged(made.groupBy("sha").agg(F.min("id").alias("id")), "text-classes")

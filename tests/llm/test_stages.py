@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from barweave.llm import common, packing, toxicity
+from barweave.llm import common, neardup_text, packing, toxicity
 from test_copies import bag, distance
 from test_text import base
 
@@ -82,6 +82,40 @@ def masked(t):
     return None if t is None else out + t[at:]
 
 
+def test_stages_move_texts_in_small_batches(spark, tables, tmp_path, monkeypatch):
+    """What goes from Spark to Python at once while near copies are told: 2 MB and a row, unless the session says otherwise."""
+    plain, sizes = common.arrow, str(tmp_path / "sizes")
+
+    def seen(df, run, schema):
+        def noted(batches):
+            def each():
+                for b in batches:
+                    with open(sizes, "a") as f:
+                        f.write(f"{b.nbytes}\n")
+                    yield b
+
+            yield from run(each())
+
+        return plain(df, noted, schema)
+
+    monkeypatch.setattr(neardup_text, "arrow", seen)
+    rng = random.Random(2)
+    texts = [(i, " ".join(rng.choice(WORDS) for _ in range(2000))) for i in range(1000)]
+    docs = spark.createDataFrame(texts + [(1000 + i, t) for i, t in texts[:20]], "doc_id long, text string").repartition(1)
+    for key in common.BATCHES:
+        spark.conf.unset(key)
+    try:
+        assert corpus_pipeline.STAGES[2][1](spark, docs, tables).count() == 1000
+        with open(sizes) as f:
+            assert 1 << 20 < max(map(int, f)) < 5 << 19
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+        common.small_batches(spark)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "32m"
+    finally:
+        for key in common.BATCHES:
+            spark.conf.unset(key)
+
+
 def test_each_stage_equals_plain_python(spark, tables):
     docs = common.read(spark, tables, "documents")
     columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
