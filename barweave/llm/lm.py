@@ -11,8 +11,8 @@ with one half for a word never seen. The probabilities of all words add up to 1.
 Training is by noise-contrastive estimation in numpy, units against noise from all units, branches
 against noise from their family, over every training text, each used once: every task descends on its own
 rows from the same start, and the parameters are averaged by their number of tokens, first on an eighth
-of the texts, then on the rest. Scoring normalises exactly: for each different pair of preceding words of
-a batch one row of a matrix product over all units, and for each word of a family one over its branches.
+of the texts, then on the rest. Scoring normalises exactly: over all units for all pairs of preceding words
+by one matrix product a task, and for each word of a family over its branches.
 
 Counts are exact over all training texts, those of branches too. The most frequent words, ``HEAD`` at most
 (as many as a histogram of counts shows to fit), go to every worker; the others' counts meet their texts in
@@ -76,17 +76,23 @@ def units_of(words: list[bytes], branch: np.ndarray, index: dict[bytes, int]) ->
     return np.where(unit < 0, 1 + branch // FAMILIES, unit), np.where(unit < 0, branch, -1)
 
 
-def tokens(column: pa.Array) -> Iterator[tuple[int, int, list[list[bytes]], np.ndarray]]:
-    """(first row, row after the last, their words, the words' branches), some rows at a time. A text's words are followed by its end, b"", of branch -1."""
+def texts(column: pa.Array) -> Iterator[tuple[int, int, list[list[bytes]], np.ndarray, np.ndarray]]:
+    """(first row, row after the last, their words, their bytes, where each begins in them), some rows at a time. A text's words are followed by its end, b""."""
     data, off = utf8(column)
     raw = data.tobytes().lower()  # bytes: A-Z alone
     for a, b in parts(off, CHUNK):
         words = [[*raw[off[i] : off[i + 1]].split(), b""] for i in range(a, b)]
+        yield a, b, words, np.frombuffer(raw, np.uint8)[off[a] : off[b]], off[a : b + 1] - off[a]
+
+
+def tokens(column: pa.Array) -> Iterator[tuple[int, int, list[list[bytes]], np.ndarray]]:
+    """(first row, row after the last, their words, the words' branches), as texts gives them; the end is of branch -1."""
+    for a, b, words, data, off in texts(column):
         ends = np.cumsum([len(w) for w in words])
         branch = np.full(ends[-1], -1, np.int64)
         inside = np.ones(len(branch), bool)
         inside[ends - 1] = False
-        branch[inside] = branches(np.frombuffer(raw, np.uint8)[off[a] : off[b]], off[a : b + 1] - off[a])
+        branch[inside] = branches(data, off)
         yield a, b, words, branch
 
 
@@ -99,7 +105,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for batch in batches:
-        for _, _, words, _ in tokens(batch.column(0)):
+        for _, _, words, *_ in texts(batch.column(0)):
             for w in words:
                 seen.update(w)
             if len(seen) > FLUSH:
@@ -139,24 +145,48 @@ def contexts(ids: np.ndarray, ends: np.ndarray, blank: int) -> tuple[np.ndarray,
     return one, two
 
 
+def sums(m: int):
+    """A function that adds up rows by their places below m. Two neighbouring components go as one complex number, which halves what is added one by one."""
+    half = WIDTH // 2
+    place = np.arange(m)[:, None] * half + np.arange(half)
+
+    def run(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(m * half, np.complex64)
+        np.add.at(out, place.take(at, axis=0).ravel(), rows.view(np.complex64).ravel())
+        return out.view(np.float32).reshape(m, WIDTH)
+
+    return run
+
+
+def drawn(cumulated: np.ndarray, cells: int = 1024):
+    """np.searchsorted(cumulated, x) for x from 0 to FAMILIES: where its cell begins is looked up, and few have a border to pass."""
+    guide = np.searchsorted(cumulated, np.arange(FAMILIES * cells + 1) / cells)
+    ends = np.append(cumulated, np.inf)
+
+    def run(x: np.ndarray) -> np.ndarray:
+        flat = x.ravel()
+        at = guide.take((flat * cells).astype(np.int64))
+        on = np.flatnonzero(ends.take(at) < flat)
+        while len(on):
+            at[on] += 1
+            on = on[ends[at[on]] < flat[on]]
+        return at.reshape(x.shape)
+
+    return run
+
+
 def descend(flat: np.ndarray, prob: np.ndarray, inner: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray, branch: np.ndarray, square: np.ndarray, rng) -> None:
     """One pass in batches; flat and the sums of squared gradients change in place."""
     k, d, m = len(prob), WIDTH, FAMILIES * FAMILIES
     p, g = Params(flat, k), np.zeros_like(flat)
-    into = Params(g, k)
+    into, step = Params(g, k), np.empty_like(flat)
     shift = (np.log(prob) + np.log(NOISE)).astype(np.float32)
     shift2 = (np.log(inner) + np.log(FEW_NOISE)).astype(np.float32)
     cumulated = np.cumsum(prob)
-    cumulated2 = np.cumsum(inner.reshape(FAMILIES, FAMILIES), 1).ravel() + np.repeat(np.arange(FAMILIES), FAMILIES)
+    draw = drawn(np.cumsum(inner.reshape(FAMILIES, FAMILIES), 1).ravel() + np.repeat(np.arange(FAMILIES), FAMILIES))
+    by_unit, by_branch = sums(k + 1), sums(m)
     order = rng.permutation(len(target))
-
-    def spread(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((n, d), np.float32)
-        if len(at):
-            order = np.argsort(at.astype(np.int16), kind="stable")  # units and branches are few: a radix sort
-            first = np.flatnonzero(np.diff(at[order], prepend=-1))
-            out[at[order[first]]] = np.add.reduceat(rows[order], first, axis=0)
-        return out
+    rows = np.stack([one, two, target, branch], 1, dtype=np.int32, casting="same_kind")  # of a token, side by side
 
     def error(x: np.ndarray, y: float) -> np.ndarray:
         e = np.negative(x, dtype=np.float32)
@@ -167,34 +197,34 @@ def descend(flat: np.ndarray, prob: np.ndarray, inner: np.ndarray, one: np.ndarr
         return np.subtract(np.float32(y), e, out=e)
 
     for a in range(0, len(order), BATCH):
-        pick = order[a : a + BATCH]
-        c1, c2, t = one[pick], two[pick], target[pick]
+        c1, c2, t, own = rows.take(order[a : a + BATCH], axis=0).T.astype(np.int64)
         noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), k - 1)
-        h = p.hidden(c1, c2)
-        qt, qn = p.q[t], p.q[noise]
+        h = (p.r * p.c[0]).take(c1, axis=0) + (p.r * p.c[1]).take(c2, axis=0)
+        qt, qn = p.q.take(t, axis=0), p.q[noise]
         up = error(np.einsum("nd,nd->n", h, qt) + (p.b - shift)[t], 1)
         down = error(h @ qn.T + (p.b[noise] - shift[noise]), 0)
         dh = up[:, None] * qt + down @ qn
-        into.q[:] = spread(t, up[:, None] * h, k)
-        np.add.at(into.q, noise, down.T @ h)
+        into.q[:] = by_unit(np.concatenate([t, noise]), np.concatenate([up[:, None] * h, down.T @ h]))[:k]
         into.b[:] = np.bincount(t, weights=up, minlength=k)
         np.add.at(into.b, noise, down.sum(0))
         # branches of the words that stand in a family, against some of the same family
-        far = np.flatnonzero(branch[pick] >= 0)
-        own = branch[pick][far]
-        other = np.searchsorted(cumulated2, rng.random((len(far), FEW_NOISE)) + (own // FAMILIES)[:, None])
-        other = np.clip(other, (own // FAMILIES * FAMILIES)[:, None], (own // FAMILIES * FAMILIES + FAMILIES - 1)[:, None])
+        far = np.flatnonzero(own >= 0)
+        own = own[far]
+        first = (own // FAMILIES * FAMILIES)[:, None]
+        other = np.clip(draw(rng.random((len(far), FEW_NOISE)) + (own // FAMILIES)[:, None]), first, first + FAMILIES - 1)
         some = np.concatenate([own[:, None], other], 1)
-        q2 = p.q2[some]
-        off = np.matmul(q2, h[far][:, :, None])[:, :, 0] + (p.b2 - shift2)[some]
-        pull = np.concatenate([error(off[:, :1], 1), error(off[:, 1:], 0)], 1).astype(np.float32)
+        q2, hf = p.q2.take(some, axis=0), h.take(far, axis=0)
+        off = np.einsum("nsd,nd->ns", q2, hf) + (p.b2 - shift2)[some]
+        pull = np.concatenate([error(off[:, :1], 1), error(off[:, 1:], 0)], 1)
         dh[far] += np.matmul(pull[:, None, :], q2)[:, 0]
-        into.q2[:] = spread(some.ravel(), (pull[:, :, None] * h[far][:, None, :]).reshape(-1, d), m)
+        into.q2[:] = by_branch(some.ravel(), (pull[:, :, None] * hf[:, None, :]).reshape(-1, d))
         into.b2[:] = np.bincount(some.ravel(), weights=pull.ravel(), minlength=m)
-        into.r[:] = spread(np.concatenate([c1, c2]), np.concatenate([dh * p.c[0], dh * p.c[1]]), k + 1)
-        into.c[0], into.c[1] = (dh * p.r[c1]).sum(0), (dh * p.r[c2]).sum(0)
-        square += g * g
-        flat += np.float32(RATE) * g / np.sqrt(square + np.float32(1e-6))
+        near, before = by_unit(c1, dh), by_unit(c2, dh)
+        into.r[:] = near * p.c[0] + before * p.c[1]
+        into.c[0], into.c[1] = (near * p.r).sum(0), (before * p.r).sum(0)
+        square += np.multiply(g, g, out=step)
+        np.sqrt(np.add(square, np.float32(1e-6), out=step), out=step)
+        flat += np.float32(RATE) * np.divide(g, step, out=step)
 
 
 def _train(shared):
@@ -233,6 +263,7 @@ def _scores(shared):
         rank = _rank(head)
         k = len(prob)
         p = Params(flat, k)
+        logits = Logits(p)
         log_count = np.log10(count + 0.5)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -248,7 +279,7 @@ def _scores(shared):
                 ids[far] = 1 + branch[far] // FAMILIES
                 branch = np.where((ids >= 1) & (ids < FIRST), branch, -1)
                 one, two = contexts(ids, ends, k)
-                score = log_probability(p, one, two, ids, branch)
+                score = log_probability(p, one, two, ids, branch, logits)
                 in_head = at >= 0
                 base = np.where(in_head, log_count[np.maximum(at, 0)], 0.0)
                 score[far] += base[far] - mass[branch[far]]
@@ -286,27 +317,41 @@ def _rank(head: list[bytes]) -> dict[bytes, int]:
     return _ranks[id(head)]
 
 
-def log_probability(p: Params, one: np.ndarray, two: np.ndarray, target: np.ndarray, branch: np.ndarray) -> np.ndarray:
+class Logits:
+    """What the unit before and the one before that add to the logits of units and of branches, and the log of the sum over all units for each two of them.
+
+    The exponential of a sum is a product, so the sums of all pairs are one matrix product.
+    """
+
+    def __init__(self, p: Params):
+        one, two = p.r * p.c[0], p.r * p.c[1]
+        self.one, self.two = one @ p.q.T + p.b, two @ p.q.T
+        self.one2, self.two2 = ((one @ p.q2.T + p.b2).reshape(-1, FAMILIES), (two @ p.q2.T).reshape(-1, FAMILIES))
+        top = [x.max(1).astype(np.float64)[:, None] for x in (self.one, self.two)]
+        a, b = np.exp(self.one - top[0]), np.exp(self.two - top[1])
+        z = a @ b.T
+        low = np.argwhere(z < 1e-200)  # the two have no large logit in common
+        with np.errstate(divide="ignore"):
+            self.log_z = np.log(z, out=z)
+        self.log_z += top[0] + top[1].T
+        for x in np.array_split(low, len(low) // 1024 + 1):
+            both = self.one[x[:, 0]].astype(np.float64) + self.two[x[:, 1]]
+            most = both.max(1)
+            self.log_z[x[:, 0], x[:, 1]] = most + np.log(np.exp(both - most[:, None]).sum(1))
+
+
+def log_probability(p: Params, one: np.ndarray, two: np.ndarray, target: np.ndarray, branch: np.ndarray, logits: Logits | None = None) -> np.ndarray:
     """log10 of the probability of each target unit after its two preceding ones, normalised over all units, and of its branch in its family."""
-    pair, at = np.unique(two * (p.k + 1) + one, return_inverse=True)
-    h = p.hidden(pair % (p.k + 1), pair // (p.k + 1))
-    log_z = np.empty(len(pair))
-    for a in range(0, len(pair), 4096):
-        z = h[a : a + 4096] @ p.q.T + p.b
-        top = z.max(1)
-        np.exp(z - top[:, None], out=z)
-        log_z[a : a + 4096] = top + np.log(z.sum(1))
-    out = np.empty(len(target))
-    for a in range(0, len(target), 1 << 18):
-        s = slice(a, a + (1 << 18))
-        out[s] = (h[at[s]] * p.q[target[s]]).sum(1) + p.b[target[s]] - log_z[at[s]]
+    by = logits or Logits(p)
+    out = by.one[one, target].astype(np.float64) + by.two[two, target] - by.log_z[one, two]
     far = np.flatnonzero(branch >= 0)
-    far = far[np.argsort(branch[far] // FAMILIES, kind="stable")]
-    for same in np.split(far, np.flatnonzero(np.diff(branch[far] // FAMILIES)) + 1) if len(far) else []:
-        first = branch[same[0]] // FAMILIES * FAMILIES
-        z = h[at[same]] @ p.q2[first : first + FAMILIES].T + p.b2[first : first + FAMILIES]
-        top = z.max(1)
-        out[same] += z[np.arange(len(same)), branch[same] - first] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    for a in range(0, len(far), 8192):
+        i = far[a : a + 8192]
+        family = branch[i] // FAMILIES
+        z = by.one2.take(one[i] * FAMILIES + family, axis=0) + by.two2.take(two[i] * FAMILIES + family, axis=0)
+        z -= z.max(1)[:, None]
+        own = z[np.arange(len(i)), branch[i] % FAMILIES]
+        out[i] += own - np.log(np.exp(z, out=z).sum(1))
     return out / np.log(10)
 
 

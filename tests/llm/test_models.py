@@ -204,6 +204,58 @@ def test_lm_is_normalised_over_units_and_branches():
     assert (10 ** lm.log_probability(p, one, two, unit, branch)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_sums_of_all_pairs_are_those_of_single_ones():
+    rng = np.random.default_rng(4)
+    k = lm.FIRST + 300
+    p = lm.Params(lm.start(*lm_start(k, rng)), k)
+    p.r[5], p.r[6] = 400 * np.sign(p.q[40]), 400 * np.sign(p.q[41])  # no large logit in common: products of exponentials vanish
+    by, low = lm.Logits(p), 0
+    for two in (0, 6, 40, k):
+        z = (p.hidden(np.arange(k + 1), np.full(k + 1, two)) @ p.q.T + p.b).astype(np.float64)
+        top = z.max(1)
+        assert by.log_z[:, two] == pytest.approx(top + np.log(np.exp(z - top[:, None]).sum(1)), rel=1e-5, abs=1e-4)
+        parted = by.one.max(1).astype(np.float64) + by.two[two].max()
+        low += int((top - parted < -460).sum())
+    assert low  # the rule for what vanishes was needed
+
+
+def test_lm_scoring_a_pair_again_is_no_matrix_product():
+    """Over different pairs of words, as of a large table: at most a third of the time of one row over all units for each pair."""
+    import time
+
+    rng = np.random.default_rng(6)
+    k, n = lm.FIRST + lm.WORDS, 100_000
+    p = lm.Params(lm.start(*lm_start(k, rng)), k)
+    one, two, target = rng.integers(lm.FIRST, k, (3, n))
+
+    def plain():
+        h = p.hidden(one, two)
+        for a in range(0, n, 4096):
+            z = h[a : a + 4096] @ p.q.T + p.b
+            np.exp(z - z.max(1)[:, None], out=z).sum(1)
+
+    def took(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    every = took(plain)
+    assert took(lambda: lm.log_probability(p, one, two, target, np.full(n, -1))) < every / 3
+
+
+def test_lm_draws_as_a_search_does_and_sums_rows():
+    rng = np.random.default_rng(8)
+    inner = rng.random((lm.FAMILIES, lm.FAMILIES)) ** 40 + 1e-12  # most branches far smaller than a cell
+    cumulated = np.cumsum(inner / inner.sum(1, keepdims=True), 1).ravel() + np.repeat(np.arange(lm.FAMILIES), lm.FAMILIES)
+    x = np.concatenate([rng.random(20_000) * lm.FAMILIES, cumulated, [0.0, float(lm.FAMILIES)]])
+    assert (lm.drawn(cumulated)(x) == np.searchsorted(cumulated, x)).all()
+    at, rows = rng.integers(0, 50, 999), rng.normal(size=(999, lm.WIDTH)).astype(np.float32)
+    want = np.zeros((50, lm.WIDTH), np.float32)
+    np.add.at(want, at, rows)
+    assert (lm.sums(50)(at, rows) == want).all()
+    assert (lm.sums(50)(at[:0], rows[:0]) == 0).all()
+
+
 def test_lm_branches_are_those_of_the_words():
     import pyarrow as pa
 
