@@ -49,7 +49,7 @@ from .common import U64, arrow, fresh, mix, read, staged, unstage
 SHARE, STEP, MOST = 8, 40, 5
 PARTS, BITMAP = 16, 26
 LARGE, DEPTH, SHORTEST = 2048, 4, 4
-CHUNK = 1 << 18
+CHUNK, SEEN = 1 << 18, 1 << 17
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _up, _down = np.ones(1, U64), np.ones(1, U64)
@@ -195,7 +195,8 @@ def _cuts(h: Hashed, a: np.ndarray, b: np.ndarray, tier: np.ndarray | None = Non
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each line that counts: id, line, two hashes, and its keys: with a half deleted, or of its parts (none if it is short)."""
+    """For each line that counts: id, line, two hashes, and its keys: with a half deleted, or of its parts (none if it is short, or equal to one not long before)."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for x, y in _groups(texts):
@@ -205,10 +206,21 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             points, text, number, begin, end = lines_of([texts[i] for i in some])
             keep = ~_blank(points, begin, end)
             text, number, begin, end = text[keep], number[keep], begin[keep], end[keep]
-            h, g = Hashed(points, 0), Hashed(points, 1)
-            near = np.flatnonzero((end - begin >= SHARE - 1) & (end - begin < STEP))  # a shorter one may be the neighbour of one of SHARE
+            h = Hashed(points, 0)
+            own, other = h.of(begin, end), Hashed(points, 1).of(begin, end)
+            new = []
+            for i, x in enumerate(zip(own.tolist(), other.tolist(), strict=True)):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            new = np.array(new, np.int64)
+            size = (end - begin)[new]
+            near = new[(size >= SHARE - 1) & (size < STEP)]  # a shorter one may be the neighbour of one of SHARE
             half = [k & ~U64(1) for k, _, _ in _coarse(h, begin[near], end[near], 2)]  # even: halves, odd: parts
-            line, key, *_ = _cuts(h, begin, end)
+            line, key, *_ = _cuts(h, begin[new], end[new])
+            line = new[line]
             line, keys = np.concatenate([np.tile(near, len(half)), line]), np.concatenate([*half, key | U64(1)])
             keys = keys[np.argsort(line, kind="stable")].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(begin)))])
@@ -216,8 +228,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column(0).take(pa.array(np.array(some)[text])),
                     pa.array(number, pa.int32()),
-                    pa.array(h.of(begin, end).view(np.int64)),
-                    pa.array(g.of(begin, end).view(np.int64)),
+                    pa.array(own.view(np.int64)),
+                    pa.array(other.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)),
                 ],
                 ["id", "line", "h", "g", "keys"],
@@ -250,18 +262,21 @@ def _wanted(bitmap):
                 pos = (h & U64((1 << BITMAP) - 1)).astype(np.int64)
                 take = np.flatnonzero(wanted[pos >> 3] >> (pos & 7) & 1)
                 if len(take):
-                    whole = points.tobytes()
-                    g = Hashed(points, 1).of(begin[take], end[take])
-                    bits = _triples(points, begin[take], end[take]).tobytes()
+                    strings = [points[begin[i] : end[i]].tobytes().decode("utf-32-le", "replace") for i in take]
+                    size = end[take] - begin[take]
+                    points = np.concatenate([points[begin[i] : end[i]] for i in take])  # of these lines alone
+                    to = np.cumsum(size)
+                    g = Hashed(points, 1).of(to - size, to)
+                    bits = _triples(points, to - size, to).tobytes()
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array(np.array(some)[text[take]])),
                             pa.array(number[take], pa.int32()),
                             pa.array(h[take].view(np.int64)),
                             pa.array(g.view(np.int64)),
-                            pa.array((end - begin)[take]),
+                            pa.array(size),
                             pa.array([bits[k : k + 32] for k in range(0, len(bits), 32)], pa.binary()),
-                            pa.array([whole[4 * begin[i] : 4 * end[i]].decode("utf-32-le", "replace") for i in take]),
+                            pa.array(strings),
                         ],
                         ["id", "line", "h", "g", "n", "bits", "s"],
                     )
@@ -353,15 +368,19 @@ def _triples(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return np.packbits(out.reshape(len(n), 256), axis=1).view(U64)
 
 
-def edit_distance(h: Hashed, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, most: int = MOST) -> np.ndarray:
-    """Edit distances of the stretches [a, a + n) and [b, b + m), most + 1 where larger: how far each diagonal gets with each number of edits."""
-    out = np.full(len(a), most + 1, np.int64)
-    live = np.arange(len(a))
+def edit_distance(h: Hashed, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, most: int | np.ndarray = MOST) -> np.ndarray:
+    """Edit distances of the stretches [a, a + n) and [b, b + m), most (of all or of each pair) + 1 where larger: how far each diagonal gets with each number of edits.
 
-    def along(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """How many code points agree from i and j on, by halving."""
-        p, q = a[live] + i, b[live] + j
-        low, high = np.zeros(len(i), np.int64), np.minimum(n[live] - i, m[live] - j)
+    A diagonal further from the last one than edits are left leads nowhere and is not followed.
+    """
+    most = np.broadcast_to(np.asarray(most, np.int64), len(a))
+    out, shift = most + 1, m - n
+    live = np.flatnonzero(np.abs(shift) <= most)
+
+    def along(at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many code points of the pairs agree from i and j on, by halving."""
+        p, q = a[at] + i, b[at] + j
+        low, high = np.zeros(len(i), np.int64), np.minimum(n[at] - i, m[at] - j)
         from_p, from_q, down_p, down_q = h.sum[p], h.sum[q], h.down[p], h.down[q]
         while (low < high).any():
             mid = (low + high + 1) // 2
@@ -369,27 +388,24 @@ def edit_distance(h: Hashed, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
-    far: dict[int, np.ndarray] = {}
-    for e in range(most + 1):
-        nothing = np.full(len(live), -(1 << 40), np.int64)
-        new = {}
-        for d in range(-e, e + 1):
-            if e:
-                i = np.maximum(np.maximum(far.get(d, nothing) + 1, far.get(d - 1, nothing)), far.get(d + 1, nothing) + 1)
-                i = np.minimum(i, np.minimum(n[live], m[live] - d))
-            else:
-                i = np.zeros(len(live), np.int64)
-            ok = (i >= 0) & (i + d >= 0)
-            i = np.where(ok, i, 0)
-            new[d] = np.where(ok, i + along(i, np.where(ok, i + d, 0)), nothing)
-        there = np.zeros(len(live), bool)
-        for d, i in new.items():
-            there |= (m[live] - n[live] == d) & (i >= n[live])
+    top, none = int(most.max(initial=0)), -(1 << 40)
+    d = np.arange(-top, top + 1)  # the diagonals, a column each, and one more at either side
+    far, e = np.full((len(live), len(d) + 2), none), 0
+    while len(live):
+        if e:
+            i = np.maximum(np.maximum(far[:, 1:-1] + 1, far[:, :-2]), far[:, 2:] + 1)
+            i = np.minimum(i, np.minimum(n[live][:, None], m[live][:, None] - d))
+        else:
+            i = np.zeros((len(live), len(d)), np.int64)
+        row, col = np.nonzero((np.abs(d) <= e) & (np.abs(shift[live][:, None] - d) <= (most[live] - e)[:, None]) & (i >= 0) & (i + d >= 0))
+        i = i[row, col]
+        far = np.full((len(live), len(d) + 2), none)
+        far[row, col + 1] = i + along(live[row], i, i + d[col])
+        there = far[np.arange(len(live)), shift[live] + top + 1] >= n[live]
         out[live[there]] = e
-        live = live[~there]
-        if not len(live):
-            break
-        far = {d: i[~there] for d, i in new.items()}
+        on = ~there & (most[live] > e)
+        live, far = live[on], far[on]
+        e += 1
     return out
 
 
@@ -408,7 +424,7 @@ def _witnessed(key: np.ndarray, n: np.ndarray, bits: np.ndarray, texts: pa.Chunk
             row, at = np.unique(np.concatenate([i, j]), return_inverse=True)
             points, _, _, begin, end = lines_of(texts.take(pa.array(row)).to_pylist())
             a, b = np.split(at, 2)
-            done[j[edit_distance(Hashed(points, 0), begin[a], n[i], begin[b], n[j]) <= most]] = True
+            done[j[edit_distance(Hashed(points, 0), begin[a], n[i], begin[b], n[j], most) <= most]] = True
 
     act, d, size, turn = np.arange(len(n)), 1, 0, 1
     while len(act := act[act + d < last[act]]):
@@ -500,9 +516,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     every = staged(arrow(rows, _first_pass, "id long, line int, h long, g long, keys array<long>"), "lines")
     where = F.struct("id", "line")
     first = staged(every.groupBy("h", "g").agg(F.min(where).alias("at"), F.count("*").alias("c")), "first-lines")
-    # lines that share a key with a different line
-    lead = every.where(F.size("keys") > 0).join(first.select(F.col("at.id").alias("id"), F.col("at.line").alias("line")), ["id", "line"], "left_semi")
-    keys = lead.select(F.explode("keys").alias("key"), "h").repartition("key").sortWithinPartitions("key", "h")
+    # lines that share a key with a different line; equal lines of a task have given their keys once
+    keys = every.select(F.explode("keys").alias("key"), "h").repartition("key").sortWithinPartitions("key", "h")
     member = staged(arrow(keys, _shared, "key long, h long").distinct(), "near-lines")
     some = member.select("h").distinct()
     bits = spark.sparkContext.broadcast(_low_bits(some))

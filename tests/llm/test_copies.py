@@ -139,6 +139,30 @@ def test_edit_distance_equals_the_table_of_prefixes():
     assert got.tolist() == [min(distance(x, y), linededup.MOST + 1) for x, y in zip(a, b, strict=True)]
 
 
+def test_edit_distance_stops_at_the_bound_of_each_pair():
+    rng = random.Random(5)
+    a = ["".join(rng.choice("ab") for _ in range(rng.randrange(14))) for _ in range(600)]
+    b = [s[: rng.randrange(14)] + rng.choice(["", "c", "ab"]) + s[rng.randrange(14) :] for s in a]
+    most = np.array([rng.randrange(linededup.MOST + 1) for _ in a])
+    points, _, _, begin, end = linededup.lines_of(a + b)
+    h, n = linededup.Hashed(points, 0), end - begin
+    got = linededup.edit_distance(h, begin[:600], n[:600], begin[600:], n[600:], most)
+    assert got.tolist() == [min(distance(x, y), k + 1) for x, y, k in zip(a, b, most.tolist(), strict=True)]
+    assert len(linededup.edit_distance(h, begin[:0], n[:0], begin[:0], n[:0])) == 0
+
+
+def test_equal_lines_of_a_task_give_their_keys_once():
+    import pyarrow as pa
+
+    short, long, once = "a line under forty points", "a line of more than forty code points, which is cut into parts", "one that stands only once"
+    batches = [pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([f"{short}\n{long}\n{short}", long])], ["id", "text"]), pa.RecordBatch.from_arrays([pa.array([3]), pa.array([f"{short}\n{once}\n\n{long}"])], ["id", "text"])]
+    rows = [r for b in linededup._first_pass(iter(batches)) for r in b.to_pylist()]
+    assert [(r["id"], r["line"]) for r in rows] == [(1, 0), (1, 1), (1, 2), (2, 0), (3, 0), (3, 1), (3, 3)]
+    assert [bool(r["keys"]) for r in rows] == [True, True, False, False, False, True, False]
+    alone = [r for b in linededup._first_pass(iter([pa.RecordBatch.from_arrays([pa.array([9]), pa.array([long])], ["id", "text"])])) for r in b.to_pylist()]
+    assert rows[1]["keys"] == alone[0]["keys"] and rows[1]["h"] == rows[3]["h"] == alone[0]["h"] and rows[1]["g"] == alone[0]["g"]
+
+
 def few_edits_brute(rows):
     first = {}
     for i, t in rows:
