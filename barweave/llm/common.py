@@ -36,11 +36,34 @@ def _trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow where the workers are sure to know this package and give memory back after each partition."""
+#: What a worker keeps from one task to the next, by name.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """make(), or what it gave before in this worker; arrow() says which tasks keep it."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget(name: str | None = None) -> None:
+    """Lets go of all that this worker keeps but the one named."""
+    gone = [_kept.pop(k) for k in list(_kept) if k != name]
+    if gone:
+        gone.clear()
+        _trim()
+
+
+def arrow(df: DataFrame, run, schema: str, keeps: str | None = None) -> DataFrame:
+    """mapInArrow where the workers are sure to know this package and give memory back after each partition.
+
+    What other tasks left in the worker by kept(), but for the one named ``keeps``, goes first: workers outlive a query.
+    """
     ship(df.sparkSession)
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         try:
             yield from run(batches)
         finally:

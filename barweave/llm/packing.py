@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import arrow, read, staged, utf8
+from .common import arrow, kept, read, staged, utf8
 
 CAPACITY, END = 2048, 0
 SALTS, EACH = (64, 2048), 1 << 20  # salts at least and at most; pieces a salt would hold if all had one length
@@ -42,8 +42,6 @@ MEMO, GROUP, MARKS = 900_000, 1 << 21, b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
-_words: dict[str, Words] = {}
-
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -73,6 +71,13 @@ class Words(dict):
         return ids
 
 
+def _coder(path: str) -> Words:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Words(Tokenizer.from_file(path))
+
+
 def encode(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text, as the tokenizer in path gives them without special tokens.
 
@@ -80,12 +85,7 @@ def encode(texts: list[bytes], path: str) -> Iterator[bytes]:
     one after another; it lower-cases, so words are met in lower case (but where the text of a special
     token could appear).
     """
-    if path not in _words:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _words[path] = Words(Tokenizer.from_file(path))
-    get = _words[path].__getitem__
+    get = kept(path, lambda: _coder(path)).__getitem__
     for t in texts:
         yield b"".join(map(get, (t if b"<|" in t else t.lower()).split()))
 
@@ -119,7 +119,7 @@ def _pieces(path: str, capacity: int):
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow(docs.select("doc_id", "text"), _pieces(path, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return arrow(docs.select("doc_id", "text"), _pieces(path, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", keeps=path)
 
 
 class Sums:

@@ -116,6 +116,29 @@ def test_stages_move_texts_in_small_batches(spark, tables, tmp_path, monkeypatch
             spark.conf.unset(key)
 
 
+def test_workers_let_go_of_the_tokenizer_when_other_tasks_come(spark, tables):
+    """The tokenizer and its words, over 100 MB a worker, stay between packing's tasks only."""
+    docs, path = common.read(spark, tables, "documents").coalesce(1), packing.tokenizer_file()
+
+    def held(name):
+        def run(batches):
+            import gc
+            import os
+
+            import pyarrow as pa
+
+            for _ in batches:
+                pass
+            n = sum(type(x).__name__ == "Words" for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64()), pa.array([n], pa.int64())], ["pid", "n"])
+
+        return common.arrow(docs.select("doc_id"), run, "pid long, n long", keeps=name).collect()[0]
+
+    packed = packing.pieces(docs, path).count()  # a worker alone here: one task at a time
+    before, after = held(path), held(None)
+    assert packed and before.n == 1 and after.n == 0 and before.pid == after.pid
+
+
 def test_each_stage_equals_plain_python(spark, tables):
     docs = common.read(spark, tables, "documents")
     columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
